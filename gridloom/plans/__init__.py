@@ -1,3 +1,4 @@
 """Registered queries; importing this package fills the registry."""
 
 from gridloom.plans.registry import REGISTRY  # noqa: F401
+from gridloom.plans import sources  # noqa: E402,F401

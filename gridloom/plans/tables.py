@@ -100,7 +100,7 @@ class Tables:
         return o.groupBy("grid_id", "month_idx").agg(
             (F.sum("_c").cast("double") / F.count(F.lit(1)).cast("double") / F.lit(9876543.21)).alias("wtd"),
             # a month has at most 31 days, so a bit set replaces a distinct
-            F.bit_count(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("_day")))).cast("int").alias("n_days"),
+            F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_day")))).cast("int").alias("n_days"),
             F.count_distinct("o_orderpriority").cast("int").alias("n_sites"),
             F.count(F.lit(1)).cast("int").alias("n_site_days"),
         )
