@@ -32,3 +32,9 @@ def anchor_months(calendar: DataFrame, expected: int | None = None, every: int |
         )
         flagged = flagged.where(ok)
     return flagged.where(F.col("_keep") | (F.col("month_idx") == last)).drop("_keep")
+
+
+def anchor_grid(cells: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Every cell at every anchor month (the anchor list is calendar bounded)."""
+    months = anchors.agg(F.sort_array(F.collect_list("month_idx"))).scalar()
+    return cells.select("grid_id", F.explode(months).alias("month_idx"))

@@ -98,9 +98,12 @@ def forward_sequences(
         "grid_id",
         F.col("month_idx").alias("start_idx"),
         F.collect_list(step).over(per_cell.rowsBetween(1, longest)).alias("_ahead"),
-        F.explode(F.array(*[F.lit(h) for h in horizons])).alias("h"),
-    ).where(F.size("_ahead") >= F.col("h"))
-    return ahead.select(
+    )
+    # exploded after the window: a generator in the same projection would run first
+    by_horizon = ahead.withColumn("h", F.explode(F.array(*[F.lit(h) for h in horizons]))).where(
+        F.size("_ahead") >= F.col("h")
+    )
+    return by_horizon.select(
         "grid_id",
         "start_idx",
         "h",
