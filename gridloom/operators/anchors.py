@@ -1,10 +1,18 @@
-"""Anchor months and anomalies (extended below with local anchoring)."""
+"""Anchor months, cell support, regional signal and local anchoring."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.scalars import bridge_alpha, clip, single_obs_alpha
+from gridloom.operators.aggregates import robust_spread, weighted_fit
+from gridloom.operators.joins import bracket_asof
+from gridloom.operators.ranks import group_quantiles
+from gridloom.operators.windows import regional_fill
+
 
 def to_anomaly(panel: DataFrame, baseline: DataFrame, value: str, out: str) -> DataFrame:
     return panel.join(baseline.select("grid_id", "base_wtd"), "grid_id").withColumn(out, F.col(value) - F.col("base_wtd"))
@@ -38,3 +46,367 @@ def anchor_grid(cells: DataFrame, anchors: DataFrame) -> DataFrame:
     """Every cell at every anchor month (the anchor list is calendar bounded)."""
     months = anchors.agg(F.sort_array(F.collect_list("month_idx"))).scalar()
     return cells.select("grid_id", F.explode(months).alias("month_idx"))
+
+
+# --- cell support and regional signal --------------------------------------------
+
+def cell_support(anomalies: DataFrame, cells: DataFrame, value: str = "anomaly") -> DataFrame:
+    """Per cell: n, median, robust spread, support score and anchor quality.
+
+    ``cells`` carries the incoming ``quality``.  A cell has at most one value per
+    month, so its percentiles are computed inside one small group.
+    """
+    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    stats = anomalies.groupBy("grid_id").agg(
+        F.count(value).alias("n_obs"), q.alias("_q"), F.stddev_pop(value).alias("_sd")
+    )
+    spread = robust_spread(F.col("_q")[0], F.col("_q")[2], F.col("_sd"), F.col("n_obs"))
+    joined = cells.join(stats, "grid_id", "left").withColumns(
+        {
+            "n_obs": F.coalesce("n_obs", F.lit(0)),
+            "median_anomaly": F.coalesce(F.col("_q")[1], F.lit(0.0)),
+            "spread": F.when(F.col("n_obs").isNull(), F.lit(0.0)).otherwise(spread),
+        }
+    )
+    count_score = clip((F.col("n_obs") - 1) / F.lit(5.0), 0.0, 1.0)
+    support = F.when(F.col("n_obs") == 0, F.lit(0.0)).otherwise(
+        clip(count_score / (F.lit(1.0) + F.col("spread") / F.lit(2.0)), 0.0, 1.0)
+    )
+    joined = joined.withColumn("support", support)
+    s, quality = F.col("support"), F.col("quality")
+    several = F.greatest(quality * (F.lit(0.25) + F.lit(0.45) * (1 - s)), F.lit(0.10) + F.lit(0.55) * s)
+    anchor_q = (
+        F.when(F.col("n_obs") == 0, quality)
+        .when(F.col("n_obs") == 1, clip(quality * F.lit(0.65), 0.05, 0.45))
+        .otherwise(clip(several, 0.08, 0.80))
+    )
+    return joined.withColumns(
+        {"anchor_quality": anchor_q, "offset": F.col("median_anomaly") * s}
+    ).drop("_q", "_sd")
+
+
+def regional_signal(anomalies: DataFrame, calendar: DataFrame, value: str = "anomaly") -> DataFrame:
+    """Monthly median of cell-demeaned values, filled, smoothed, centred, clipped.
+
+    Cell medians are small groups; the month medians run over all cells of a
+    month and use the bucketed quantile.  The series itself is one row per month.
+    """
+    med = anomalies.groupBy("grid_id").agg(F.median(value).alias("_m"))
+    demeaned = anomalies.join(med, "grid_id").select("month_idx", (F.col(value) - F.col("_m")).alias("_d"))
+    monthly = group_quantiles(demeaned, ["month_idx"], "_d", {"raw": 0.5}).drop("n")
+    series = calendar.select("month_idx").join(monthly, "month_idx", "left")
+    smooth = regional_fill(series, "raw", "_s")
+    whole = Window.partitionBy(F.lit(1))
+    centred = smooth.withColumn("_c", F.coalesce(F.col("_s") - F.avg("_s").over(whole), F.lit(0.0)))
+    cap = F.greatest(F.percentile(F.abs(F.col("_c")), F.lit(0.95)).over(whole), F.lit(0.20))
+    return centred.select("month_idx", "raw", F.least(F.greatest(F.col("_c"), -cap), cap).alias("regional"))
+
+
+def anchor_fits(
+    anomalies: DataFrame, support: DataFrame, baseline: DataFrame, regional: DataFrame, anchors: DataFrame, min_rows: int = 10
+) -> DataFrame:
+    """Weighted line of (value - regional) on the baseline, one per anchor month.
+
+    Months with too few supported observations stay absent.
+    """
+    rows = (
+        anomalies.select("grid_id", "month_idx", "anomaly")
+        .join(F.broadcast(anchors.select("month_idx")), "month_idx", "left_semi")
+        .join(support.where("support > 0").select("grid_id", "support"), "grid_id")
+        .join(baseline.select("grid_id", "base_wtd"), "grid_id")
+        .join(regional.select("month_idx", "regional"), "month_idx")
+        .withColumn("_y", F.col("anomaly") - F.col("regional"))
+    )
+    slope, intercept = weighted_fit(F.col("base_wtd"), F.col("_y"), F.col("support"))
+    fits = rows.groupBy("month_idx").agg(F.count(F.lit(1)).alias("n_fit"), slope.alias("slope"), intercept.alias("intercept"))
+    bounds = group_quantiles(rows, ["month_idx"], "_y", {"q05": 0.05, "q95": 0.95}).drop("n")
+    margin = F.greatest(F.lit(0.50), F.lit(0.25) * (F.col("q95") - F.col("q05")))
+    return (
+        fits.where(F.col("n_fit") >= min_rows)
+        .join(bounds, "month_idx")
+        .select("month_idx", "n_fit", "slope", "intercept", (F.col("q05") - margin).alias("clip_low"), (F.col("q95") + margin).alias("clip_high"))
+    )
+
+
+def fallback_fit(support: DataFrame, baseline: DataFrame, min_cells: int = 20) -> DataFrame:
+    """One global line over well supported cells; zeros when there are too few."""
+    rows = support.where("support > 0.1").select("grid_id", "support", "median_anomaly").join(
+        baseline.select("grid_id", "base_wtd"), "grid_id"
+    )
+    slope, intercept = weighted_fit(F.col("base_wtd"), F.col("median_anomaly"), F.col("support"))
+    enough = F.count(F.lit(1)) >= min_cells
+    return rows.agg(
+        F.when(enough, slope).otherwise(F.lit(0.0)).alias("fallback_slope"),
+        F.when(enough, intercept).otherwise(F.lit(0.0)).alias("fallback_intercept"),
+    )
+
+
+def anchor_fields(
+    support: DataFrame, baseline: DataFrame, regional: DataFrame, anchors: DataFrame, fits: DataFrame, fallback: DataFrame, month_counts: DataFrame
+) -> DataFrame:
+    """Base field and quality per (anchor month, cell).
+
+    Everything month-shaped is gathered into one calendar-bounded table and
+    exploded per cell, so the only shuffle is cell to cell.
+    """
+    months = (
+        anchors.select("month_idx")
+        .join(regional.select("month_idx", "regional"), "month_idx")
+        .join(fits, "month_idx", "left")
+        .join(month_counts, "month_idx", "left")
+        .agg(
+            F.collect_list(
+                F.struct(
+                    "month_idx", "regional", "slope", "intercept", "clip_low", "clip_high",
+                    F.coalesce("n_month", F.lit(0)).alias("n_month"),
+                )
+            )
+        )
+        .scalar()
+    )
+    glob = fallback.select(F.struct("fallback_slope", "fallback_intercept")).scalar()
+    grid = (
+        support.select("grid_id", "support", "offset", "anchor_quality")
+        .join(baseline.select("grid_id", "base_wtd"), "grid_id")
+        .withColumn("_g", glob)
+        .select("*", F.inline(months))
+    )
+    line = F.col("slope") * F.col("base_wtd") + F.col("intercept")
+    predicted = F.when(
+        F.col("slope").isNotNull(), F.least(F.greatest(line, F.col("clip_low")), F.col("clip_high"))
+    ).otherwise(F.col("_g.fallback_slope") * F.col("base_wtd") + F.col("_g.fallback_intercept"))
+    spatial = F.when(F.col("support") == 0, predicted).otherwise(F.col("offset"))
+    s = F.col("support")
+    boost = F.lit(0.75) + F.lit(0.45) * F.least(F.col("n_month") / F.lit(120.0), F.lit(1.0))
+    return grid.select(
+        "grid_id",
+        "month_idx",
+        (spatial + (F.lit(0.65) + F.lit(0.35) * (1 - s)) * F.col("regional")).alias("field"),
+        clip(F.col("anchor_quality") * boost, 0.08, 0.90).alias("field_quality"),
+    )
+
+
+# --- local anchoring of a reconstructed panel --------------------------------------
+
+def local_priors(
+    obs: DataFrame,
+    anchor_cells: DataFrame,
+    multi: int = 2,
+    extrap_window: int = 12,
+    single_window: int = 3,
+    span_scale: float = 48.0,
+) -> DataFrame:
+    """Prior value and weight per (anchor month, cell) from the cell's own record.
+
+    ``obs`` has ``value`` and ``quality``.  Previous and next observations come
+    from two running windows per cell; months that are observed have no prior.
+    """
+    stats = obs.groupBy("grid_id").agg(
+        F.count(F.lit(1)).alias("n_obs"), F.stddev_pop("value").alias("_sd"), F.avg("quality").alias("_q")
+    )
+    bracket = bracket_asof(anchor_cells, obs, "grid_id", "month_idx", ["value"]).join(stats, "grid_id")
+    spread = F.when(F.col("n_obs") > 1, F.col("_sd")).otherwise(F.lit(0.0))
+    multi_w = clip(
+        F.lit(0.35) + F.lit(0.55) * clip(F.col("n_obs") / F.lit(6.0), 0.0, 1.0) / (F.lit(1.0) + spread / F.lit(5.0)), 0.20, 0.90
+    )
+    single_w = clip(F.lit(0.05) + F.lit(0.10) * clip(F.col("_q") / F.lit(5.0), 0.0, 1.0), 0.05, 0.20)
+    p, n, m = F.col("prev"), F.col("next"), F.col("month_idx")
+    near = F.coalesce(p, n)
+    gap = F.abs(m - near["t"])
+    span = F.greatest(n["t"] - p["t"], F.lit(1))
+
+    def fade(window: int) -> Column:
+        return F.greatest(F.lit(1.0) - gap / F.lit(float(window) + 1.0), F.lit(0.0))
+
+    many = F.col("n_obs") >= multi
+    mode = (
+        F.when(p.isNotNull() & n.isNotNull() & (p["t"] == m), None)
+        .when(many & p.isNull() & (gap <= extrap_window), F.lit("pre_nearest"))
+        .when(many & n.isNull() & (gap <= extrap_window), F.lit("post_nearest"))
+        .when(many & p.isNotNull() & n.isNotNull(), F.lit("interpolate"))
+        .when(~many & (gap <= single_window), F.lit("single_near"))
+    )
+    value = F.when(mode == "interpolate", p["value"] + (m - p["t"]) / span * (n["value"] - p["value"])).otherwise(near["value"])
+    weight = (
+        F.when(mode == "interpolate", multi_w / (F.lit(1.0) + span / F.lit(max(span_scale, 1.0))))
+        .when(mode == "single_near", single_w * fade(single_window))
+        .otherwise(multi_w * fade(extrap_window) * F.lit(0.7))
+    )
+    return (
+        bracket.select("grid_id", "month_idx", "n_obs", mode.alias("mode"), value.alias("prior_value"), weight.alias("prior_weight"))
+        .where(F.col("mode").isNotNull() & (F.col("prior_weight") > 0))
+    )
+
+
+def apply_local_anchors(
+    panel: DataFrame,
+    obs: DataFrame,
+    multi: int = 2,
+    alpha_min: float = 0.35,
+    alpha_max: float = 0.80,
+    gap_scale: float = 12.0,
+    edge_window: int = 6,
+    edge_alpha: float = 0.25,
+    single_alpha: float = 0.20,
+    single_scale: float = 5.0,
+) -> DataFrame:
+    """Pull a dense panel towards its observations, cell by cell.
+
+    Bridges between consecutive observations, tapers before the first and after
+    the last one, a weak pull for a lone observation.  All terms are window
+    expressions over one (cell, month) partitioning.
+    """
+    joined = panel.join(obs.select("grid_id", "month_idx", F.col("value").alias("_o"), F.col("quality").alias("_q")), ["grid_id", "month_idx"], "left")
+    w = Window.partitionBy("grid_id").orderBy("month_idx")
+    whole = Window.partitionBy("grid_id")
+    m, x, o = F.col("month_idx"), F.col("value"), F.col("_o")
+    fact = F.when(o.isNotNull(), F.struct(m.alias("t"), o.alias("v"), F.col("_q").alias("q")))
+    d = joined.withColumn("_f", fact).withColumns(
+        {
+            "_p": F.last("_f", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            "_n": F.first("_f", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+            "_cnt": F.count("_o").over(whole),
+            "_before": F.lag("value").over(w),
+            "_after": F.lead("value").over(w),
+        }
+    )
+    p, n = F.col("_p"), F.col("_n")
+    gap = n["t"] - p["t"]
+    alpha = bridge_alpha(p["q"], n["q"], gap, alpha_min, alpha_max, gap_scale)
+    line = p["v"] + (n["v"] - p["v"]) * (m - p["t"]) / F.nullif(gap, F.lit(0))
+    bridged = (1 - alpha) * x + alpha * line
+    near = F.coalesce(p, n)
+    dist = F.abs(m - near["t"])
+    taper = clip(F.lit(edge_alpha) * (F.lit(1.0) - dist / F.lit(max(float(edge_window), 1.0))), 0.0, edge_alpha)
+    tapered = F.when(dist <= edge_window, (1 - taper) * x + taper * near["v"]).otherwise(x)
+    around = F.when(F.col("_before").isNull(), F.col("_after")).when(F.col("_after").isNull(), F.col("_before")).otherwise(
+        F.lit(0.5) * (F.col("_before") + F.col("_after"))
+    )
+    around = F.coalesce(around, x)
+    lone_alpha = single_obs_alpha(F.col("_q"), o - around, single_scale, single_alpha)
+    lone = F.when(o.isNotNull(), around + lone_alpha * (o - around)).otherwise(x)
+    mode = (
+        F.when(F.col("_cnt") == 0, F.lit("none"))
+        .when(F.col("_cnt") < multi, F.when(o.isNotNull(), F.lit("single_obs")).otherwise(F.lit("none")))
+        .when(o.isNotNull(), F.lit("exact"))
+        .when(p.isNotNull() & n.isNotNull(), F.lit("bridge"))
+        .otherwise(F.lit("edge"))
+    )
+    out = (
+        F.when(F.col("_cnt") == 0, x)
+        .when(F.col("_cnt") < multi, lone)
+        .when(o.isNotNull(), o)
+        .when(p.isNotNull() & n.isNotNull(), bridged)
+        .otherwise(tapered)
+    )
+    return d.select("grid_id", "month_idx", mode.alias("mode"), out.alias("value"))
+
+
+def assimilate(
+    states: DataFrame, obs: DataFrame, exact_min: int = 2, alpha_max: float = 0.12, scale: float = 6.0
+) -> DataFrame:
+    """Replace or nudge states at observed cells.
+
+    ``obs`` has ``value``, ``quality`` and ``n_months`` (the cell's observed
+    months): well observed cells take the observation, others move part way.
+    """
+    joined = states.join(obs.select("grid_id", "month_idx", F.col("value").alias("_o"), F.col("quality").alias("_q"), "n_months"), ["grid_id", "month_idx"], "left")
+    return joined.withColumn("state", assimilated(F.col("state"), F.col("_o"), F.col("_q"), F.col("n_months"), exact_min, alpha_max, scale)).drop(
+        "_o", "_q", "n_months"
+    )
+
+
+def assimilated(state: Column, o: Column, q: Column, n_months: Column, exact_min: int, alpha_max: float, scale: float) -> Column:
+    return (
+        F.when(o.isNull(), state)
+        .when(n_months >= exact_min, o)
+        .otherwise(state + single_obs_alpha(q, o - state, scale, alpha_max) * (o - state))
+    )
+
+
+# --- harmonic pseudo-observations ---------------------------------------------------
+
+HARMONIC_TERMS = 6
+
+
+def harmonic_basis(t: Column, centre: float = 42.0, width: float = 24.0) -> list[Column]:
+    """Intercept, trend, annual and semi-annual terms (time scaled for conditioning)."""
+    a = t * F.lit(2.0 * math.pi / 12.0)
+    return [F.lit(1.0), (t - F.lit(centre)) / F.lit(width), F.cos(a), F.sin(a), F.cos(2 * a), F.sin(2 * a)]
+
+
+def solve_columns(df: DataFrame, matrix: list[list[str]], rhs: list[str], out: list[str]) -> DataFrame:
+    """Solve a small symmetric positive definite system held in columns.
+
+    Gaussian elimination as a chain of projections; stays inside codegen.  A
+    vanishing pivot makes the solution NULL.
+    """
+    n = len(rhs)
+    for k in range(n):
+        pivot = F.when(F.abs(F.col(matrix[k][k])) > 1e-9, F.col(matrix[k][k]))
+        df = df.withColumns({f"_f{i}": F.col(matrix[i][k]) / pivot for i in range(k + 1, n)})
+        step = {matrix[i][j]: F.col(matrix[i][j]) - F.col(f"_f{i}") * F.col(matrix[k][j]) for i in range(k + 1, n) for j in range(k + 1, n)}
+        step |= {rhs[i]: F.col(rhs[i]) - F.col(f"_f{i}") * F.col(rhs[k]) for i in range(k + 1, n)}
+        if step:
+            df = df.withColumns(step).drop(*[f"_f{i}" for i in range(k + 1, n)])
+    for i in reversed(range(n)):
+        acc = F.col(rhs[i])
+        for j in range(i + 1, n):
+            acc = acc - F.col(matrix[i][j]) * F.col(out[j])
+        df = df.withColumn(out[i], acc / F.when(F.abs(F.col(matrix[i][i])) > 1e-9, F.col(matrix[i][i])))
+    return df
+
+
+def harmonic_fit(obs: DataFrame, min_obs: int = 12) -> DataFrame:
+    """Least-squares harmonic per cell and its R2, from one pass of moment sums."""
+    n = HARMONIC_TERMS
+    b = harmonic_basis(F.col("month_idx").cast("double"))
+    y = F.col("value")
+    sums = [F.sum(b[i] * b[j]).alias(f"a{i}{j}") for i in range(n) for j in range(i, n)]
+    sums += [F.sum(b[i] * y).alias(f"b{i}") for i in range(n)]
+    per_cell = obs.groupBy("grid_id").agg(F.count(F.lit(1)).alias("n_obs"), *sums).where(F.col("n_obs") >= min_obs)
+    full = per_cell.withColumns({f"a{i}{j}": F.col(f"a{j}{i}") for i in range(n) for j in range(i)})
+    solved = solve_columns(
+        full, [[f"a{i}{j}" for j in range(n)] for i in range(n)], [f"b{i}" for i in range(n)], [f"c{i}" for i in range(n)]
+    ).select("grid_id", "n_obs", *[f"c{i}" for i in range(n)])
+    fitted = harmonic_value(F.col("month_idx").cast("double"))
+    quality = (
+        obs.join(solved, "grid_id")
+        .groupBy("grid_id")
+        .agg(F.sum((y - fitted) * (y - fitted)).alias("_res"), (F.var_pop(y) * F.count(y)).alias("_tot"))
+        .select("grid_id", F.greatest(F.lit(0.0), F.lit(1.0) - F.col("_res") / F.greatest(F.col("_tot"), F.lit(1e-6))).alias("r2"))
+    )
+    return solved.join(quality, "grid_id")
+
+
+def harmonic_value(t: Column) -> Column:
+    terms = [F.col(f"c{i}") * b for i, b in enumerate(harmonic_basis(t))]
+    return sum(terms[1:], terms[0])
+
+
+def harmonic_pseudo_obs(
+    obs: DataFrame, n_months: int, min_obs: int = 12, pseudo_quality: float = 0.30, r2_min: float = 0.50, decay: float = 6.0, floor: float = 0.05
+) -> DataFrame:
+    """Observations plus low-quality harmonic values in unobserved months.
+
+    Only cells with a good fit are filled; real observations stay as they are.
+    """
+    fits = harmonic_fit(obs, min_obs).where(F.col("r2") >= r2_min)
+    months = fits.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_months - 1))).alias("month_idx"))
+    known = obs.join(fits.select("grid_id"), "grid_id", "left_semi")
+    near = bracket_asof(months.select("grid_id", "month_idx"), known, "grid_id", "month_idx", ["value"])
+    t = F.col("month_idx")
+    gap = F.least(t - F.col("prev.t"), F.col("next.t") - t)
+    pseudo = (
+        months.join(near, ["grid_id", "month_idx"])
+        .withColumn("_gap", gap)
+        .where("_gap > 0")
+        .select(
+            "grid_id",
+            "month_idx",
+            harmonic_value(t.cast("double")).alias("value"),
+            clip(F.lit(pseudo_quality) * F.col("r2") * F.exp(-F.col("_gap") / F.lit(decay)), floor, 0.99).alias("quality"),
+            F.lit(True).alias("is_pseudo"),
+        )
+    )
+    return obs.select("grid_id", "month_idx", "value", "quality", F.lit(False).alias("is_pseudo")).unionByName(pseudo)

@@ -16,38 +16,49 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.session import cut_lineage
+
 BUCKET_ROWS = 50_000
 MAX_BUCKETS = 1024
 _ALL = "_all"
 
 
-def _bucketed_counts(
-    df: DataFrame, groups: Sequence[str], value: str, measures: Mapping[str, Column], bucket_rows: int
+def _value_counts(
+    df: DataFrame, groups: Sequence[str], value: str, measures: Mapping[str, Column]
 ) -> DataFrame:
-    counts = (
+    """Counts per distinct value, materialised once (they are read several times)."""
+    return cut_lineage(
         df.where(F.col(value).isNotNull())
         .groupBy(*groups, value)
         .agg(*[m.alias(name) for name, m in measures.items()])
     )
-    sizes = counts.groupBy(*groups).agg(
-        F.greatest(
-            F.lit(1), F.ceil(F.count(F.lit(1)) / F.least(F.ceil(F.count(F.lit(1)) / bucket_rows), F.lit(MAX_BUCKETS)))
-        ).cast("long").alias("_stride"),
-        F.count(F.lit(1)).alias("_nd"),
-    )
+
+
+def _with_buckets(counts: DataFrame, groups: Sequence[str], value: str, bucket_rows: int) -> DataFrame:
+    """Cut every group into value ranges of about ``bucket_rows`` distinct values.
+
+    If no group exceeds that size one bucket per group is already bounded.
+    """
+    sizes = counts.groupBy(*groups).agg(F.count(F.lit(1)).alias("_nd"))
+    largest = sizes.agg(F.max("_nd")).first()[0] or 0
+    if largest <= bucket_rows:
+        return counts.withColumn("_bucket", F.lit(0))
+    n_buckets = F.least(F.ceil(F.col("_nd") / bucket_rows), F.lit(MAX_BUCKETS))
+    stride = F.greatest(F.floor(F.col("_nd") / n_buckets), F.lit(1))
     splitters = (
         counts.join(sizes.where(F.col("_nd") > bucket_rows), list(groups))
-        .where(F.pmod(F.xxhash64(value), F.col("_stride")) == 0)
+        .where(F.pmod(F.xxhash64(value), stride) == 0)
         .groupBy(*groups)
         .agg(F.sort_array(F.collect_list(value)).alias("_cuts"))
     )
+    below = F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
     return counts.join(splitters, list(groups), "left").withColumn(
-        "_bucket",
-        F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(value))), F.lit(0)),
+        "_bucket", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below)
     ).drop("_cuts")
 
 
 def _bucket_offsets(bucketed: DataFrame, groups: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Totals before each bucket; a group has at most a few thousand buckets."""
     totals = bucketed.groupBy(*groups, "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
@@ -76,7 +87,7 @@ def value_cdf(
     """Distinct values with ``below_m`` (sum over smaller values) and ``total_m``."""
     measures = dict(measures or {"n": F.count(F.lit(1))})
     df, keys = _keyed(df, groups)
-    bucketed = _bucketed_counts(df, keys, value, measures, bucket_rows)
+    bucketed = _with_buckets(_value_counts(df, keys, value, measures), keys, value, bucket_rows)
     offsets = _bucket_offsets(bucketed, keys, list(measures))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     out = bucketed.join(offsets, [*keys, "_bucket"]).select(
@@ -101,7 +112,9 @@ def pick_ranks(
     Only buckets that contain a wanted position are sorted.
     """
     df, keys = _keyed(df, groups)
-    bucketed = _bucketed_counts(df, keys, value, {"n": F.count(F.lit(1))}, bucket_rows)
+    bucketed = _with_buckets(
+        _value_counts(df, keys, value, {"n": F.count(F.lit(1))}), keys, value, bucket_rows
+    )
     offsets = _bucket_offsets(bucketed, keys, ["n"])
     wanted = {name: fn(F.col("total_n")).cast("long") for name, fn in ranks.items()}
     hit = F.lit(False)
