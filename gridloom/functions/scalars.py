@@ -21,7 +21,8 @@ TRUE_WORDS = ("true", "1", "yes")
 def clip(x: Column, lo: float | Column, hi: float | Column) -> Column:
     lo = lo if isinstance(lo, Column) else F.lit(float(lo))
     hi = hi if isinstance(hi, Column) else F.lit(float(hi))
-    return F.least(F.greatest(x, lo), hi)
+    # least/greatest skip NULLs, a missing value must stay missing
+    return F.when(x.isNotNull(), F.least(F.greatest(x, lo), hi))
 
 
 def inch_to_mm(x: Column) -> Column:
@@ -34,7 +35,7 @@ def volume_per_km2_to_mm(x: Column) -> Column:
 
 
 def log1p_nonneg(x: Column) -> Column:
-    return F.log1p(F.greatest(x, F.lit(0.0)))
+    return F.when(x.isNotNull(), F.log1p(F.greatest(x, F.lit(0.0))))
 
 
 def standardize(x: Column, mean: Column, std: Column) -> Column:

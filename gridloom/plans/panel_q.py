@@ -761,10 +761,10 @@ def d35(t: Tables) -> DataFrame:
 
 @query(
     "e01_trailing_7_sum",
-    "grid_id:i day:s trailing:f",
+    "grid_id:i day:s week_sum:f",
     with_blocks(
         "daily",
-        "SELECT grid_id, day, coalesce(sum(inches) OVER (PARTITION BY grid_id, date_trunc('month', day) ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 0) AS trailing FROM dd",
+        "SELECT grid_id, day, coalesce(sum(inches) OVER (PARTITION BY grid_id, date_trunc('month', day) ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 0) AS week_sum FROM dd",
         DAILY_DENSE,
     ),
 )
@@ -772,7 +772,7 @@ def e01(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("grid_id", F.trunc("day", "month")).orderBy("day").rowsBetween(-6, 0)
-    return dense_daily(t).select("grid_id", "day", F.coalesce(F.sum("inches").over(w), F.lit(0.0)).alias("trailing"))
+    return dense_daily(t).select("grid_id", "day", F.coalesce(F.sum("inches").over(w), F.lit(0.0)).alias("week_sum"))
 
 
 @query(
@@ -855,12 +855,12 @@ DROUGHT = (
     ),
     (
         "ag2",
-        """SELECT a.*, min(month_idx) FILTER (month_idx > peak_idx AND wtd <= peak_wtd - 0.5 * (peak_wtd - pre_wtd)) - peak_idx AS t50_raw FROM ag1 a JOIN panel USING (grid_id) GROUP BY ALL""",
+        """SELECT a.*, min(month_idx) FILTER (month_idx > peak_idx AND wtd <= peak_wtd - 0.5 * (peak_wtd - pre_wtd)) AS hit_idx FROM ag1 a JOIN panel USING (grid_id) GROUP BY ALL""",
     ),
     (
         "drought",
         """SELECT grid_id, pre_wtd, peak_wtd, pre_idx, peak_idx, greatest(peak_idx - pre_idx, 1) AS months_to_peak, CASE WHEN vd THEN decl END AS decline_m, CASE WHEN vd THEN decl / greatest(peak_idx - pre_idx, 1) END AS rdown,
-        early_recovery_wtd, early_recovery_idx, CASE WHEN vd THEN peak_wtd - early_recovery_wtd END AS early_recovery_m, CASE WHEN vd THEN (peak_wtd - early_recovery_wtd) / decl END AS rr_early, CASE WHEN vd THEN t50_raw END AS t50,
+        early_recovery_wtd, early_recovery_idx, CASE WHEN vd THEN peak_wtd - early_recovery_wtd END AS early_recovery_m, CASE WHEN vd THEN (peak_wtd - early_recovery_wtd) / decl END AS rr_early, CASE WHEN vd THEN hit_idx - peak_idx END AS t50,
         baseline_wtd, annual_peak_wtd, deficit, residual_deficit, CASE WHEN coalesce(deficit >= 0.10, FALSE) THEN (deficit - residual_deficit) / deficit END AS rr_late, vd AS valid_decline, coalesce(deficit >= 0.10, FALSE) AS valid_deficit FROM
         (SELECT *, peak_wtd - pre_wtd AS decl, coalesce(peak_wtd - pre_wtd >= 0.30, FALSE) AS vd, annual_peak_wtd - baseline_wtd AS deficit, late - baseline_wtd AS residual_deficit FROM ag2)""",
     ),
