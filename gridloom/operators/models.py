@@ -1,0 +1,94 @@
+"""Supervised steps on ``pyspark.ml``: horizon predictor and block-validated forest."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gridloom.session import cut_lineage
+
+
+def seeded_weight(key: str, seed: int):
+    """Poisson-like bootstrap weight (0..3) from a seeded hash of the row key."""
+    h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1000))
+    return F.when(h < 368, 0.0).when(h < 736, 1.0).when(h < 920, 2.0).otherwise(3.0)
+
+
+def fit_member(train: DataFrame, features: Sequence[str], label: str, key: str, seed: int) -> PipelineModel:
+    """One ensemble member: a ridge regression on a seeded bootstrap of the rows."""
+    rows = train.withColumn("_w", seeded_weight(key, seed)).where(F.col("_w") > 0)
+    stages = [
+        VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip"),
+        LinearRegression(featuresCol="_x", labelCol=label, weightCol="_w", predictionCol="_p", regParam=1e-3, solver="normal"),
+    ]
+    return Pipeline(stages=stages).fit(rows)
+
+
+def fit_ensemble(samples: DataFrame, features: Sequence[str], label: str, key: str, seeds: Sequence[int]) -> dict[int, PipelineModel]:
+    """Members are fitted on the train split only; the split is staged once."""
+    train = cut_lineage(samples.where(F.col("split") == "train").select(key, label, *features))
+    return {seed: fit_member(train, features, label, key, seed) for seed in seeds}
+
+
+def predict_ensemble(samples: DataFrame, models: dict[int, PipelineModel]) -> DataFrame:
+    """Stacked member predictions (one row per sample and seed)."""
+    out = None
+    for seed, model in models.items():
+        part = model.transform(samples).drop("_x").withColumnRenamed("_p", "y_pred").withColumn("seed", F.lit(seed))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def forest_pipeline(features: Sequence[str], label: str, trees: int = 500, seed: int = 42) -> Pipeline:
+    """Median imputation and a tree ensemble (leaves of at least ten rows)."""
+    filled = [f"_i_{c}" for c in features]
+    return Pipeline(
+        stages=[
+            Imputer(inputCols=list(features), outputCols=filled, strategy="median"),
+            VectorAssembler(inputCols=filled, outputCol="_x"),
+            RandomForestClassifier(
+                featuresCol="_x", labelCol=label, numTrees=trees, minInstancesPerNode=10, maxDepth=12,
+                featureSubsetStrategy="0.75", seed=seed,
+            ),
+        ]
+    )
+
+
+def _probability(model: PipelineModel, rows: DataFrame, keep: Sequence[str], out: str) -> DataFrame:
+    return model.transform(rows).select(*keep, vector_to_array("probability")[1].alias(out))
+
+
+def block_validated_forest(
+    rows: DataFrame, features: Sequence[str], label: str, folds: int, trees: int = 500, keys: Sequence[str] = ("grid_id",)
+) -> tuple[DataFrame, PipelineModel]:
+    """Out-of-fold and final probabilities; ``rows`` carries a ``fold`` column.
+
+    The loop runs once per fold, over whole spatial blocks.  Every row must get
+    an out-of-fold value, otherwise the job fails.
+    """
+    rows = cut_lineage(rows)
+    oof = None
+    for k in range(folds):
+        model = forest_pipeline(features, label, trees).fit(rows.where(F.col("fold") != k))
+        part = _probability(model, rows.where(F.col("fold") == k), [*keys, "fold", label], "p_oof")
+        oof = part if oof is None else oof.unionByName(part)
+    final = forest_pipeline(features, label, trees).fit(rows)
+    both = rows.select(*keys).join(oof, list(keys), "left").join(_probability(final, rows, keys, "p_final"), list(keys))
+    guarded = F.when(F.col("p_oof").isNull(), F.raise_error(F.lit("row without out-of-fold value")).cast("double")).otherwise(F.col("p_oof"))
+    return both.withColumn("p_oof", guarded), final
+
+
+def feature_importances(rows: DataFrame, model: PipelineModel, features: Sequence[str], top: int | None = None) -> DataFrame:
+    """Importances as a table (one row per feature), highest first."""
+    values = model.stages[-1].featureImportances.toArray()
+    spark = rows.sparkSession
+    table = spark.createDataFrame([(f, float(v)) for f, v in zip(features, values)], "feature STRING, importance DOUBLE")
+    table = table.orderBy(F.desc("importance"), "feature")
+    return table.limit(top) if top else table

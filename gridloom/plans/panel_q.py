@@ -140,7 +140,7 @@ def d06(t: Tables) -> DataFrame:
 
 
 def normalised(t: Tables, levels=LEVELS) -> DataFrame:
-    return cf.fit_conformal(t.ensemble, cf.normalised_score("y_true", "ens_mean", "ens_std"), levels, ["h"])
+    return cf.fit_conformal(staged_ensemble(t), cf.normalised_score("y_true", "ens_mean", "ens_std"), levels, ["h"])
 
 
 @query("d07_normalised_conformal", "h:i level:f alpha:f qhat:f n_calibration:i", with_blocks("ensemble", qhat_sql(NORM_SCORE)))
@@ -157,7 +157,7 @@ INTERVALS = (
 
 
 def intervals(t: Tables) -> DataFrame:
-    return cf.apply_intervals(t.ensemble, normalised(t), "ens_mean", LEVELS, ["h"], F.greatest(F.col("ens_std"), F.lit(1e-6)))
+    return cf.apply_intervals(staged_ensemble(t), normalised(t), "ens_mean", LEVELS, ["h"], F.greatest(F.col("ens_std"), F.lit(1e-6)))
 
 
 @query(
@@ -187,7 +187,7 @@ def d08(t: Tables) -> DataFrame:
     ),
 )
 def d09(t: Tables) -> DataFrame:
-    return cf.interval_summary(intervals(t), "y_true", LEVELS)
+    return cf.interval_summary(t.stage("intervals", lambda: intervals(t)), "y_true", LEVELS)
 
 
 @query(
@@ -411,6 +411,18 @@ def support_table(t: Tables) -> DataFrame:
     return an.cell_support(anomalies(t), cells)
 
 
+def staged_support(t: Tables) -> DataFrame:
+    return t.stage("support", lambda: support_table(t))
+
+
+def staged_regional(t: Tables) -> DataFrame:
+    return t.stage("regional", lambda: an.regional_signal(anomalies(t), t.calendar))
+
+
+def staged_ensemble(t: Tables) -> DataFrame:
+    return t.stage("ensemble", lambda: t.ensemble)
+
+
 @query(
     "d19_robust_spread",
     "grid_id:i n_obs:i spread:f",
@@ -482,7 +494,7 @@ FITS = (
     with_blocks("obs baseline calendar", "SELECT * FROM fits", ANOM, *SUPPORT, *REGIONAL, ANCH, *FITS),
 )
 def d22(t: Tables) -> DataFrame:
-    return an.anchor_fits(anomalies(t), support_table(t), t.baseline, d21(t), an.anchor_months(t.calendar))
+    return an.anchor_fits(anomalies(t), staged_support(t), t.baseline, staged_regional(t), an.anchor_months(t.calendar))
 
 
 FIELDS = (
@@ -498,9 +510,9 @@ FIELD_CTES = (ANOM, *SUPPORT, *REGIONAL, ANCH, *FITS, FIELDS)
 
 def anchor_field_table(t: Tables) -> DataFrame:
     anchors = an.anchor_months(t.calendar)
-    sup, reg, anom = support_table(t), d21(t), anomalies(t)
+    sup, reg, anom = staged_support(t), staged_regional(t), anomalies(t)
     counts = t.obs.groupBy("month_idx").agg(F.count(F.lit(1)).alias("n_month"))
-    fits = an.anchor_fits(anom, sup, t.baseline, reg, anchors)
+    fits = t.stage("fits", lambda: an.anchor_fits(anom, sup, t.baseline, reg, anchors))
     return an.anchor_fields(sup, t.baseline, reg, anchors, fits, an.fallback_fit(sup, t.baseline), counts)
 
 
@@ -532,9 +544,9 @@ CORR_BLOCKS = "panel obs baseline connectivity calendar"
 def corrected(t: Tables) -> tuple[DataFrame, DataFrame]:
     valid = flagged_months(t).where("valid").select("month_idx")
     panel, sy = full_panel(t), yields(t)
-    cells = support_table(t).select("grid_id", storage.correction_weight(F.col("support")).alias("base_weight")).join(sy, "grid_id")
-    source = storage.storage_proxy(panel, sy, valid)
-    target = storage.well_storage_target(t.obs, t.baseline, sy, t.calendar, valid)
+    cells = staged_support(t).select("grid_id", storage.correction_weight(F.col("support")).alias("base_weight")).join(sy, "grid_id")
+    source = t.stage("source", lambda: storage.storage_proxy(panel, sy, valid))
+    target = t.stage("target", lambda: storage.well_storage_target(t.obs, t.baseline, sy, t.calendar, valid))
     return storage.mass_correction(panel, cells, t.obs, source, target)
 
 
@@ -709,7 +721,7 @@ SCORED = ("sco", "SELECT sample_key, CAST(y_true > 0.3 AS INTEGER) AS y, floor(1
 
 def scored(t: Tables) -> DataFrame:
     p = F.floor(F.lit(100.0) / (F.lit(1.0) + F.exp(-F.col("ens_mean")))) / F.lit(100.0)
-    return t.ensemble.select("sample_key", (F.col("y_true") > 0.3).cast("int").alias("y"), p.alias("p"))
+    return staged_ensemble(t).select("sample_key", (F.col("y_true") > 0.3).cast("int").alias("y"), p.alias("p"))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import anchors as an
@@ -39,16 +39,17 @@ PRIORS = rs.priors("priors", "obsn", "acell", 18, 3, 60.0)
 
 def observed(t: Tables) -> DataFrame:
     """Anomaly observations with quality and the cell's number of observed months."""
-    from pyspark.sql import Window
-
-    return anomalies(t).select(
-        "grid_id", "month_idx", F.col("anomaly").alias("value"), "quality",
-        F.count(F.lit(1)).over(Window.partitionBy("grid_id")).alias("n_months"),
+    per_cell = Window.partitionBy("grid_id")
+    return t.stage(
+        "observed",
+        lambda: anomalies(t).select(
+            "grid_id", "month_idx", F.col("anomaly").alias("value"), "quality", F.count(F.lit(1)).over(per_cell).alias("n_months")
+        ),
     )
 
 
 def edges(t: Tables) -> DataFrame:
-    return graph.distance_graph(graph.grid_adjacency(t.cells, 8), 2500.0)
+    return t.stage("edges", lambda: graph.distance_graph(graph.grid_adjacency(t.cells, 8), 2500.0))
 
 
 def anchor_list(t: Tables) -> list[int]:
@@ -295,7 +296,7 @@ FIRST = (*FIELD_CTES, OBSN, LEAF, DRV_ALL, COUNTS, FIELD_STATES, SEG0, *segment_
 
 
 def field_states(t: Tables) -> DataFrame:
-    return anchor_field_table(t).select("grid_id", "month_idx", F.col("field").alias("value"))
+    return t.stage("fields", lambda: anchor_field_table(t)).select("grid_id", "month_idx", F.col("field").alias("value"))
 
 
 def month_counts(t: Tables) -> DataFrame:

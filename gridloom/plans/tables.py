@@ -7,12 +7,14 @@ doubles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import calendar as cal
+from gridloom.session import cut_lineage
 
 FIRST_ORD = 12 * 1995 + 1
 N_MONTHS = 84
@@ -33,6 +35,13 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._stages: dict[str, DataFrame] = {}
+
+    def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A stage table: written once to the shared folder, read by later steps."""
+        if name not in self._stages:
+            self._stages[name] = cut_lineage(build())
+        return self._stages[name]
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
