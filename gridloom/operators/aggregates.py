@@ -58,6 +58,13 @@ def fill_with_medians(df: DataFrame, columns: Sequence[str], default: float = 0.
     ).drop("_m")
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation that is NULL for a constant side (``corr`` divides by zero in ANSI mode)."""
+    both = x.isNotNull() & y.isNotNull()
+    scale = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.covar_pop(x, y) / F.nullif(scale, F.lit(0.0))
+
+
 def regression_metrics(pred: str, true: str) -> list[Column]:
     """RMSE, MAE, Pearson r, R2, bias and n as plain aggregate columns.
 
@@ -70,8 +77,8 @@ def regression_metrics(pred: str, true: str) -> list[Column]:
         n.alias("n"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),
-        F.when((n > 1) & (F.stddev_pop(p) > 0) & (F.stddev_pop(y) > 0), F.corr(p, y)).alias("pearson_r"),
-        F.when(F.var_pop(y) > 0, F.lit(1.0) - F.avg(e * e) / F.var_pop(y)).alias("r2"),
+        F.when(n > 1, pearson(p, y)).alias("pearson_r"),
+        (F.lit(1.0) - F.avg(e * e) / F.nullif(F.var_pop(y), F.lit(0.0))).alias("r2"),
         F.avg(e).alias("bias"),
     ]
 
@@ -133,8 +140,8 @@ def correlations(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFram
     enough = F.count(F.lit(1)) >= 3
     return ranked.agg(
         F.count(F.lit(1)).alias("n"),
-        F.when(enough, F.corr(x, y)).alias("pearson_r"),
-        F.when(enough, F.corr(f"{x}_rank", f"{y}_rank")).alias("spearman_rho"),
+        F.when(enough, pearson(F.col(x), F.col(y))).alias("pearson_r"),
+        F.when(enough, pearson(F.col(f"{x}_rank"), F.col(f"{y}_rank"))).alias("spearman_rho"),
     )
 
 

@@ -24,6 +24,7 @@ def storage_proxy(panel: DataFrame, yields: DataFrame, valid_months: DataFrame)
     shuffle as the panel join.
     """
     months = valid_months.agg(F.collect_set("month_idx")).scalar()
+    panel = panel.select("grid_id", "month_idx", "wtd")
     ref = (
         panel.withColumn("_ok", F.array_contains(months, F.col("month_idx")))
         .groupBy("grid_id")

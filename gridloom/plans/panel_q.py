@@ -765,7 +765,7 @@ def d34(t: Tables) -> DataFrame:
 )
 def d35(t: Tables) -> DataFrame:
     p, y = F.col("y_pred"), F.col("y_true")
-    term = F.lit(0.3) * (1 - F.corr(p, y)) + F.lit(0.2) * F.abs(F.stddev_pop(p) - F.stddev_pop(y))
+    term = F.lit(0.3) * (1 - ag.pearson(p, y)) + F.lit(0.2) * F.abs(F.stddev_pop(p) - F.stddev_pop(y))
     return t.predictions.groupBy("split").agg(term.alias("term"))
 
 
