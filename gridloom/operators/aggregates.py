@@ -44,8 +44,9 @@ def weighted_mean(value: str, weight: str) -> Column:
 
 
 def fill_with_group_mean(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Missing values take the mean of their layer-like group (few groups, broadcast)."""
     means = df.groupBy(group).agg(F.avg(value).alias("_mean"))
-    return df.join(means, group).withColumn(value, F.coalesce(value, "_mean")).drop("_mean")
+    return df.join(F.broadcast(means), group).withColumn(value, F.coalesce(value, "_mean")).drop("_mean")
 
 
 def fill_with_medians(df: DataFrame, columns: Sequence[str], default: float = 0.0) -> DataFrame:

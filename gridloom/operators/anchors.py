@@ -114,7 +114,7 @@ def anchor_fits(
         .join(F.broadcast(anchors.select("month_idx")), "month_idx", "left_semi")
         .join(support.where("support > 0").select("grid_id", "support"), "grid_id")
         .join(baseline.select("grid_id", "base_wtd"), "grid_id")
-        .join(regional.select("month_idx", "regional"), "month_idx")
+        .join(F.broadcast(regional.select("month_idx", "regional")), "month_idx")
         .withColumn("_y", F.col("anomaly") - F.col("regional"))
     )
     slope, intercept = weighted_fit(F.col("base_wtd"), F.col("_y"), F.col("support"))

@@ -59,7 +59,7 @@ def band_means(layers: DataFrame, bands: Sequence[tuple[float, float]], depths:
         .agg(F.avg("value").alias("mean"))
     )
     overall = per_cell.groupBy("band").agg(F.avg("mean").alias("_band_mean"))
-    return per_cell.join(overall, "band").select("grid_id", "band", F.coalesce("mean", "_band_mean").alias("mean"))
+    return per_cell.join(F.broadcast(overall), "band").select("grid_id", "band", F.coalesce("mean", "_band_mean").alias("mean"))
 
 
 def regrid_profile(layers: DataFrame, top: int, step: int = 1) -> DataFrame:

@@ -89,8 +89,8 @@ def sample_weights(
 ) -> DataFrame:
     """Horizon x days x sites weight, scaled to mean one inside each split.
 
-    The split mean comes from a pre-aggregated join, not from a window that
-    would pull a whole split into one task.
+    The split mean comes from a pre-aggregated table of one row per split label,
+    which is broadcast; a window would pull a whole split into one task.
     """
     hw = F.lit(1.0)
     for h, w in horizon_weights.items():
@@ -99,7 +99,7 @@ def sample_weights(
     sites = F.least("n_sites_t", "n_sites_target")
     raw = samples.withColumn("raw_weight", hw * step_weight(days, *day_steps) * step_weight(sites, *site_steps))
     means = raw.groupBy("split").agg(F.avg("raw_weight").alias("_mean"))
-    return raw.join(means, "split").withColumn("weight", F.col("raw_weight") / F.col("_mean")).drop("_mean")
+    return raw.join(F.broadcast(means), "split").withColumn("weight", F.col("raw_weight") / F.col("_mean")).drop("_mean")
 
 
 def finite_ahead(panel: DataFrame, columns: Sequence[str], horizon: int) -> DataFrame:

@@ -89,7 +89,7 @@ def mass_correction(
             F.when(F.col("weighted_sy") > 1e-6, -F.col("diff_cm") / (F.lit(100.0) * F.col("weighted_sy"))).otherwise(F.lit(0.0)),
         )
     )
-    moved = weighted.join(shift.select("month_idx", "shift_m"), "month_idx").withColumn("applied", F.col("shift_m") * F.col("weight"))
+    moved = weighted.join(F.broadcast(shift.select("month_idx", "shift_m")), "month_idx").withColumn("applied", F.col("shift_m") * F.col("weight"))
     return moved.withColumn("corrected", F.col("wtd") + F.col("applied")), shift
 
 

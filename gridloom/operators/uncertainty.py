@@ -63,7 +63,7 @@ def step_radius(members: DataFrame, qhat: DataFrame, steps: DataFrame | None = N
     if steps is not None:
         members = members.join(F.broadcast(steps), ["start_idx", "h"], "left_semi")
     spread = members.groupBy("grid_id", "start_idx", "h").agg(F.stddev_pop("y_pred").alias("_sd"))
-    return spread.join(qhat.select("h", "qhat"), "h").select("grid_id", "start_idx", "h", (F.col("qhat") * F.col("_sd")).alias("radius"))
+    return spread.join(F.broadcast(qhat.select("h", "qhat")), "h").select("grid_id", "start_idx", "h", (F.col("qhat") * F.col("_sd")).alias("radius"))
 
 
 def discounted_rss(steps: DataFrame, radii: DataFrame, gamma: float = 0.55) -> DataFrame:
