@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.bpe import op10_bpe
+from gridloom.llm.licenses import op7_licenses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_licenses": op7_licenses,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {}
