@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.bpe import op10_bpe
+from gridloom.llm.html import op4_html
 from gridloom.llm.licenses import op7_licenses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_html": op4_html,
     "op7_licenses": op7_licenses,
     "op10_bpe": op10_bpe,
 }
