@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.bpe import op10_bpe
 from gridloom.llm.html import op4_html
+from gridloom.llm.minhash import OP2_SQL, op2_minhash
 from gridloom.llm.topk import OP5_SQL, op5_maxscore
 from gridloom.llm.licenses import op7_licenses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash": op2_minhash,
     "op4_html": op4_html,
     "op5_maxscore": op5_maxscore,
     "op7_licenses": op7_licenses,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op5_maxscore": OP5_SQL}
+ORACLES: dict[str, str] = {"op2_minhash": OP2_SQL, "op5_maxscore": OP5_SQL}
