@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.bpe import op10_bpe
+from gridloom.llm.decontaminate import op3_decontaminate
 from gridloom.llm.html import op4_html
 from gridloom.llm.minhash import OP2_SQL, op2_minhash
+from gridloom.llm.repeats import op1_repeats
 from gridloom.llm.topk import OP5_SQL, op5_maxscore
 from gridloom.llm.licenses import op7_licenses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeats": op1_repeats,
     "op2_minhash": op2_minhash,
+    "op3_decontaminate": op3_decontaminate,
     "op4_html": op4_html,
     "op5_maxscore": op5_maxscore,
     "op7_licenses": op7_licenses,
