@@ -44,7 +44,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
-def sliced(batch: pa.RecordBatch, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``max_bytes`` at most (one row may be larger)."""
     rows = batch.num_rows
     if batch.nbytes <= max_bytes or rows <= 1:
@@ -70,7 +70,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of many texts at once: byte ranges, owning rows and 64-bit hashes.
 
-    ``is_word`` maps a byte to whether it belongs to a word, ``fold`` maps a
+    ``is_word`` maps a byte to whether it belongs to a word (or to its kind of
+    word: 0 is none, and words of different kinds may touch), ``fold`` maps a
     byte to the byte that counts (for instance lower case).  Words never cross
     rows.
     """
@@ -79,14 +80,13 @@ class Words:
         raw, self.offsets = text_bytes(column)
         self.raw = fold[raw]
         n = len(raw)
-        inside = np.zeros(n + 1, bool)
-        inside[:n] = is_word[raw]
+        kind = np.zeros(n + 1, np.uint8)
+        kind[:n] = is_word[raw]
         first = np.zeros(n + 1, bool)
         first[self.offsets] = True  # a row's first byte starts a new word
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1] | first[1:]
-        ends = np.zeros(n + 1, bool)
-        ends[1:] = inside[:-1] & (~inside[1:] | first[1:])
+        change = np.append(True, kind[1:] != kind[:-1]) | first
+        begins = change & (kind > 0)
+        ends = np.append(False, change[1:] & (kind[:-1] > 0))
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends)
         self.row = np.searchsorted(self.offsets, self.start, side="right") - 1
@@ -94,19 +94,30 @@ class Words:
         self.row_start = np.concatenate(([0], np.cumsum(self.per_row)))
 
     def hashes(self) -> np.ndarray:
-        """One 64-bit hash per word."""
+        """One 64-bit hash per word: a polynomial of its bytes, from running sums."""
         if not len(self.start):
             return np.zeros(0, U64)
-        n = self.end - self.start
-        longest = int(n.max())
-        power = np.full(longest, U64(0x9E3779B97F4A7C15))
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        letters = self.raw[np.repeat(self.start, n) + place]
-        value = mix(letters.astype(U64) + U64(1)) * power[place]
-        sums = np.add.reduceat(value, np.cumsum(n) - n)
-        return mix(sums + n.astype(U64) * U64(0xD6E8FEB86659FD93))
+        up, down = _powers(len(self.raw))
+        sums = np.zeros(len(self.raw) + 1, U64)
+        np.cumsum(_BYTE_VALUES[self.raw] * up[: len(self.raw)], out=sums[1:])
+        # the base is odd, so it has an inverse: the word's place divides out
+        value = (sums[self.end] - sums[self.start]) * down[self.start]
+        return mix(value + (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+_BYTE_VALUES = mix(np.arange(1, 257, dtype=U64))
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse, kept per worker up to the longest batch."""
+    if len(_POWERS.get("up", ())) < n:
+        base = 0x9E3779B97F4A7C15
+        for name, b in (("up", base), ("down", pow(base, -1, 1 << 64))):
+            line = np.full(max(n, 1 << 16), b, U64)
+            line[0] = 1
+            _POWERS[name] = np.multiply.accumulate(line)
+    return _POWERS["up"], _POWERS["down"]
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:

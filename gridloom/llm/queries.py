@@ -10,8 +10,10 @@ from gridloom.llm.bpe import op10_bpe
 from gridloom.llm.decontaminate import op3_decontaminate
 from gridloom.llm.html import op4_html
 from gridloom.llm.minhash import OP2_SQL, op2_minhash
+from gridloom.llm.pii import op6_pii
 from gridloom.llm.repeats import op1_repeats
 from gridloom.llm.topk import OP5_SQL, op5_maxscore
+from gridloom.llm.langid import op8_langid
 from gridloom.llm.licenses import op7_licenses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,7 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_html": op4_html,
     "op5_maxscore": op5_maxscore,
+    "op6_pii": op6_pii,
     "op7_licenses": op7_licenses,
+    "op8_langid": op8_langid,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {"op2_minhash": OP2_SQL, "op5_maxscore": OP5_SQL}
