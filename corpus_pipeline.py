@@ -1,24 +1,64 @@
-"""The corpus pipeline: stages over ``documents``, each one an operator of ``gridloom.llm``."""
+"""The corpus pipeline: stages over ``documents``, each one an operator of ``gridloom.llm``.
+
+All stages but the last return the columns they were given.  Rows that repeat
+an id are one document: they stay or go together.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import digests, encode_decode
+from gridloom.llm.common import table
+from gridloom.llm.decontaminate import drop_contaminated
+from gridloom.llm.minhash import near_duplicates
+from gridloom.llm.pii import replace_pii
+from gridloom.llm.quality import resampled
+from gridloom.session import scratch_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts outside the importance resample go."""
+    scored, bound = resampled(docs, table(spark, sf_dir, "labels"))
+    return scored.filter(F.col("_key") >= bound).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: shingles of five words, similarity 0.8."""
+    gone = near_duplicates(docs, words=5, percent=80).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
 
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets become surrogates; the length is counted anew."""
+    clean = replace_pii(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean
 
-def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    import public_tokenizers
 
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids and the round trip, as digests."""
     return digests(encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
-STAGES = [("bpe", bpe_stage)]
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pii", pii), ("bpe", bpe)]
+#: resampling, sketches, tilings and byte-pair merges are beyond SQL; tests hold each stage against brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

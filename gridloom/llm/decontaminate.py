@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gridloom.llm.common import LOWER, U64, Words, byte_set, map_batches, mix, table, without
 
@@ -146,54 +147,83 @@ class Items:
                 yield owner, share, tiles
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 4, threshold: float = 0.6, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``id, item_id, n_words, coverage, tiles`` for every document and item found in it."""
-    spark = docs.sparkSession
-    source = without(docs, id_col, text_col)
+def _blocks(benchmark: DataFrame, min_match: int, item_col: str, item_text_col: str) -> Iterator[Items]:
+    """The benchmark in blocks of about ``BLOCK_BYTES`` at most."""
     items = without(benchmark, item_col, item_text_col).toDF("item", "text").filter("text IS NOT NULL")
-    id_type, item_type = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
-    schema = f"id {id_type}, item {item_type}, n_words int, coverage double, tiles array<struct<text_start: int, item_start: int, words: int>>"
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
+    for number in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == number).orderBy("item", "text").collect()
+        yield Items([r["item"] for r in part], [r["text"] for r in part], min_match)
+
+
+def _search(column: pa.Array, known: Items, min_match: int, threshold: float) -> Iterator[tuple[int, int, float, list[tuple[int, int, int]]]]:
+    """``row, item number, coverage, tiles`` for the texts of a batch."""
+    w = word_hashes(column)
+    h = w.hashes()
+    seeds, at = seed_hashes(h, w.per_row, min_match)
+    likely = np.flatnonzero(known.maybe[(seeds >> U64(44)).astype(np.int64)])
+    lo, hi = np.searchsorted(known.seeds, seeds[likely], "left"), np.searchsorted(known.seeds, seeds[likely], "right")
+    hit = np.flatnonzero(hi > lo)
+    at, lo, hi = at[likely[hit]], lo[hit], hi[hit]
+    rows = w.row[at] if len(at) else at
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(rows)) + 1, [len(rows)])) if len(rows) else [0]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        r = int(rows[a])
+        begin = w.row_start[r]
+        for owner, share, tiles in known.found_in(h[begin : begin + w.per_row[r]], at[a:b] - begin, lo[a:b], hi[a:b], min_match, threshold):
+            yield r, owner, share, tiles
+
+
+MIN_MATCH, THRESHOLD = 4, 0.6
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """``id, item_id, n_words, coverage, tiles`` for every document and item found in it."""
+    context = docs.sparkSession.sparkContext
+    source = without(docs, id_col, text_col)
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
+    schema = f"id {dict(docs.dtypes)[id_col]}, item {dict(benchmark.dtypes)[item_col]}, n_words int, coverage double, tiles array<struct<text_start: int, item_start: int, words: int>>"
     tile_type = pa.list_(pa.struct([("text_start", pa.int32()), ("item_start", pa.int32()), ("words", pa.int32())]))
 
-    def of_block(number: int) -> DataFrame:
-        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == number).orderBy("item", "text").collect()
-        shared = spark.sparkContext.broadcast(Items([r["item"] for r in part], [r["text"] for r in part], min_match))
+    def of_block(items: Items) -> DataFrame:
+        shared = context.broadcast(items)
 
-        def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             known = shared.value
-            w = word_hashes(batch.column(1))
-            h = w.hashes()
-            seeds, at = seed_hashes(h, w.per_row, min_match)
-            likely = np.flatnonzero(known.maybe[(seeds >> U64(44)).astype(np.int64)])
-            lo, hi = np.searchsorted(known.seeds, seeds[likely], "left"), np.searchsorted(known.seeds, seeds[likely], "right")
-            hit = np.flatnonzero(hi > lo)
-            at, lo, hi = at[likely[hit]], lo[hit], hi[hit]
-            cols: dict[str, list] = {k: [] for k in ("row", "item", "n_words", "coverage", "tiles")}
-            rows = w.row[at] if len(at) else at
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(rows)) + 1, [len(rows)])) if len(rows) else [0]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                r = int(rows[a])
-                begin = w.row_start[r]
-                for owner, share, tiles in known.found_in(h[begin : begin + w.per_row[r]], at[a:b] - begin, lo[a:b], hi[a:b], min_match, threshold):
-                    cols["row"].append(r)
-                    cols["item"].append(known.ids[owner])
-                    cols["n_words"].append(len(known.words[owner]))
-                    cols["coverage"].append(share)
-                    cols["tiles"].append([{"text_start": j, "item_start": i, "words": k} for j, i, k in sorted(tiles)])
-            ids = batch.column(0).take(pa.array(cols["row"], pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(cols["item"]).cast(item_arrow) if cols["item"] else pa.array([], item_arrow), pa.array(cols["n_words"], pa.int32()), pa.array(cols["coverage"], pa.float64()), pa.array(cols["tiles"], tile_type)],
-                ["id", "item", "n_words", "coverage", "tiles"],
-            )
+            found = list(_search(batch.column(1), known, min_match, threshold))
+            columns = [
+                batch.column(0).take(pa.array([r for r, *_ in found], pa.int64())),
+                pa.array([known.ids[o] for _, o, _, _ in found], item_type),
+                pa.array([len(known.words[o]) for _, o, _, _ in found], pa.int32()),
+                pa.array([s for _, _, s, _ in found], pa.float64()),
+                pa.array([[{"text_start": j, "item_start": i, "words": k} for j, i, k in sorted(t)] for *_, t in found], tile_type),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["id", "item", "n_words", "coverage", "tiles"])
 
         return map_batches(source, one, schema)
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    found = reduce(DataFrame.unionAll, map(of_block, _blocks(benchmark, min_match, item_col, item_text_col)))
+    return found.withColumnsRenamed({"id": id_col, "item": item_col})
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The input without the documents in which an item is found; all columns stay."""
+    at = docs.columns.index(text_col)
+
+    def without_block(rest: DataFrame, items: Items) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[r for r, *_ in _search(batch.column(at), shared.value, min_match, threshold)]] = False
+            return batch.filter(pa.array(keep))
+
+        return map_batches(rest, one, docs.schema)
 
-    item_arrow = to_arrow_type(benchmark.schema[item_col].dataType)
-    return reduce(DataFrame.unionAll, [of_block(n) for n in range(blocks)]).withColumnsRenamed({"id": id_col, "item": item_col})
+    return reduce(without_block, _blocks(benchmark, min_match, item_col, item_text_col), docs)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
