@@ -21,8 +21,8 @@ from gridloom.session import scratch_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts outside the importance resample go."""
-    scored, bound = resampled(docs, table(spark, sf_dir, "labels"))
-    return scored.filter(F.col("_key") >= bound).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored, _, key, bound = resampled(docs, table(spark, sf_dir, "labels"))
+    return scored.filter(key >= bound).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets become surrogates; the length is counted anew."""
-    clean = replace_pii(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    clean = replace_pii(docs)[0].select(*[F.col(f"`{c}`") for c in docs.columns])
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean

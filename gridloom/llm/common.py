@@ -144,3 +144,10 @@ def written(df: DataFrame) -> DataFrame:
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; extra input columns, whatever they are called, take no part."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A prefix with which no column of the input begins."""
+    while any(c.lower().startswith(stem.lower()) for c in df.columns):
+        stem = "_" + stem
+    return stem

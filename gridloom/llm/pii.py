@@ -16,8 +16,8 @@ derived again with the next attempt number until none fails.
 
 Defined results: a null text stays null, an empty one empty; rows that repeat
 an id and its text give equal rows; a null id is kept; all further columns of
-the input are kept as they are, unless they are named like the helper columns,
-which begin with ``_pii``; an empty table gives an empty table.
+the input are kept as they are, whatever they are called; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import table, written
+from gridloom.llm.common import fresh, table, without, written
 
 WORDISH = r"\p{L}\p{N}._%+\-"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -229,27 +229,34 @@ def _rendered(part: Column, surrogate: Column) -> Column:
     return F.when(part["kind"].isNull(), raw).when(part["kind"].isin("card", "ssn", "phone"), separated).when(part["kind"] == "iban", spaced).otherwise(cased)
 
 
-def replace_pii(docs: DataFrame, secret: str = "gridloom", text_col: str = "text") -> DataFrame:
-    """The input with its text replaced, and ``_pii_entities``: kind and surrogate of every part replaced."""
+def replace_pii(docs: DataFrame, secret: str = "gridloom", text_col: str = "text") -> tuple[DataFrame, Column]:
+    """The input with its text replaced, and its extra column: kind and surrogate of every part replaced."""
+    mark = fresh(docs, "_pii")
+    one, two, new_text, entities = (f"{mark}_{x}" for x in ("one", "two", "text", "entities"))
     empty = F.array().cast("array<struct<kind: string, surrogate: string>>")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     text = F.col(f"`{text_col}`")
     gated = F.coalesce(text.rlike(GATE) & text.rlike(ANY), F.lit(False))
-    plain = docs.filter(~gated).select(*columns, empty.alias("_pii_entities"))
-    hit = docs.filter(gated).select(*columns, F.xxhash64(text).alias("_pii_a"), F.xxhash64(text, F.lit(1)).alias("_pii_b"))
+    plain = docs.filter(~gated).select(*columns, empty.alias(entities))
+    hit = docs.filter(gated).select(*columns, F.xxhash64(text).alias(one), F.xxhash64(text, F.lit(1)).alias(two))
     # texts, not rows, are worked on: copies share one result
-    texts = written(hit.select("_pii_a", "_pii_b", text.alias("text")).dropDuplicates(["_pii_a", "_pii_b"]).select("_pii_a", "_pii_b", _sequence(F.col("text")).alias("parts")))
-    flat = texts.select("_pii_a", "_pii_b", F.posexplode("parts").alias("at", "part")).select("_pii_a", "_pii_b", "at", "part.*").filter("kind IS NOT NULL")
-    known = surrogates(flat, secret)
-    found = flat.join(known, ["kind", "canon"]).groupBy("_pii_a", "_pii_b").agg(F.map_from_entries(F.collect_list(F.struct("at", "surrogate"))).alias("new"))
-    joined = texts.join(found, ["_pii_a", "_pii_b"], "left")
+    texts = hit.select(F.col(one).alias("one"), F.col(two).alias("two"), text.alias("text")).dropDuplicates(["one", "two"])
+    texts = written(texts.select("one", "two", _sequence(F.col("text")).alias("parts")))
+    flat = texts.select("one", "two", F.posexplode("parts").alias("at", "part")).select("one", "two", "at", "part.*").filter("kind IS NOT NULL")
+    found = flat.join(surrogates(flat, secret), ["kind", "canon"]).groupBy("one", "two").agg(F.map_from_entries(F.collect_list(F.struct("at", "surrogate"))).alias("new"))
     shown = F.transform("parts", lambda p, i: F.struct(p["kind"].alias("kind"), _rendered(p, F.element_at("new", i)).alias("surrogate")))
-    done = joined.select("_pii_a", "_pii_b", shown.alias("shown"))
-    done = done.select("_pii_a", "_pii_b", F.array_join(F.transform("shown", lambda s: s["surrogate"]), "").alias("_pii_text"), F.filter("shown", lambda s: s["kind"].isNotNull()).alias("_pii_entities"))
-    back = hit.drop(text_col).join(done, ["_pii_a", "_pii_b"]).select(*[F.col("_pii_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], "_pii_entities")
-    return plain.unionAll(back)
+    done = texts.join(found, ["one", "two"], "left").select("one", "two", shown.alias("shown"))
+    done = done.select(
+        F.col("one").alias(one),
+        F.col("two").alias(two),
+        F.array_join(F.transform("shown", lambda s: s["surrogate"]), "").alias(new_text),
+        F.filter("shown", lambda s: s["kind"].isNotNull()).alias(entities),
+    )
+    back = hit.drop(text_col).join(done, [one, two]).select(*[F.col(new_text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], entities)
+    return plain.unionAll(back), F.col(entities)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return replace_pii(docs).select("doc_id", "text", F.size("_pii_entities").cast("bigint").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(F.transform("_pii_entities", lambda e: e["kind"]))), ",").alias("kinds"))
+    clean, entities = replace_pii(without(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform(entities, lambda e: e["kind"]))), ",")
+    return clean.select("doc_id", "text", F.size(entities).cast("bigint").alias("n_entities"), kinds.alias("kinds"))

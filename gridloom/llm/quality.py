@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import LOWER, NON_SPACE, U64, Words, byte_set, map_batches, mix, sliced, table, without, written
+from gridloom.llm.common import LOWER, NON_SPACE, U64, Words, byte_set, fresh, map_batches, mix, sliced, table, without, written
 
 KINDS = NON_SPACE.astype(np.uint8) * 2
 KINDS[byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))] = 1
@@ -137,18 +137,18 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096, small: int = 2000) ->
             return rest[k - above - 1]
 
 
-def resampled(docs: DataFrame, labels: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float]:
-    """The input with ``_log_weight`` and ``_key``, and the key that the k-th text reaches."""
+def resampled(docs: DataFrame, labels: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Column, Column, float]:
+    """The input with its weights: the table, its columns of log weight and key, and the key that the k-th text reaches."""
     weigher = fit(docs, labels, id_col=id_col, text_col=text_col)
-    key = F.col("_log_weight") + gumbel(id_col, seed)
-    narrow = weighed(without(docs, id_col, text_col), weigher.ratio, text_col, "_log_weight").select("_log_weight", key.alias("key"))
-    narrow = written(narrow)
-    k = narrow.filter(F.col("_log_weight") >= weigher.cut).count()
+    name = fresh(docs, "_log_weight")
+    weight, key = F.col(name), F.col(name) + gumbel(id_col, seed)
+    narrow = written(weighed(without(docs, id_col, text_col), weigher.ratio, text_col, name).select(weight.alias("weight"), key.alias("key")))
+    k = narrow.filter(F.col("weight") >= weigher.cut).count()
     bound = kth_largest(narrow.select("key"), k) if k else math.inf
-    return weighed(docs, weigher.ratio, text_col, "_log_weight").withColumn("_key", key), bound
+    return weighed(docs, weigher.ratio, text_col, name), weight, key, bound
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = without(table(spark, sf_dir, "documents"), "doc_id", "text")
-    scored, bound = resampled(docs, table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", F.col("_log_weight").alias("log_weight"), F.col("_key").alias("key"), (F.col("_key") >= bound).alias("kept"))
+    scored, weight, key, bound = resampled(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", weight.alias("log_weight"), key.alias("key"), (key >= bound).alias("kept"))
