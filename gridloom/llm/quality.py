@@ -6,8 +6,9 @@ such.  Two generative models are counted over them: the target model over texts
 labelled as good, the raw model over all texts.  A text's log weight is the sum
 of the log ratios of its features.  The weights' Gumbel top-k is a sample
 without replacement in proportion to the weights; its size k is the number of
-texts whose weight reaches a cut, and the cut is set on labelled texts so that
-all but one in ``1 / (1 - keep_target)`` good ones reach it.
+texts whose weight reaches a cut.  A quarter of the good labelled texts is held
+out of the target model; the cut is set on them so that all but one in
+``1 / (1 - keep_target)`` reach it, as unlabelled good texts will.
 
 The labels are a bounded sample (``max_labels``, in the order of a hash of the
 id); the raw counts, the weights, k and the k-th key cover all texts.
@@ -75,9 +76,10 @@ def feature_counts(labelled: DataFrame, buckets: int) -> DataFrame:
 
 
 def label_sample(labels: DataFrame, max_labels: int, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """``id, good`` of at most ``max_labels`` labelled documents."""
+    """``id, good, held_out`` of at most ``max_labels`` labelled documents."""
     rows = without(labels, id_col, label_col).toDF("id", "label").filter("id IS NOT NULL AND label IS NOT NULL")
-    return rows.groupBy("id").agg((F.min("label") > 0).alias("good")).orderBy(F.xxhash64("id"), "id").limit(max_labels)
+    chosen = rows.groupBy("id").agg((F.min("label") > 0).alias("good")).orderBy(F.xxhash64("id"), "id").limit(max_labels)
+    return chosen.withColumn("held_out", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(4)) == 0)
 
 
 def weighed(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", name: str = "log_weight") -> DataFrame:
@@ -97,14 +99,14 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = 10000, max_labels: in
     texts = without(docs, id_col, text_col).toDF("id", "text")
     sample = written(label_sample(labels, max_labels))  # at most max_labels rows: small enough to be sent to every task
     joined = texts.join(F.broadcast(sample), "id", "left")
-    counts = feature_counts(joined.select("text", "good"), buckets).collect()  # at most one row per bucket
+    counts = feature_counts(joined.select("text", (F.col("good") & ~F.col("held_out")).alias("good")), buckets).collect()  # at most one row per bucket
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for r in counts:
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     if not target.sum():
         return Weigher(np.zeros(buckets), -math.inf)
     ratio = np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
-    good = texts.join(F.broadcast(sample.filter("good")), "id").select("text")
+    good = texts.join(F.broadcast(sample.filter("good AND held_out")), "id").select("text")
     reached = sorted(r["log_weight"] for r in weighed(good, ratio).select("log_weight").collect())  # of the sample
     return Weigher(ratio, reached[int(len(reached) * (1 - keep_target))] if reached else -math.inf)
 

@@ -137,6 +137,8 @@ def _gathered(texts: DataFrame, length: int, gram: int, buckets: int) -> DataFra
         oid, key = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
         raw, offsets = text_bytes(batch.column(2))
         row, start, count, hashes = runs_of(raw, offsets, length, gram)
+        if not len(row):
+            return
         kind = np.zeros(len(row), np.uint8)
         keep = np.ones(len(row), bool)
         order = np.lexsort((start, key[row], oid[row], hashes))
