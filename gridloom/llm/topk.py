@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from gridloom.llm.common import shuffle_partitions, table, without
 
-SHARD_ROWS, BLOCK_ROWS = 8192, 512
+SHARD_ROWS, BLOCK_ROWS = 4096, 512
 
 
 def quantised(column: str, scale: int = 256) -> Column:
@@ -98,17 +98,20 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vec_col: str = "vector") -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vec_col: str = "vector", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score`` over integer vectors; ``queries`` picks the query rows."""
     spark = vectors.sparkSession
     rows = vectors.withColumn("is_query", queries).select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).alias("vector"), F.coalesce("is_query", F.lit(False)).alias("is_query"))
     rows = rows.filter(F.col("vec_id").isNotNull()).dropDuplicates(["vec_id", "vector"])
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("is_query").cast("int")), F.lit(0)).alias("q"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("width")).first()
-    shards, blocks, width = -(-size["n"] // SHARD_ROWS) or 1, -(-size["q"] // BLOCK_ROWS) or 1, size["width"]
+    shards, blocks, width = -(-size["n"] // shard_rows) or 1, -(-size["q"] // block_rows) or 1, size["width"]
     spread = F.xxhash64("vec_id", "vector")
-    tasks = max(1, min(shards * blocks, 8 * shuffle_partitions(spark)))
-    left = rows.withColumn("shard", F.pmod(spread, F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = rows.filter("is_query").withColumn("block", F.pmod(spread, F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    tasks = max(1, min(4 * shards * blocks, 8 * shuffle_partitions(spark)))
+    # both sides need keys of one type, or equal keys are dealt to different tasks
+    own_shard, own_block = F.pmod(spread, F.lit(shards).cast("bigint")), F.pmod(spread, F.lit(blocks).cast("bigint"))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    left = rows.withColumn("shard", own_shard).withColumn("block", all_of(blocks))
+    right = rows.filter("is_query").withColumn("block", own_block).withColumn("shard", all_of(shards))
     keys = ["block", "shard"]
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
