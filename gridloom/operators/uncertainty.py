@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Fixed plan per gap: longest horizon first, horizons 6, 3 and 1.
-GREEDY_PATHS: dict[int, tuple[int, ...]] = {}
-for _gap in range(1, 13):
-    _left, _path = _gap, []
-    for _h in (6, 3, 1):
-        while _left >= _h:
-            _path.append(_h)
-            _left -= _h
-    GREEDY_PATHS[_gap] = tuple(_path)
+HORIZONS = (6, 3, 1)
+
+
+def greedy_paths(largest: int) -> dict[int, tuple[int, ...]]:
+    """A plan per gap up to the largest one present: horizons 6, 3 and 1, longest first."""
+    paths = {}
+    for gap in range(1, largest + 1):
+        left, path = gap, []
+        for h in HORIZONS:
+            path += [h] * (left // h)
+            left %= h
+        paths[gap] = tuple(path)
+    return paths
 
 
 def leaf_segments(anchors: DataFrame) -> DataFrame:
@@ -28,10 +32,16 @@ def leaf_segments(anchors: DataFrame) -> DataFrame:
     )
 
 
+def split_leaves(summary: DataFrame) -> DataFrame:
+    """Leaf segments of an adaptive split: those that were not split again."""
+    return summary.where(~F.col("was_split")).select("left_idx", "right_idx").distinct()
+
+
 def plan_steps(segments: DataFrame, paths: Mapping[int, Sequence[int]]) -> DataFrame:
     """(left, target, pos, n_steps, start_idx, h): the steps leading to each month.
 
-    The plan is a handful of rows and travels as a literal array.
+    The plan has a few rows per month of the longest gap and travels as a
+    literal array.  A segment longer than the longest path is an error.
     """
     rows = []
     for gap, path in paths.items():
@@ -41,9 +51,11 @@ def plan_steps(segments: DataFrame, paths: Mapping[int, Sequence[int]]) -> DataF
             at += h
     names = ("gap", "pos", "n_steps", "offset", "h")
     plan = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows])
+    span = F.col("right_idx") - F.col("left_idx")
+    span = F.when(span <= max(paths), span).otherwise(F.raise_error(F.lit("a gap has no path")).cast("int"))
     return (
-        segments.select("left_idx", "right_idx", F.inline(plan))
-        .where(F.col("gap") <= F.col("right_idx") - F.col("left_idx"))
+        segments.select("left_idx", "right_idx", span.alias("_span"), F.inline(plan))
+        .where(F.col("gap") <= F.col("_span"))
         .select(
             "left_idx", (F.col("left_idx") + F.col("gap")).alias("target_idx"), "pos", "n_steps",
             (F.col("left_idx") + F.col("offset")).alias("start_idx"), "h",
@@ -66,27 +78,49 @@ def step_radius(members: DataFrame, qhat: DataFrame, steps: DataFrame | None = N
     return spread.join(F.broadcast(qhat.select("h", "qhat")), "h").select("grid_id", "start_idx", "h", (F.col("qhat") * F.col("_sd")).alias("radius"))
 
 
-def discounted_rss(steps: DataFrame, radii: DataFrame, gamma: float = 0.55) -> DataFrame:
-    """sqrt of the discounted sum of squared step radii per (cell, target month)."""
+def discounted_rss(cells: DataFrame, steps: DataFrame, radii: DataFrame, gamma: float = 0.55) -> DataFrame:
+    """sqrt of the discounted sum of squared step radii per (cell, target month).
+
+    Every cell gets every target month of the plan.  A path with a missing step
+    has no radius; ``steps_found`` tells how many of ``n_steps`` there are.
+    """
     weight = F.pow(F.lit(gamma), F.col("n_steps") - F.col("pos"))
+    plan = steps.agg(F.collect_list(F.struct("target_idx", "pos", "n_steps", "start_idx", "h"))).scalar()
+    wanted = cells.select("grid_id", F.inline(plan))
     return (
-        radii.join(F.broadcast(steps), ["start_idx", "h"])
+        wanted.join(radii, ["grid_id", "start_idx", "h"], "left")
         .groupBy("grid_id", F.col("target_idx").alias("month_idx"))
         .agg(
-            F.sqrt(F.sum(F.pow(weight * F.col("radius"), F.lit(2.0)))).alias("radius"),
-            F.count(F.lit(1)).alias("steps_found"),
+            F.sqrt(F.sum(F.pow(weight * F.col("radius"), F.lit(2.0)))).alias("_rss"),
+            F.count("radius").alias("steps_found"),
             F.max("n_steps").alias("n_steps"),
         )
+        .withColumn("radius", F.when(F.col("steps_found") == F.col("n_steps"), F.col("_rss")))
+        .drop("_rss")
     )
 
 
-def observed_month_radius(radius: DataFrame, obs: DataFrame, one_step: DataFrame, h: int) -> DataFrame:
-    """Observed months take the one-step radius of horizon ``h`` (0 before month h)."""
+def require_full_paths(radius: DataFrame) -> DataFrame:
+    """Fail when a path lacks a step."""
+    ok = F.when(F.col("steps_found") == F.col("n_steps"), F.lit(True)).otherwise(F.raise_error(F.lit("a path lacks a step radius")).cast("boolean"))
+    return radius.where(ok)
+
+
+def observed_month_radius(cells: DataFrame, n_months: int, radius: DataFrame, obs: DataFrame, one_step: DataFrame, h: int) -> DataFrame:
+    """Dense radius per (cell, month).
+
+    Observed months take the one-step radius of horizon ``h`` (0 before month
+    h), other months that of their path, and months outside all paths 0.
+    """
+    dense = cells.select("grid_id", F.explode(F.sequence(F.lit(0), F.lit(n_months - 1))).alias("month_idx"))
     shifted = one_step.where(F.col("h") == h).select("grid_id", (F.col("start_idx") + h).alias("month_idx"), F.col("radius").alias("_one"))
     seen = obs.select("grid_id", "month_idx", F.lit(True).alias("_seen"))
+    planned = radius.select("grid_id", "month_idx", "radius", F.lit(True).alias("_planned"))
+    once = F.when(F.col("month_idx") < h, F.lit(0.0)).otherwise(F.col("_one"))
+    path = F.when(F.col("_planned"), F.col("radius")).otherwise(F.lit(0.0))
     return (
-        radius.join(seen, ["grid_id", "month_idx"], "left")
+        dense.join(planned, ["grid_id", "month_idx"], "left")
+        .join(seen, ["grid_id", "month_idx"], "left")
         .join(shifted, ["grid_id", "month_idx"], "left")
-        .withColumn("radius", F.when(F.col("_seen"), F.coalesce("_one", F.lit(0.0))).otherwise(F.col("radius")))
-        .drop("_seen", "_one")
+        .select("grid_id", "month_idx", F.when(F.col("_seen"), once).otherwise(path).alias("radius"))
     )

@@ -423,7 +423,9 @@ def g02(t: Tables) -> DataFrame:
     return graph.undirected(e, ["dist"])
 
 
-PLAN_SQL = "(VALUES (1, [1]), (2, [1, 1]), (3, [3]), (4, [3, 1]), (5, [3, 1, 1]), (6, [6]), (7, [6, 1]), (8, [6, 1, 1]), (9, [6, 3]), (10, [6, 3, 1]), (11, [6, 3, 1, 1]), (12, [6, 6])) gp(gap, path)"
+#: steps of 6 first, then of 3, then of 1
+PLAN_SQL = """(SELECT gap, list_concat(list_concat(list_transform(range(gap // 6), lambda i: 6), list_transform(range((gap % 6) // 3), lambda i: 3)), list_transform(range(gap % 3), lambda i: 1)) AS path
+    FROM range(1, 84) r(gap)) gp"""
 STEPS = (
     "steps",
     f"""SELECT l.left_idx, l.left_idx + gap AS target_idx, u.pos AS pos, len(path) AS n_steps, l.left_idx + coalesce(list_sum(path[1:u.pos - 1]), 0) AS start_idx, path[u.pos] AS h
@@ -436,25 +438,45 @@ LEAF = (
 )
 
 
-@query(
-    "g03_required_steps",
-    "start_idx:i h:i",
-    with_blocks("calendar", "SELECT DISTINCT start_idx, h FROM steps", LEAF, STEPS),
+#: Januaries between the first and the last observed month, and the last one
+LEAF_SEEN = (
+    "leaf",
+    """SELECT month_idx AS left_idx, lead(month_idx) OVER (ORDER BY month_idx) AS right_idx FROM
+    (SELECT month_idx FROM calendar WHERE month_idx BETWEEN (SELECT min(month_idx) FROM obs) AND (SELECT max(month_idx) FROM obs)
+     AND (month = 1 OR month_idx = (SELECT max(month_idx) FROM obs))) QUALIFY right_idx IS NOT NULL""",
 )
-def g03(t: Tables) -> DataFrame:
+LEAF_SEEN_24 = (LEAF_SEEN[0], LEAF_SEEN[1].replace("month = 1", "month_idx % 24 = 0"))
+
+
+def seen_steps(t: Tables, every: int | None) -> DataFrame:
+    """Steps of the plans between the anchors of the observed span."""
     from gridloom.operators.anchors import anchor_months
-    from gridloom.operators.uncertainty import GREEDY_PATHS, leaf_segments, plan_steps, required_steps
+    from gridloom.operators.uncertainty import greedy_paths, leaf_segments, plan_steps, required_steps
+
+    span = t.obs.agg(F.struct(F.min("month_idx").alias("a"), F.max("month_idx").alias("b"))).scalar()
+    months = t.calendar.withColumn("_e", span).where((F.col("month_idx") >= F.col("_e.a")) & (F.col("month_idx") <= F.col("_e.b"))).drop("_e")
+    leaves = leaf_segments(anchor_months(months, every=every))
+    largest = leaves.agg(F.max(F.col("right_idx") - F.col("left_idx"))).first()[0]
+    return required_steps(plan_steps(leaves, greedy_paths(largest)))
+
+
+@query("g03_required_steps", "start_idx:i h:i", with_blocks("calendar obs", "SELECT DISTINCT start_idx, h FROM steps", LEAF_SEEN, STEPS))
+def g03(t: Tables) -> DataFrame:
+    return seen_steps(t, None)
+
 
-    return required_steps(plan_steps(leaf_segments(anchor_months(t.calendar)), GREEDY_PATHS))
+@query("g03_required_steps_long_gaps", "start_idx:i h:i", with_blocks("calendar obs", "SELECT DISTINCT start_idx, h FROM steps", LEAF_SEEN_24, STEPS))
+def g03_long(t: Tables) -> DataFrame:
+    return seen_steps(t, 24)
 
 
 @query(
     "g04_missing_steps",
     "start_idx:i h:i",
     with_blocks(
-        "pairs calendar",
+        "pairs calendar obs",
         "SELECT DISTINCT start_idx, h FROM steps WHERE (start_idx, h) NOT IN (SELECT (start_idx, h) FROM pairs WHERE n_days_t >= 3)",
-        LEAF,
+        LEAF_SEEN,
         STEPS,
     ),
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -251,7 +253,7 @@ def j02(t: Tables) -> DataFrame:
 
 
 CFG = reconstruct.Settings(
-    paths=uncertainty.GREEDY_PATHS, exact_min=EXACT, single_alpha=ALPHA, single_scale=SCALE, split_rmse=1.2, split_p95=9.0,
+    paths=uncertainty.greedy_paths(12), exact_min=EXACT, single_alpha=ALPHA, single_scale=SCALE, split_rmse=0.58, split_p95=9.0,
     solver={"fixed_iterations": ROUNDS},
 )
 DRV = ("drv", "SELECT grid_id, start_idx, h, 0.03::DOUBLE * h * cos(start_idx * 0.5::DOUBLE + grid_id % 5) AS base FROM cells, (SELECT DISTINCT start_idx, h FROM steps)")
@@ -278,11 +280,11 @@ SEG0 = (
 )
 
 
-def segment_ctes(prefix: str, seg: str, anchors: str) -> rs.Ctes:
+def segment_ctes(prefix: str, seg: str, anchors: str, top: int = rs.TOP) -> rs.Ctes:
     return (
-        *rs.propagate(f"{prefix}p", seg, "drv", "obsn", SLOPE, EXACT, ALPHA, SCALE),
-        *rs.endpoints(f"{prefix}e", f"{prefix}p", anchors, "mcount", EXACT, ALPHA, SCALE),
-        *rs.corrected(f"{prefix}c", f"{prefix}e"),
+        *rs.propagate(f"{prefix}p", seg, "drv", "obsn", SLOPE, EXACT, ALPHA, SCALE, top),
+        *rs.endpoints(f"{prefix}e", f"{prefix}p", anchors, "mcount", EXACT, ALPHA, SCALE, top),
+        *rs.corrected(f"{prefix}c", f"{prefix}e", top),
         *rs.summary(f"{prefix}s", f"{prefix}e"),
     )
 
@@ -303,24 +305,52 @@ def month_counts(t: Tables) -> DataFrame:
     return t.obs.groupBy("month_idx").agg(F.count(F.lit(1)).alias("n_month"))
 
 
-def endpoints(t: Tables) -> DataFrame:
-    states = field_states(t)
-    seg = reconstruct.root_segments(states, anchor_list(t))
-    return reconstruct.correct_endpoint(reconstruct.propagate(seg, predictor(t), observed(t), CFG), states, month_counts(t), CFG)
+#: the same with anchors every 24 months, and the months after the last of them
+LEAF24 = ("leaf", "SELECT * FROM (VALUES (0, 24), (24, 48), (48, 72)) l(left_idx, right_idx)")
+WIDE = (*FIELD_CTES, OBSN, LEAF24, DRV_ALL, COUNTS, FIELD_STATES, SEG0, *segment_ctes("a", "seg0", "astate", 24))
+TAIL = (
+    *FIELD_CTES, OBSN, DRV_ALL, FIELD_STATES,
+    ("seg0", "SELECT -1 AS segment_id, grid_id, 60 AS left_idx, 83 AS right_idx, value AS state FROM astate WHERE month_idx = 60"),
+    *rs.propagate("ap", "seg0", "drv", "obsn", SLOPE, EXACT, ALPHA, SCALE, 23),
+)
+CFG24 = replace(CFG, paths=uncertainty.greedy_paths(24))
+
+
+def propagated(t: Tables, anchors: list[int], cfg: reconstruct.Settings) -> DataFrame:
+    seg = reconstruct.root_segments(field_states(t), anchors)
+    return reconstruct.propagate(seg, predictor(t), observed(t), cfg)
+
+
+def endpoints(t: Tables, anchors: list[int], cfg: reconstruct.Settings) -> DataFrame:
+    return reconstruct.correct_endpoint(propagated(t, anchors, cfg), field_states(t), month_counts(t), cfg)
 
 
-STATE_SPEC = "segment_id:i grid_id:i gap:i " + " ".join(f"s{k}:f" for k in range(rs.TOP + 1))
+STATE_SPEC = "segment_id:i grid_id:i gap:i k:i state:f"
 
 
-@query("j03_propagate", STATE_SPEC, with_blocks(BLOCKS, "SELECT * FROM ap", *renamed(FIRST)))
+@query("j03_propagate", STATE_SPEC, with_blocks(BLOCKS, "SELECT * FROM al", *renamed(FIRST), *rs.state_rows("al", "ap")))
 def j03(t: Tables) -> DataFrame:
-    seg = reconstruct.root_segments(field_states(t), anchor_list(t))
-    return reconstruct.propagate(seg, predictor(t), observed(t), CFG)
+    return reconstruct.state_rows(propagated(t, anchor_list(t), CFG))
+
+
+@query("j03_propagate_long_gaps", STATE_SPEC, with_blocks(BLOCKS, "SELECT * FROM al", *renamed(WIDE), *rs.state_rows("al", "ap", 24)))
+def j03_long(t: Tables) -> DataFrame:
+    return reconstruct.state_rows(propagated(t, [0, 24, 48, 72], CFG24))
+
+
+@query("j03_extrapolate_tail", "grid_id:i month_idx:i value:f", with_blocks(BLOCKS, "SELECT grid_id, 60 + k AS month_idx, state AS value FROM al WHERE k > 0", *TAIL, *rs.state_rows("al", "ap", 23)))
+def j03_tail(t: Tables) -> DataFrame:
+    return reconstruct.extrapolate_tail(field_states(t), 60, 83, predictor(t), observed(t), CFG24)
 
 
 @query("j04_endpoint_correction", "segment_id:i grid_id:i month_idx:i value:f", with_blocks(BLOCKS, "SELECT * FROM ac", *renamed(FIRST)))
 def j04(t: Tables) -> DataFrame:
-    return reconstruct.corrected_months(endpoints(t), CFG)
+    return reconstruct.corrected_months(endpoints(t, anchor_list(t), CFG))
+
+
+@query("j04_endpoint_correction_long_gaps", "segment_id:i grid_id:i month_idx:i value:f", with_blocks(BLOCKS, "SELECT * FROM ac", *renamed(WIDE)))
+def j04_long(t: Tables) -> DataFrame:
+    return reconstruct.corrected_months(endpoints(t, [0, 24, 48, 72], CFG24))
 
 
 @query(
@@ -329,7 +359,7 @@ def j04(t: Tables) -> DataFrame:
     with_blocks(BLOCKS, "SELECT * FROM asm", *renamed(FIRST)),
 )
 def d32(t: Tables) -> DataFrame:
-    return reconstruct.segment_summary(endpoints(t))
+    return reconstruct.segment_summary(endpoints(t, anchor_list(t), CFG))
 
 
 def split_ctes(anchors: str) -> rs.Ctes:
@@ -338,7 +368,7 @@ def split_ctes(anchors: str) -> rs.Ctes:
         (
             "cuts",
             f"""SELECT segment_id, left_idx, right_idx, cut FROM (SELECT segment_id, left_idx, right_idx, rmse, p95_abs_diff, left_idx + CASE WHEN right_idx - left_idx >= 18 THEN 12 WHEN right_idx - left_idx >= 12 THEN 6
-            ELSE (right_idx - left_idx) // 2 END AS cut FROM asm) WHERE right_idx - left_idx > 6 AND (rmse > {CFG.split_rmse} OR p95_abs_diff > {CFG.split_p95}) AND cut IN (SELECT month_idx FROM mcount)""",
+            ELSE (right_idx - left_idx) // 2 END AS cut FROM asm) WHERE right_idx - left_idx > 6 AND (rmse > 0.58 OR p95_abs_diff > 9.0) AND cut IN (SELECT month_idx FROM mcount)""",
         ),
         ("ssys", "SELECT grid_id, month_idx, value, greatest(quality, 1.0) AS quality FROM obsn WHERE month_idx IN (SELECT cut FROM cuts)"),
         *rs.pcg("mid", "ssys", 1.0, ROUNDS),

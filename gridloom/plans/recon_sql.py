@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.operators.uncertainty import GREEDY_PATHS
-
 Ctes = tuple[tuple[str, str], ...]
-TOP = max(GREEDY_PATHS)
+#: longest interval of the January anchors
+TOP = 12
 
 
 def pcg(name: str, system: str, lam: float, rounds: int, nodes: str = "cells", exact: str = "TRUE") -> Ctes:
@@ -60,15 +59,16 @@ def assimilated(m: str, o: str, q: str, n: str, exact_min: int, alpha: float, sc
 
 
 def last_step(gap: int) -> tuple[int, int]:
-    h = GREEDY_PATHS[gap][-1]
+    """Steps of 6 come first, then of 3, then of 1."""
+    h = 1 if gap % 3 else 3 if gap % 6 else 6
     return gap - h, h
 
 
-def propagate(name: str, seg: str, drv: str, obs: str, slope: dict[int, float], exact_min: int, alpha: float, scale: float) -> Ctes:
-    plan = ", ".join(["(0, NULL, NULL)"] + [f"({k}, {last_step(k)[0]}, {last_step(k)[1]})" for k in range(1, TOP + 1)])
+def propagate(name: str, seg: str, drv: str, obs: str, slope: dict[int, float], exact_min: int, alpha: float, scale: float, top: int = TOP) -> Ctes:
+    plan = ", ".join(["(0, NULL, NULL)"] + [f"({k}, {last_step(k)[0]}, {last_step(k)[1]})" for k in range(1, top + 1)])
     cols = ", ".join(
-        [f"max(base) FILTER (k = {k}) AS b{k}" for k in range(1, TOP + 1)]
-        + [f"max(o.value) FILTER (k = {k}) AS o{k}, max(o.quality) FILTER (k = {k}) AS q{k}" for k in range(TOP + 1)]
+        [f"max(base) FILTER (k = {k}) AS b{k}" for k in range(1, top + 1)]
+        + [f"max(o.value) FILTER (k = {k}) AS o{k}, max(o.quality) FILTER (k = {k}) AS q{k}" for k in range(top + 1)]
     )
     ctes = [
         (
@@ -79,24 +79,28 @@ def propagate(name: str, seg: str, drv: str, obs: str, slope: dict[int, float],
         )
     ]
     src = f"{name}_i"
-    for k in range(1, TOP + 1):
+    for k in range(1, top + 1):
         prev, h = last_step(k)
-        inner = f"SELECT *, CASE WHEN gap >= {k} THEN s{prev} - (coalesce(b{k}, 0) + {slope[h]}::DOUBLE * s{prev}) END AS mv FROM {src}"
+        inner = f"SELECT *, CASE WHEN gap >= {k} THEN s{prev} - (b{k} + {slope[h]}::DOUBLE * s{prev}) END AS mv FROM {src}"
         ctes.append((f"{name}_s{k}", f"SELECT * EXCLUDE (mv), {assimilated('mv', f'o{k}', f'q{k}', 'n_months', exact_min, alpha, scale)} AS s{k} FROM ({inner})"))
         src = f"{name}_s{k}"
     ctes.append((name, f"SELECT * FROM {src}"))
     return tuple(ctes)
 
 
-def at_gap(p: str) -> str:
-    return "CASE gap " + " ".join(f"WHEN {k} THEN {p}{k}" for k in range(1, TOP + 1)) + " END"
+def at_gap(p: str, top: int) -> str:
+    return "CASE gap " + " ".join(f"WHEN {k} THEN {p}{k}" for k in range(1, top + 1)) + " END"
+
+
+def state_rows(name: str, states: str, top: int = TOP) -> Ctes:
+    return ((name, " UNION ALL ".join(f"SELECT segment_id, grid_id, gap, {k} AS k, s{k} AS state FROM {states} WHERE gap >= {k}" for k in range(top + 1))),)
 
 
-def endpoints(name: str, states: str, anchors: str, counts: str, exact_min: int, alpha: float, scale: float) -> Ctes:
+def endpoints(name: str, states: str, anchors: str, counts: str, exact_min: int, alpha: float, scale: float, top: int = TOP) -> Ctes:
     return (
         (
             f"{name}_x",
-            f"""SELECT p.*, a.value AS av, {at_gap('s')} AS end_state, {at_gap('o')} AS oo, {at_gap('q')} AS qq, coalesce(n_month, 0) AS nm FROM {states} p
+            f"""SELECT p.*, a.value AS av, {at_gap('s', top)} AS end_state, {at_gap('o', top)} AS oo, {at_gap('q', top)} AS qq, coalesce(n_month, 0) AS nm FROM {states} p
             JOIN {anchors} a ON a.grid_id = p.grid_id AND a.month_idx = p.right_idx LEFT JOIN {counts} c ON c.month_idx = p.right_idx""",
         ),
         (f"{name}_y", f"SELECT *, {assimilated('av', 'oo', 'qq', 'n_months', exact_min, alpha, scale)} AS right_anchor, coalesce(oo IS NOT NULL AND n_months >= {exact_min}, FALSE) AS ex FROM {name}_x"),
@@ -108,11 +112,11 @@ def endpoints(name: str, states: str, anchors: str, counts: str, exact_min: int,
     )
 
 
-def corrected(name: str, ends: str) -> Ctes:
+def corrected(name: str, ends: str, top: int = TOP) -> Ctes:
     parts = " UNION ALL ".join(
         f"""SELECT segment_id, grid_id, left_idx, right_idx, left_idx + {k} AS month_idx, coalesce(o{k}, s{k} + ({k}::DOUBLE / gap) * ({k}::DOUBLE / gap) * ({k}::DOUBLE / gap) * (effective_anchor - end_state)) AS value
         FROM {ends} WHERE gap >= {k}"""
-        for k in range(TOP + 1)
+        for k in range(top + 1)
     )
     return ((name, parts),)
 
