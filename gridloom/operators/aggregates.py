@@ -44,9 +44,9 @@ def weighted_mean(value: str, weight: str) -> Column:
 
 
 def fill_with_group_mean(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Missing values take the mean of their layer-like group (few groups, broadcast)."""
+    """Missing values take the mean of their group; without a group they stay missing."""
     means = df.groupBy(group).agg(F.avg(value).alias("_mean"))
-    return df.join(F.broadcast(means), group).withColumn(value, F.coalesce(value, "_mean")).drop("_mean")
+    return df.join(means, group, "left").withColumn(value, F.coalesce(value, "_mean")).drop("_mean")
 
 
 def fill_with_medians(df: DataFrame, columns: Sequence[str], default: float = 0.0) -> DataFrame:
@@ -94,10 +94,9 @@ def metric_report(predictions: DataFrame, sets: Sequence[Sequence[str]], pred: s
 
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
-    """Counts per value with their share; the window sees one row per value."""
-    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))
-    )
+    """Counts per value with their share of all rows."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / total)
 
 
 def ensemble_summary(predictions: DataFrame, keys: Sequence[str], members: int) -> DataFrame:

@@ -135,20 +135,18 @@ def nearest_on_axis(points: DataFrame, value: str, axis: DataFrame, coord: str,
     along = Window.orderBy(coord)
     mid_lo = (F.lag(coord).over(along) + F.col(coord)) / 2
     mid_hi = (F.lead(coord).over(along) + F.col(coord)) / 2
-    ends = points.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("_e")).scalar()
-    owned = (
-        axis.select(coord, index, mid_lo.alias("_lo"), mid_hi.alias("_hi"))
-        .withColumn("_e", ends)
-        .withColumn("_lo", F.coalesce("_lo", F.least(F.col("_e.lo"), F.col(coord)) - 1.0))
-        .withColumn("_hi", F.coalesce("_hi", F.greatest(F.col("_e.hi"), F.col(coord)) + 1.0))
-        .drop("_e")
-    )
     step = axis.agg(
         F.greatest((F.max(coord) - F.min(coord)) / F.greatest(F.count(F.lit(1)) - 1, F.lit(1)), F.lit(1e-9))
     ).scalar()
-    distinct = points.select(value).distinct()
-    found = interval_join(distinct, value, owned, "_lo", "_hi", step).drop("_lo", "_hi")
-    return points.join(found, value, "left")
+    # points beyond the axis are looked up at its end, so no interval leaves it
+    owned = axis.select(coord, index, mid_lo.alias("_lo"), mid_hi.alias("_hi")).withColumns(
+        {"_lo": F.coalesce("_lo", F.col(coord) - step), "_hi": F.coalesce("_hi", F.col(coord))}
+    )
+    ends = axis.agg(F.struct(F.min(coord).alias("lo"), F.max(coord).alias("hi"))).scalar()
+    clamped = points.withColumn("_e", ends).withColumn("_at", F.least(F.greatest(F.col(value), F.col("_e.lo")), F.col("_e.hi"))).drop("_e")
+    distinct = clamped.select("_at").distinct()
+    found = interval_join(distinct, "_at", owned, "_lo", "_hi", step).drop("_lo", "_hi")
+    return clamped.join(found, "_at", "left").drop("_at")
 
 
 def bracket_asof(queries: DataFrame, facts: DataFrame, key: str, time: str, columns: Sequence[str]) -> DataFrame:

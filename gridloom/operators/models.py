@@ -22,10 +22,15 @@ def seeded_weight(key: str, seed: int):
 
 
 def fit_member(train: DataFrame, features: Sequence[str], label: str, key: str, seed: int) -> PipelineModel:
-    """One ensemble member: a ridge regression on a seeded bootstrap of the rows."""
+    """One ensemble member: a ridge regression on a seeded bootstrap of the rows.
+
+    Missing features take the training median, so every row is used and predicted.
+    """
     rows = train.withColumn("_w", seeded_weight(key, seed)).where(F.col("_w") > 0)
+    filled = [f"_i_{c}" for c in features]
     stages = [
-        VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip"),
+        Imputer(inputCols=list(features), outputCols=filled, strategy="median"),
+        VectorAssembler(inputCols=filled, outputCol="_x"),
         LinearRegression(featuresCol="_x", labelCol=label, weightCol="_w", predictionCol="_p", regParam=1e-3, solver="normal"),
     ]
     return Pipeline(stages=stages).fit(rows)
@@ -41,7 +46,7 @@ def predict_ensemble(samples: DataFrame, models: dict[int, PipelineModel]) -> Da
     """Stacked member predictions (one row per sample and seed)."""
     out = None
     for seed, model in models.items():
-        part = model.transform(samples).drop("_x").withColumnRenamed("_p", "y_pred").withColumn("seed", F.lit(seed))
+        part = model.transform(samples).select(*samples.columns, "_p").withColumnRenamed("_p", "y_pred").withColumn("seed", F.lit(seed))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -65,20 +70,25 @@ def _probability(model: PipelineModel, rows: DataFrame, keep: Sequence[str], out
     return model.transform(rows).select(*keep, vector_to_array("probability")[1].alias(out))
 
 
+def out_of_fold(rows: DataFrame, features: Sequence[str], label: str, folds: int, trees: int = 500, keys: Sequence[str] = ("grid_id",)) -> DataFrame:
+    """Probability of each row by the forest that did not see its spatial block (one fit per fold)."""
+    oof = None
+    for k in range(folds):
+        model = forest_pipeline(features, label, trees).fit(rows.where(F.col("fold") != k))
+        part = _probability(model, rows.where(F.col("fold") == k), [*keys, "fold", label], "p_oof")
+        oof = part if oof is None else oof.unionByName(part)
+    return oof
+
+
 def block_validated_forest(
     rows: DataFrame, features: Sequence[str], label: str, folds: int, trees: int = 500, keys: Sequence[str] = ("grid_id",)
 ) -> tuple[DataFrame, PipelineModel]:
     """Out-of-fold and final probabilities; ``rows`` carries a ``fold`` column.
 
-    The loop runs once per fold, over whole spatial blocks.  Every row must get
-    an out-of-fold value, otherwise the job fails.
+    Every row must get an out-of-fold value, otherwise the job fails.
     """
     rows = cut_lineage(rows)
-    oof = None
-    for k in range(folds):
-        model = forest_pipeline(features, label, trees).fit(rows.where(F.col("fold") != k))
-        part = _probability(model, rows.where(F.col("fold") == k), [*keys, "fold", label], "p_oof")
-        oof = part if oof is None else oof.unionByName(part)
+    oof = out_of_fold(rows, features, label, folds, trees, keys)
     final = forest_pipeline(features, label, trees).fit(rows)
     both = rows.select(*keys).join(oof, list(keys), "left").join(_probability(final, rows, keys, "p_final"), list(keys))
     guarded = F.when(F.col("p_oof").isNull(), F.raise_error(F.lit("row without out-of-fold value")).cast("double")).otherwise(F.col("p_oof"))

@@ -161,28 +161,29 @@ def native_columns(profiles: DataFrame, depths: Sequence[float]) -> DataFrame:
 
 
 def pumping_features(monthly: DataFrame, first_ord: int, event_year: int, value: str = "pumping") -> DataFrame:
-    """Two-level pumping predictors per cell in a single aggregation.
+    """Two-level pumping predictors per cell: yearly sums first, then their means.
 
-    A mean of yearly sums is the total over the number of years present, and
-    years are counted with a bit set, so no second grouping is needed.
+    The first level leaves at most one row per cell and year.
     """
     o = F.col("month_idx") + first_ord
     year = F.floor((o - 1) / 12).cast("int")
     month = F.pmod(o - 1, F.lit(12)) + 1
-    base_year = (first_ord - 1) // 12
     v = F.col(value)
     growing = month.between(4, 10)
-
-    def years(cond: Column | None = None) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), year - base_year)
-        return F.bit_count(F.bit_or(bit if cond is None else F.when(cond, bit)))
-
-    out = monthly.groupBy("grid_id").agg(
-        F.avg(v).alias("mean_monthly"),
-        F.max(v).alias("peak_month"),
-        (F.sum(v) / years()).alias("mean_annual"),
-        (F.sum(F.when(growing, v)) / years(growing)).alias("mean_growing"),
-        F.sum(F.when((year == event_year) & month.between(5, 10), v)).alias("event_sum"),
+    yearly = monthly.groupBy("grid_id", year.alias("_year")).agg(
+        F.sum(v).alias("_sum"),
+        F.count(v).alias("_n"),
+        F.max(v).alias("_peak"),
+        F.sum(F.when(growing, v)).alias("_growing"),
+        F.max(F.when(growing, F.lit(1))).alias("_grows"),
+        F.sum(F.when((year == event_year) & month.between(5, 10), v)).alias("_event"),
+    )
+    out = yearly.groupBy("grid_id").agg(
+        F.try_divide(F.sum("_sum"), F.sum("_n")).alias("mean_monthly"),
+        F.max("_peak").alias("peak_month"),
+        (F.sum("_sum") / F.count(F.lit(1))).alias("mean_annual"),
+        F.try_divide(F.sum("_growing"), F.count("_grows")).alias("mean_growing"),
+        F.sum("_event").alias("event_sum"),
     )
     names = ["mean_monthly", "peak_month", "mean_annual", "mean_growing", "event_sum"]
     out = out.na.fill(0.0, names)

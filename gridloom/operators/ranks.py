@@ -3,10 +3,11 @@
 Spark's ``percentile`` and an un-partitioned ``rank()`` both put one whole group
 into one task.  That is fine for a cell (bounded by its months) but not for a
 month, a split or the whole table.  Here the group is first reduced to value
-counts (map-side combined), then cut into value buckets by splitters that are a
-*hash sample of the distinct values*: the sample depends on the data alone, so a
-recomputed task sees the same buckets.  Bucket totals give each bucket its
-offset, and only rows inside a bucket are sorted.  Nothing is approximate.
+counts (map-side combined), which are dealt by value range.  A range partition
+is a bucket; its number is written down with the counts, so a recomputed task
+sees the same buckets.  Bucket totals give each bucket its offset, and only rows
+inside a bucket are sorted.  Distinct values cannot be skewed, a group may have
+any number of buckets, and nothing is approximate.
 """
 
 from __future__ import annotations
@@ -18,47 +19,19 @@ from pyspark.sql import functions as F
 
 from gridloom.session import cut_lineage
 
-BUCKET_ROWS = 50_000
-MAX_BUCKETS = 1024
 _ALL = "_all"
+SALTS = 8
 
 
-def _value_counts(
-    df: DataFrame, groups: Sequence[str], value: str, measures: Mapping[str, Column]
-) -> DataFrame:
-    """Counts per distinct value, materialised once (they are read several times)."""
-    return cut_lineage(
-        df.where(F.col(value).isNotNull())
-        .groupBy(*groups, value)
-        .agg(*[m.alias(name) for name, m in measures.items()])
-    )
-
-
-def _with_buckets(counts: DataFrame, groups: Sequence[str], value: str, bucket_rows: int) -> DataFrame:
-    """Cut every group into value ranges of about ``bucket_rows`` distinct values.
-
-    If no group exceeds that size one bucket per group is already bounded.
-    """
-    sizes = counts.groupBy(*groups).agg(F.count(F.lit(1)).alias("_nd"))
-    largest = sizes.agg(F.max("_nd")).first()[0] or 0
-    if largest <= bucket_rows:
-        return counts.withColumn("_bucket", F.lit(0))
-    n_buckets = F.least(F.ceil(F.col("_nd") / bucket_rows), F.lit(MAX_BUCKETS))
-    stride = F.greatest(F.floor(F.col("_nd") / n_buckets), F.lit(1))
-    splitters = (
-        counts.join(sizes.where(F.col("_nd") > bucket_rows), list(groups))
-        .where(F.pmod(F.xxhash64(value), stride) == 0)
-        .groupBy(*groups)
-        .agg(F.sort_array(F.collect_list(value)).alias("_cuts"))
-    )
-    below = F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
-    return counts.join(splitters, list(groups), "left").withColumn(
-        "_bucket", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below)
-    ).drop("_cuts")
+def _bucketed(df: DataFrame, groups: Sequence[str], value: str, measures: Mapping[str, Column], buckets: int | None) -> DataFrame:
+    """Counts per distinct value and the range bucket they are in, written once (they are read several times)."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(*[m.alias(name) for name, m in measures.items()])
+    dealt = counts.repartitionByRange(*([buckets] if buckets else []), *groups, value)
+    return cut_lineage(dealt.withColumn("_bucket", F.spark_partition_id()))
 
 
 def _bucket_offsets(bucketed: DataFrame, groups: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Totals before each bucket; a group has at most a few thousand buckets."""
+    """Totals before each bucket; there are as many buckets as range partitions."""
     totals = bucketed.groupBy(*groups, "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
@@ -82,12 +55,12 @@ def value_cdf(
     groups: Sequence[str],
     value: str,
     measures: Mapping[str, Column] | None = None,
-    bucket_rows: int = BUCKET_ROWS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Distinct values with ``below_m`` (sum over smaller values) and ``total_m``."""
     measures = dict(measures or {"n": F.count(F.lit(1))})
     df, keys = _keyed(df, groups)
-    bucketed = _with_buckets(_value_counts(df, keys, value, measures), keys, value, bucket_rows)
+    bucketed = _bucketed(df, keys, value, measures, buckets)
     offsets = _bucket_offsets(bucketed, keys, list(measures))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     out = bucketed.join(offsets, [*keys, "_bucket"]).select(
@@ -105,16 +78,14 @@ def pick_ranks(
     groups: Sequence[str],
     value: str,
     ranks: Mapping[str, Callable[[Column], Column]],
-    bucket_rows: int = BUCKET_ROWS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Order statistics: ``ranks[name](n)`` is a 0-based position in the group.
 
     Only buckets that contain a wanted position are sorted.
     """
     df, keys = _keyed(df, groups)
-    bucketed = _with_buckets(
-        _value_counts(df, keys, value, {"n": F.count(F.lit(1))}), keys, value, bucket_rows
-    )
+    bucketed = _bucketed(df, keys, value, {"n": F.count(F.lit(1))}, buckets)
     offsets = _bucket_offsets(bucketed, keys, ["n"])
     wanted = {name: fn(F.col("total_n")).cast("long") for name, fn in ranks.items()}
     hit = F.lit(False)
@@ -140,14 +111,14 @@ def group_quantiles(
     groups: Sequence[str],
     value: str,
     probs: Mapping[str, float],
-    bucket_rows: int = BUCKET_ROWS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles of unbounded groups; columns ``n`` + names."""
     ranks: dict[str, Callable[[Column], Column]] = {}
     for name, p in probs.items():
         ranks[f"_{name}_lo"] = lambda n, p=p: F.floor((n - 1) * F.lit(float(p)))
         ranks[f"_{name}_hi"] = lambda n, p=p: F.ceil((n - 1) * F.lit(float(p)))
-    picked = pick_ranks(df, groups, value, ranks, bucket_rows)
+    picked = pick_ranks(df, groups, value, ranks, buckets)
     cols = []
     for name, p in probs.items():
         t = (F.col("n") - 1) * F.lit(float(p))
@@ -157,17 +128,20 @@ def group_quantiles(
 
 
 def percentile_ranks(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], buckets: int | None = None
 ) -> DataFrame:
-    """Average-tie percentile rank (0..1] of several columns in one pass."""
-    long = df.unpivot(list(keys), list(columns), "_name", "_value")
-    cdf = value_cdf(long, ["_name"], "_value", bucket_rows=bucket_rows)
+    """Average-tie percentile rank (0..1] of several columns in one pass.
+
+    Missing values meet no rank and skip the join; the ranks are repeated per
+    salt, so the rows of a frequent value are spread.
+    """
+    long = df.unpivot(list(keys), list(columns), "_name", "_value").withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)))
+    cdf = value_cdf(long, ["_name"], "_value", buckets=buckets)
     rank = (F.col("below_n") + (F.col("n") + 1) / F.lit(2.0)) / F.col("total_n")
-    return (
-        long.join(cdf.select("_name", "_value", rank.alias("_rank")), ["_name", "_value"], "left")
-        .groupBy(*keys)
-        .agg(*[F.max(F.when(F.col("_name") == c, F.col("_rank"))).alias(f"{c}_rank") for c in columns])
-    )
+    salted = cdf.select("_name", "_value", rank.alias("_rank"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("_salt"))
+    present = long.where(F.col("_value").isNotNull()).join(salted, ["_name", "_value", "_salt"]).select(*keys, "_name", "_rank")
+    missing = long.where(F.col("_value").isNull()).select(*keys, "_name", F.lit(None).cast("double").alias("_rank"))
+    return present.unionByName(missing).groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == c, F.col("_rank"))).alias(f"{c}_rank") for c in columns])
 
 
 def row_ids(

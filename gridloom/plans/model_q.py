@@ -36,9 +36,6 @@ def i08(t: Tables) -> DataFrame:
     return models.predict_ensemble(rows, fitted)
 
 
-TREES = 40
-
-
 def forest_rows(t: Tables) -> tuple[DataFrame, list[str]]:
     """Native layers and pumping logs per labelled cell, with its spatial fold."""
     native = profiles.native_columns(t.profiles, DEPTHS)
@@ -56,7 +53,7 @@ def forest_rows(t: Tables) -> tuple[DataFrame, list[str]]:
 
 def forest_scores(t: Tables) -> DataFrame:
     rows, features = forest_rows(t)
-    return models.block_validated_forest(rows, features, "y", 5, TREES)[0]
+    return models.block_validated_forest(rows, features, "y", 5)[0]
 
 
 @query("l04_forest_probabilities", "grid_id:i fold:i y:f p_oof:f p_final:f")
@@ -66,11 +63,12 @@ def l04(t: Tables) -> DataFrame:
 
 @query("l04_forest_evaluation", "n_rows:i n_pos:i cutoff:f tp:i fp:i fn:i precision:f recall:f roc_auc:f average_precision:f brier:f")
 def l04_evaluation(t: Tables) -> DataFrame:
-    return classify.binary_evaluation(forest_scores(t), "p_oof", "y")
+    rows, features = forest_rows(t)
+    return classify.binary_evaluation(models.out_of_fold(cut_lineage(rows), features, "y", 5), "p_oof", "y")
 
 
 @query("f04_top_importances", "feature:s importance:f")
 def f04(t: Tables) -> DataFrame:
     rows, features = forest_rows(t)
-    final = models.forest_pipeline(features, "y", TREES).fit(cut_lineage(rows))
+    final = models.forest_pipeline(features, "y").fit(cut_lineage(rows))
     return models.feature_importances(rows, final, features, top=15)

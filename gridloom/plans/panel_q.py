@@ -1328,4 +1328,4 @@ def k03(t: Tables) -> DataFrame:
     with_blocks("ensemble", f"SELECT * FROM ({qhat_sql(NORM_SCORE, (0.90, 0.95))}) UNION ALL SELECT * FROM ({qhat_sql(NORM_SCORE, (0.75,))})"),
 )
 def k04(t: Tables) -> DataFrame:
-    return cf.extend_calibration(normalised(t, (0.90, 0.95)), normalised(t, (0.75, 0.95)), [0.75], ["h"])
+    return cf.extend_calibration(normalised(t, (0.90, 0.95)), lambda levels: normalised(t, tuple(levels)), [0.75, 0.95])

@@ -176,3 +176,92 @@ def test_streaming_daily_totals(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["k"], str(r["day"]), r["total"], r["n"]) for r in spark.read.parquet(out).collect()}
     assert (1, "2024-01-01", 5.0, 2) in got and (2, "2024-01-02", 1.0, 1) in got
+
+
+def test_long_gaps_and_tail(spark):
+    """A 24-month interval and a tail follow the step rule month by month; a missing prediction or path fails."""
+    from gridloom.operators.uncertainty import greedy_paths
+
+    paths = greedy_paths(24)
+    assert paths[24] == (6, 6, 6, 6) and paths[23] == (6, 6, 6, 3, 1, 1) and all(sum(p) == g for g, p in paths.items())
+    base = {(m, h): 0.01 * m + 0.1 * h for m in range(60) for h in (1, 3, 6)}
+    drv = spark.createDataFrame([(1, m, h, b) for (m, h), b in base.items()], "grid_id LONG, start_idx INT, h INT, base DOUBLE")
+    obs = spark.createDataFrame([(1, 14, 7.5, 1.0, 3), (1, 40, 2.0, 1.0, 3), (1, 43, 3.0, 1.0, 3)], "grid_id LONG, month_idx INT, value DOUBLE, quality DOUBLE, n_months INT")
+    slope = {1: 0.02, 3: 0.05, 6: 0.08}
+    predictor = reconstruct.LinearPredictor(drv, slope)
+    cfg = reconstruct.Settings(paths=paths)
+
+    def states(left, gap, s):
+        out = [s]
+        for k in range(1, gap + 1):
+            h = paths[k][-1]
+            before = out[k - h]
+            now = before - (base[left + k - h, h] + slope[h] * before)
+            out.append({14: 7.5, 40: 2.0, 43: 3.0}.get(left + k, now))
+        return out
+
+    seg = spark.createDataFrame([(0, 1, 0, 24, 5.0)], "segment_id INT, grid_id LONG, left_idx INT, right_idx INT, state DOUBLE")
+    got = {r["k"]: r["state"] for r in reconstruct.state_rows(reconstruct.propagate(seg, predictor, obs, cfg)).collect()}
+    assert [got[k] for k in range(25)] == pytest.approx(states(0, 24, 5.0))
+    anchors = spark.createDataFrame([(1, 36, 4.0)], "grid_id LONG, month_idx INT, value DOUBLE")
+    tail = {r["month_idx"]: r["value"] for r in reconstruct.extrapolate_tail(anchors, 36, 55, predictor, obs, cfg).collect()}
+    assert [tail[m] for m in range(37, 56)] == pytest.approx(states(36, 19, 4.0)[1:])
+    gone = reconstruct.LinearPredictor(drv.where("start_idx <> 6"), slope)
+    with pytest.raises(Exception, match="no prediction"):
+        reconstruct.propagate(seg, gone, obs, cfg).collect()
+    with pytest.raises(Exception, match="no path"):
+        reconstruct.propagate(seg, predictor, obs, reconstruct.Settings(paths=greedy_paths(12))).collect()
+
+
+def test_paths_must_be_complete(spark):
+    from gridloom.operators import uncertainty
+
+    cells = spark.createDataFrame([(1,), (2,)], "grid_id LONG")
+    steps = uncertainty.plan_steps(spark.createDataFrame([(0, 2)], "left_idx INT, right_idx INT"), uncertainty.greedy_paths(2))
+    radii = spark.createDataFrame([(1, 0, 1, 3.0), (1, 1, 1, 4.0), (2, 0, 1, 1.0)], "grid_id LONG, start_idx INT, h INT, radius DOUBLE")
+    rss = uncertainty.discounted_rss(cells, steps, radii, 1.0)
+    got = {(r["grid_id"], r["month_idx"]): (r["radius"], r["steps_found"], r["n_steps"]) for r in rss.collect()}
+    assert got == {(1, 1): (3.0, 1, 1), (1, 2): (5.0, 2, 2), (2, 1): (1.0, 1, 1), (2, 2): (None, 1, 2)}
+    with pytest.raises(Exception, match="lacks a step"):
+        uncertainty.require_full_paths(rss).collect()
+    obs = spark.createDataFrame([(1, 0), (1, 2), (2, 3)], "grid_id LONG, month_idx INT")
+    dense = uncertainty.observed_month_radius(cells, 4, rss, obs, radii, 1)
+    assert {(r["grid_id"], r["month_idx"]): r["radius"] for r in dense.collect()} == {
+        (1, 0): 0.0, (1, 1): 3.0, (1, 2): 4.0, (1, 3): 0.0, (2, 0): 0.0, (2, 1): 1.0, (2, 2): None, (2, 3): None,
+    }
+
+
+def test_pumping_years_beyond_sixty_four(spark):
+    rows = [(1, m, 1.0) for m in range(70 * 12)]
+    df = spark.createDataFrame(rows, "grid_id LONG, month_idx INT, pumping DOUBLE")
+    r = profiles.pumping_features(df, 12 * 1900 + 1, 1950).first()
+    assert (r["mean_annual"], r["mean_growing"], r["mean_monthly"], r["event_sum"]) == (12.0, 7.0, 1.0, 6.0)
+
+
+def test_predictor_uses_rows_with_missing_features(spark):
+    from gridloom.operators import models
+
+    rows = [(i, float(i), None if i % 2 else 1.0 + i, 2.0 * i, "train") for i in range(20)]
+    df = spark.createDataFrame(rows, "k LONG, a DOUBLE, b DOUBLE, y DOUBLE, split STRING")
+    out = models.predict_ensemble(df, models.fit_ensemble(df, ["a", "b"], "y", "k", [1, 2]))
+    assert out.count() == 40 and out.columns == ["k", "a", "b", "y", "split", "y_pred", "seed"]
+
+
+def test_calibration_fits_only_missing_levels(spark):
+    from gridloom.operators import conformal
+
+    have = spark.createDataFrame([(1, 0.9, 2.0)], "h INT, level DOUBLE, qhat DOUBLE")
+    asked = []
+
+    def fit(levels):
+        asked.append(levels)
+        return spark.createDataFrame([(1, v, 1.0) for v in levels], "h INT, level DOUBLE, qhat DOUBLE")
+
+    assert conformal.extend_calibration(have, fit, [0.9]).count() == 1 and asked == []
+    assert conformal.extend_calibration(have, fit, [0.9, 0.75]).count() == 2 and asked == [[0.75]]
+
+
+def test_points_far_off_the_axis(spark):
+    axis = spark.createDataFrame([(float(c), i) for i, c in enumerate((0, 10, 30))], "c DOUBLE, i INT")
+    pts = spark.createDataFrame([(v,) for v in (-1e12, 0.0, 5.0, 5.1, 20.0, 20.1, 30.0, 1e12)], "v DOUBLE")
+    assert {r["v"]: r["i"] for r in joins.nearest_on_axis(pts, "v", axis, "c", "i").collect()} == {-1e12: 0, 0.0: 0, 5.0: 0, 5.1: 1, 20.0: 1, 20.1: 2, 30.0: 2, 1e12: 2}

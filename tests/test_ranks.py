@@ -16,26 +16,26 @@ def skewed():
     return pd.DataFrame({"id": range(4000), "g": g, "v": v})
 
 
-@pytest.mark.parametrize("bucket_rows", [7, 40, 50_000])
-def test_group_quantiles(spark, skewed, bucket_rows):
+@pytest.mark.parametrize("buckets", [1, 40, 1200, None])
+def test_group_quantiles(spark, skewed, buckets):
     df = spark.createDataFrame(skewed)
     probs = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q985": 0.985, "q1": 1.0}
-    got = ranks.group_quantiles(df, ["g"], "v", probs, bucket_rows).toPandas().set_index("g")
+    got = ranks.group_quantiles(df, ["g"], "v", probs, buckets).toPandas().set_index("g")
     for g, part in skewed.groupby("g"):
         for name, p in probs.items():
             assert got.loc[g, name] == pytest.approx(np.quantile(part.v, p), abs=1e-12)
-    whole = ranks.group_quantiles(df, [], "v", {"m": 0.5}, bucket_rows).first()
+    whole = ranks.group_quantiles(df, [], "v", {"m": 0.5}, buckets).first()
     assert whole["m"] == pytest.approx(np.median(skewed.v)) and whole["n"] == 4000
 
 
-@pytest.mark.parametrize("bucket_rows", [9, 50_000])
-def test_cdf_and_percentile_ranks(spark, skewed, bucket_rows):
+@pytest.mark.parametrize("buckets", [9, None])
+def test_cdf_and_percentile_ranks(spark, skewed, buckets):
     df = spark.createDataFrame(skewed)
-    cdf = ranks.value_cdf(df, ["g"], "v", bucket_rows=bucket_rows).toPandas()
+    cdf = ranks.value_cdf(df, ["g"], "v", buckets=buckets).toPandas()
     for _, r in cdf.sample(50, random_state=1).iterrows():
         part = skewed[skewed.g == r.g]
         assert r.below_n == (part.v < r.v).sum() and r.n == (part.v == r.v).sum() and r.total_n == len(part)
-    got = ranks.percentile_ranks(df, ["id"], ["v"], bucket_rows).toPandas().set_index("id").v_rank
+    got = ranks.percentile_ranks(df, ["id"], ["v"], buckets).toPandas().set_index("id").v_rank
     want = skewed.set_index("id").v.rank(pct=True, method="average")
     assert np.allclose(got.sort_index(), want.sort_index())
 
