@@ -544,10 +544,11 @@ CORR_BLOCKS = "panel obs baseline connectivity calendar"
 def corrected(t: Tables) -> tuple[DataFrame, DataFrame]:
     valid = flagged_months(t).where("valid").select("month_idx")
     panel, sy = full_panel(t), yields(t)
+    obs = t.stage("obs", lambda: t.obs)  # read by four steps
     cells = staged_support(t).select("grid_id", storage.correction_weight(F.col("support")).alias("base_weight")).join(sy, "grid_id")
     source = t.stage("source", lambda: storage.storage_proxy(panel, sy, valid))
-    target = t.stage("target", lambda: storage.well_storage_target(t.obs, t.baseline, sy, t.calendar, valid))
-    return storage.mass_correction(panel, cells, t.obs, source, target)
+    target = t.stage("target", lambda: storage.well_storage_target(obs, t.baseline, sy, t.calendar, valid))
+    return storage.mass_correction(panel, cells, obs, source, target)
 
 
 @query(
@@ -636,7 +637,7 @@ DIST_METRICS = {
     ),
 )
 def d26(t: Tables) -> DataFrame:
-    return ag.distribution_report(e09(t), ["year"], "decline")
+    return ag.distribution_report(t.stage("declines", lambda: e09(t)), ["year"], "decline")
 
 
 @query(

@@ -289,7 +289,16 @@ def a11_checks(t: Tables) -> DataFrame:
     return sinks.release_violations(panel, t.cells_small.agg(F.count(F.lit(1))).scalar(), N_MONTHS)
 
 
-@query("a12_content_manifest", "year:i xor_digest:i sum_digest:i n_rows:i")
+@query(
+    "a12_content_manifest",
+    "year:i xor_digest:i sum_digest:i n_rows:i",
+    with_blocks(
+        "dense_panel",
+        """SELECT year, bit_xor(h) AS xor_digest, sum(h) AS sum_digest, count(*) AS n_rows FROM (SELECT year, CAST('0x' || substr(md5(grid_id || '|' || r.month_idx || '|' ||
+        CAST(floor(wtd * 1e6 + 0.5) AS BIGINT) || '|' || CAST(floor(radius * 1e6 + 0.5) AS BIGINT)), 1, 8) AS BIGINT) AS h FROM rel r JOIN calendar USING (month_idx)) GROUP BY year""",
+        RELEASE,
+    ),
+)
 def a12(t: Tables) -> DataFrame:
     rel = release_panel(t).join(F.broadcast(t.calendar.select("month_idx", "year")), "month_idx")
     return sinks.content_manifest(rel, "year", ["grid_id", "month_idx", "wtd", "radius"])

@@ -107,16 +107,17 @@ def release_product(panel: DataFrame, cells: DataFrame, months: DataFrame, requi
 
 
 def content_manifest(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
-    """Order-free digest per partition: xor and sum of row hashes plus a count.
+    """Order-free digest per partition: xor and sum of row digests plus a count.
 
-    The sum guards against pairs of equal rows cancelling in the xor.
+    A row's digest is the start of the MD5 of its columns, joined by ``|``;
+    fractions count in millionths, so any engine can repeat it.  The sum guards
+    against pairs of equal rows cancelling in the xor.
     """
-    h = F.xxhash64(*columns)
-    return df.groupBy(by).agg(
-        F.bit_xor(h).alias("xor_digest"),
-        F.sum(F.pmod(h, F.lit(1_000_000_007))).alias("sum_digest"),
-        F.count(F.lit(1)).alias("n_rows"),
-    )
+    kinds = dict(df.dtypes)
+    whole = [F.floor(F.col(c) * 1e6 + 0.5) if kinds[c] in ("double", "float") else F.col(c) for c in columns]
+    line = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("null")) for c in whole])
+    h = F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
+    return df.groupBy(by).agg(F.bit_xor(h).alias("xor_digest"), F.sum(h).alias("sum_digest"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def summary_sidecar(samples: DataFrame, by: str) -> DataFrame:
