@@ -7,12 +7,18 @@ many more rounds every shingle goes to the round's own coordinate; an earlier
 round beats a later one, so all coordinates are filled and most sets are done
 after a few rounds.  Bands of ``rows`` coordinates are the buckets.
 
-In a bucket every member is compared with one leader, not with all others.
-Verified links join components.  A second round takes other leaders in the
-buckets that still hold several components, and what is left then is compared
-in full across components: the members outside a bucket's largest component
-with all members of other components.  So no link between bucket mates is lost,
-while a large group of alike texts costs one comparison per member.
+In a bucket every member is compared with one leader, the member that meets
+most others over all its buckets; so a large group of alike texts costs one
+comparison per member.  Verified links join components.  Members that are left
+outside a bucket's largest component get a leader of their own in a second
+turn.  What is left is exact without comparing all with all: let x miss the
+leader c, and D(x) be the signed difference of the sets x and c.  Then
+|x - y| + |y - x| = |D(x)| + |D(y)| - 2 |D(x) n D(y)|, so a link of x and y
+needs at least (|D(x)| + |D(y)| - (|x| + |y|) / 9) / 2 common elements of D(x)
+and D(y) (9 for 80 percent), which is more than 0.  With the elements in order
+of their rarity, the first common one must come early enough in both that so
+many can follow.  Only pairs of different components with such an element are
+compared in full.  No link between bucket mates is lost.
 
 With 40 bands of 5 rows a pair of similarity 0.8 meets with probability
 1 - (1 - 0.8^5)^40 > 0.9999998.
@@ -28,16 +34,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.llm.common import LOWER, NON_SPACE, U64, Words, map_batches, mix, table, without, written
 from gridloom.llm.components import components
 
+#: of bucket rows: a task of the later steps has about as many
+ROWS_PER_TASK = 50_000
 FULL = U64(0xFFFFFFFFFFFFFFFF)
 VALUE_BITS = U64(40)
 
@@ -119,42 +127,89 @@ def _full_sets(docs: DataFrame, words: int) -> DataFrame:
     return map_batches(docs, one, "node long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     sizes = F.least(F.size("x"), F.size("y")) * 100 >= F.greatest(F.size("x"), F.size("y")) * percent
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").filter(sizes).filter(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b").distinct()
+    return pairs.coalesce(tasks).join(left, "a").coalesce(tasks).join(right, "b").filter(sizes).filter(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b").coalesce(tasks)
 
 
-def _labelled(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
-    """The buckets that still hold several components: ``bucket, node, label``."""
-    if links is None:
-        return buckets.withColumn("label", F.col("node"))
-    known = components(links)
-    rows = buckets.join(known, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+def _labelled(buckets: DataFrame, joined: DataFrame, tasks: int) -> DataFrame:
+    """The buckets that still hold several components: ``bucket, node, weight, label``."""
+    rows = buckets.join(joined, "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("label")).coalesce(tasks)
     mixed = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-    return rows.join(mixed, "bucket", "left_semi")
+    return rows.join(mixed, "bucket", "left_semi").coalesce(tasks)
 
 
-def _ordered(rows: DataFrame) -> DataFrame:
-    return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _star_pairs(rows: DataFrame, tasks: int) -> DataFrame:
+    """The leader ``c`` of a bucket with every member ``y`` of another label."""
+    first = F.struct((-F.col("weight")).alias("w"), F.xxhash64("node").alias("r"), F.col("node").alias("c"), F.col("label").alias("other"))
+    leader = rows.groupBy("bucket").agg(F.min(first).alias("l")).select("bucket", "l.c", "l.other")
+    return rows.join(leader, "bucket").filter("label <> other").select("c", F.col("node").alias("y")).coalesce(tasks).distinct()
 
 
-def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """Every member of a bucket with the bucket's leader of this turn, if their labels differ."""
-    rank = F.xxhash64("node", F.lit(turn))
-    leader = rows.groupBy("bucket").agg(F.min(F.struct(rank.alias("r"), F.col("node").alias("y"), F.col("label").alias("other"))).alias("l")).select("bucket", "l.y", "l.other")
-    return _ordered(rows.join(leader, "bucket").filter("label <> other").select(F.col("node").alias("x"), "y"))
-
-
-def _rest_pairs(rows: DataFrame) -> DataFrame:
-    """Members outside a bucket's largest component with the members of other components."""
-    sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+def _outsiders(rows: DataFrame, tasks: int) -> DataFrame:
+    """Members outside their bucket's largest component."""
+    sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("n")).coalesce(tasks)
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m")).select("bucket", F.col("m.label").alias("main"))
-    few = rows.join(main, "bucket").filter("label <> main").select("bucket", F.col("node").alias("x"), F.col("label").alias("other"))
-    return _ordered(few.join(rows, "bucket").filter("label <> other").select("x", F.col("node").alias("y")))
+    return rows.join(main, "bucket").filter("label <> main").drop("main").coalesce(tasks)
+
+
+def _pairs(star: DataFrame) -> DataFrame:
+    return star.select(F.least("c", "y").alias("a"), F.greatest("c", "y").alias("b")).distinct()
+
+
+def _missed_pairs(star: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Pairs of different components that their differences to a common leader do not rule out."""
+    named = labels.select(F.col("node").alias("y"), F.col("component").alias("label"))
+    leads = labels.select(F.col("node").alias("c"), F.col("component").alias("lead"))
+    rows = star.join(named, "y", "left").coalesce(tasks).join(leads, "c", "left").select("c", "y", F.coalesce("label", "y").alias("label"), F.coalesce("lead", "c").alias("lead")).coalesce(tasks)
+    # a leader matters if one of at least two members is outside its component and the members do not all agree
+    open_leads = rows.groupBy("c").agg(F.max((F.col("label") != F.col("lead")).cast("int")).alias("some"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("some = 1 AND lo < hi").select("c")
+    rows = rows.join(open_leads, "c", "left_semi").coalesce(tasks)
+    full = rows.join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("ys")), "y").coalesce(tasks).join(sets.select(F.col("node").alias("c"), F.col("shingles").alias("cs")), "c")
+    # of the summed sizes: the largest difference of a linked pair
+    share = (100 - percent) / (100 + percent)
+    outside = F.col("label") != F.col("lead")
+    delta = written(_differences(full.select("c", "y", "label", outside.alias("outside"), "ys", "cs").coalesce(tasks)))
+    often = delta.groupBy("c", "more", "e").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.col("outside").cast("int")).alias("some"))
+    ranked = delta.join(often, ["c", "more", "e"]).coalesce(tasks).withColumn("turn", F.row_number().over(Window.partitionBy("c", "y").orderBy("n", "e", "more")))
+    # the rank counts all elements; a pair needs one that two components hold, and enough others after it
+    useful = ranked.filter("lo < hi AND some = 1").coalesce(tasks).select("c", "more", "e", "y", "label", "outside", "turn", "d_size", "size", "lead_size")
+    left_least = (F.col("d_size") - F.col("size") * (share * (1 + 100 / percent))) / 2
+    right_least = (F.col("d_size") + (F.col("lead_size") - F.col("size")) * share) / 2
+    in_prefix = lambda least: F.col("turn") <= F.col("d_size") + 1 - F.greatest(F.ceil(least - 1e-9), F.lit(1))
+    left = useful.filter("outside").filter(in_prefix(left_least)).select("c", "more", "e", F.col("y").alias("x"), F.col("label").alias("other"), F.col("turn").alias("turn_x"), F.col("d_size").alias("d_x"), F.col("size").alias("size_x"))
+    right = useful.filter(in_prefix(right_least)).select("c", "more", "e", "y", "label", "turn", "d_size", "size")
+    common = (F.col("d_x") + F.col("d_size") - (F.col("size_x") + F.col("size")) * share) / 2
+    enough = (1 + F.least(F.col("d_x") - F.col("turn_x"), F.col("d_size") - F.col("turn")) >= common - 1e-9) & (
+        F.least("size_x", "size") * 100 >= F.greatest("size_x", "size") * percent
+    )
+    pairs = left.join(right, ["c", "more", "e"]).filter((F.col("label") != F.col("other")) & enough)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).coalesce(tasks).distinct()
+
+
+def _differences(full: DataFrame) -> DataFrame:
+    """The elements by which a set ``ys`` differs from its leader's ``cs``, one per row, with the sizes."""
+
+    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows, more, element, d_size, size, lead_size = [], [], [], [], [], []
+        for k in range(batch.num_rows):
+            y, c = (np.sort(batch.column(n)[k].values.to_numpy()) for n in (4, 5))
+            gain, loss = np.setdiff1d(y, c, assume_unique=True), np.setdiff1d(c, y, assume_unique=True)
+            n = len(gain) + len(loss)
+            rows.append(np.full(n, k))
+            more.append(np.repeat([True, False], [len(gain), len(loss)]))
+            element += [gain, loss]
+            for column, value in ((d_size, n), (size, len(y)), (lead_size, len(c))):
+                column.append(np.full(n, value))
+        at = pa.array(np.concatenate(rows))
+        values = [pa.array(np.concatenate(x)) for x in (more, element, d_size, size, lead_size)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(4)), *values], ["c", "y", "label", "outside", "more", "e", "d_size", "size", "lead_size"])
+
+    return map_batches(full, one, "c long, y long, label long, outside boolean, more boolean, e long, d_size long, size long, lead_size long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,22 +221,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     classes = named.groupBy("set_key").agg(F.min("id").alias("node"))
     chosen = named.join(classes.select("set_key", F.col("node").alias("id")), ["set_key", "id"], "left_semi")
     members = chosen.select(F.col("id").alias("node"), F.explode("bands").alias("bucket")).select("bucket", "node")
-    shared = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("bucket")
-    buckets = written(members.join(shared, "bucket", "left_semi").distinct())
-    wanted = buckets.select(F.col("node").alias("id")).distinct()
-    sets = written(_full_sets(source.join(wanted, "id", "left_semi"), words).distinct())
-    tested: list[DataFrame] = []
-    links: DataFrame | None = None
-    for turn in range(3):
-        open_rows = _labelled(buckets, links)
-        pairs = _star_pairs(open_rows, turn) if turn < 2 else _rest_pairs(open_rows)
-        if tested:
-            pairs = pairs.join(reduce(DataFrame.unionAll, tested), ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        found = written(_verified(pairs, sets, percent))
-        tested.append(pairs)
-        links = found if links is None else links.unionAll(found)
+    shared = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("bucket", "n")
+    placed = members.join(shared, "bucket").distinct()
+    buckets = written(placed.select("bucket", "node", "n"))
+    # no more tasks than these rows need: small tables leave small numbers of shuffle files
+    tasks = 2 + buckets.count() // ROWS_PER_TASK
+    buckets = buckets.coalesce(tasks)
+    weights = buckets.groupBy("node").agg(F.sum("n").alias("weight")).coalesce(tasks)
+    buckets = buckets.join(weights, "node").select("bucket", "node", "weight").coalesce(tasks)
+    sets = written(_full_sets(source.join(weights.select(F.col("node").alias("id")), "id", "left_semi"), words).distinct()).coalesce(tasks)
+    star = written(_star_pairs(buckets.withColumn("label", F.col("node")), tasks))
+    links = written(_verified(_pairs(star), sets, percent, tasks))
+    outside = _outsiders(_labelled(buckets, components(links), tasks), tasks)
+    second = _pairs(_star_pairs(outside, tasks)).join(_pairs(star), ["a", "b"], "left_anti")
+    links = links.unionAll(written(_verified(second, sets, percent, tasks)))
     joined = components(links)
+    missed = _verified(_missed_pairs(star, joined, sets, percent, tasks), sets, percent, tasks)
+    missed = written(missed)
+    if not missed.isEmpty():
+        joined = components(links.unionAll(missed))
     by_set = classes.join(joined, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     out = described.select("id", "n_shingles", "set_key").join(by_set, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id"))
