@@ -248,7 +248,7 @@ def identify(docs: DataFrame, field: Field | None, with_words: bool = False) ->
         columns = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
         yield pa.RecordBatch.from_arrays(columns + ([pa.array(words, struct)] if with_words else []), ["id", "lang", "score"] + (["words"] if with_words else []))
 
-    return map_batches(docs, one, schema)
+    return map_batches(docs, one, schema, max_bytes=1 << 20)  # a byte of text takes about a hundred of working memory
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

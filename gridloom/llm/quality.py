@@ -8,7 +8,10 @@ of the log ratios of its features.  The weights' Gumbel top-k is a sample
 without replacement in proportion to the weights; its size k is the number of
 texts whose weight reaches a cut.  A quarter of the good labelled texts is held
 out of the target model; the cut is set on them so that all but one in
-``1 / (1 - keep_target)`` reach it, as unlabelled good texts will.
+``1 / (1 - keep_target)`` reach it, as unlabelled good texts will.  The sample is
+drawn by the weights to the power of ``1 / temperature``: the noise of the keys,
+and with it the chance of a good text just above the cut to be left out, is
+small.
 
 The labels are a bounded sample (``max_labels``, in the order of a hash of the
 id); the raw counts, the weights, k and the k-th key cover all texts.
@@ -95,7 +98,7 @@ def weighed(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", name: st
     return map_batches(docs, one, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = 10000, max_labels: int = 20000, keep_target: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> Weigher:
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = 10000, max_labels: int = 20000, keep_target: float = 0.9995, id_col: str = "doc_id", text_col: str = "text") -> Weigher:
     texts = without(docs, id_col, text_col).toDF("id", "text")
     sample = written(label_sample(labels, max_labels))  # at most max_labels rows: small enough to be sent to every task
     joined = texts.join(F.broadcast(sample), "id", "left")
@@ -139,11 +142,11 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096, small: int = 2000) ->
             return rest[k - above - 1]
 
 
-def resampled(docs: DataFrame, labels: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Column, Column, float]:
+def resampled(docs: DataFrame, labels: DataFrame, seed: int = 1, temperature: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Column, Column, float]:
     """The input with its weights: the table, its columns of log weight and key, and the key that the k-th text reaches."""
     weigher = fit(docs, labels, id_col=id_col, text_col=text_col)
     name = fresh(docs, "_log_weight")
-    weight, key = F.col(name), F.col(name) + gumbel(id_col, seed)
+    weight, key = F.col(name), F.col(name) + temperature * gumbel(id_col, seed)
     narrow = written(weighed(without(docs, id_col, text_col), weigher.ratio, text_col, name).select(weight.alias("weight"), key.alias("key")))
     k = narrow.filter(F.col("weight") >= weigher.cut).count()
     bound = kth_largest(narrow.select("key"), k) if k else math.inf

@@ -155,7 +155,7 @@ def test_missed_pairs_keep_every_link(spark):
     star = spark.createDataFrame([(0, i) for i in range(1, 60)], "c long, y long")
     linked = [(0, i) for i in range(1, 60) if jaccard(0, i)]
     labels = spark.createDataFrame([(0, 0), *[(i, 0) for _, i in linked]], "node long, component long")
-    got = {(r["a"], r["b"]) for r in minhash._missed_pairs(star, labels, rows, 80).collect()}
+    got = {(r["a"], r["b"]) for r in minhash._missed_pairs(star, labels, rows, 80, 4).collect()}
     inside = {0, *[i for _, i in linked]}
     want = {(x, y) for x, y in itertools.combinations(range(1, 60), 2) if jaccard(x, y) and not (x in inside and y in inside)}
     assert want and want <= got
@@ -475,6 +475,14 @@ def test_quality_against_brute_force(spark):
     assert quality.resampled(docs.limit(0), labels)[0].count() == 0
 
 
+def test_quality_rejects_bad_texts(spark):
+    """With the labels of sf0.1 nearly all good texts stay and nearly all bad ones go."""
+    labels = spark.read.parquet(f"{SF}/../sf0.1/labels.parquet").select("doc_id", "quality")
+    got = QUERIES["op9_quality"](spark, f"{SF}/../sf0.1").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    share = {r["quality"]: r["kept"] for r in got}
+    assert share[1] > 0.997 and share[0] < 0.03
+
+
 # ---- 10: byte-pair encoding
 
 
