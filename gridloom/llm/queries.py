@@ -12,7 +12,7 @@ from gridloom.llm.html import op4_html
 from gridloom.llm.minhash import OP2_SQL, op2_minhash
 from gridloom.llm.pii import op6_pii
 from gridloom.llm.quality import op9_quality
-from gridloom.llm.repeats import op1_repeats
+from gridloom.llm.repeats import OP1_SQL, op1_repeats
 from gridloom.llm.topk import OP5_SQL, op5_maxscore
 from gridloom.llm.langid import op8_langid
 from gridloom.llm.licenses import op7_licenses
@@ -29,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op2_minhash": OP2_SQL, "op5_maxscore": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_repeats": OP1_SQL, "op2_minhash": OP2_SQL, "op5_maxscore": OP5_SQL}

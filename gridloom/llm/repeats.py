@@ -341,6 +341,32 @@ def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP1_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), g AS (
+  SELECT doc_id, i AS s, md5_number(substr(h, CAST(2 * i + 1 AS BIGINT), 200)) AS x
+  FROM d, unnest(range(greatest(len(h) // 2 - 99, 0))) u(i)
+), r AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY x ORDER BY doc_id, s) AS k FROM g) WHERE k > 1
+), b AS (
+  SELECT doc_id, s, coalesce(s > lag(s) OVER w + 100, TRUE) AS fresh FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY s)
+), spans AS (
+  SELECT doc_id, min(s) AS a, max(s) + 100 AS e
+  FROM (SELECT doc_id, s, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM b) GROUP BY doc_id, n
+), cuts AS (
+  SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans
+), gone AS (
+  SELECT doc_id, sum(e - a) AS n_removed, count(*) AS n_spans, max(e) AS last_end,
+         string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS kept
+  FROM cuts JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(last_end, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
+
 def brute_force(texts: list[tuple[int, str | None]], length: int = 100) -> dict[int, tuple[int, int, int, str]]:
     """The rule, place by place; for tests."""
     first: dict[bytes, tuple[int, int]] = {}
