@@ -1,9 +1,9 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
 A text becomes a line of words: ASCII letters lower-cased, words separated by
-one space.  Every rule has a keyword (a word that each of its matches holds), a
-regular expression over the line, a priority and a label.  Only rules whose
-keyword occurs in the text run.  Their matches are word intervals; a match is
+one space.  Every rule has keywords (each of its matches holds one of them as a
+whole word), a regular expression over the line, a priority and a label.  Only
+rules of which a keyword occurs in the text run.  Their matches are word intervals; a match is
 suppressed when a match of the same or a better priority contains its interval.
 Base phrases are rules as well: they always count, suppressed or not.
 
@@ -37,6 +37,12 @@ class Rule:
     pattern: str
     confidence: float
     base: bool = False
+    #: words that a match may hold in place of the keyword: "gplv3" for "gpl"
+    glued: tuple[str, ...] = ()
+
+    @property
+    def keywords(self) -> tuple[str, ...]:
+        return (self.keyword, *self.glued)
 
     @property
     def regex(self) -> str:
@@ -92,6 +98,14 @@ def _words(x: str) -> str:
     return re.sub(r"[.\-]", " ", x)
 
 
+def _glued(short: str, version: str) -> tuple[str, ...]:
+    """First words of a short name's matches that are longer than the name: it runs into "version" or the number."""
+    if " " in short:
+        return ()
+    signs = ["", "v", "ver", "version"]
+    return tuple(sorted({short + s + v for s in signs for v in ("", version.split()[0], "v" + version.split()[0])} - {short}))
+
+
 def rules() -> list[Rule]:
     """All rules in order: base phrases, families in several wordings, notices."""
     out = [Rule(NOTICE, label, key, phrase, 0.6, base=True) for phrase, key, label in BASE]
@@ -103,7 +117,7 @@ def rules() -> list[Rule]:
                 Rule(TAG, label, "spdx", rf"spdx license identifier {_words(stem)} {v}(?: 0)?(?: only| or later)?", 1.0),
                 Rule(GRANT, label, "license", rf"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of the )?{name} license {num}(?: only| or later)?", 0.95),
                 Rule(GRANT, label, "license", rf"{name} license {num}", 0.9),
-                Rule(GRANT, label, short.split()[0], rf"{short} ?{num}", 0.8),
+                Rule(GRANT, label, short.split()[0], rf"{short} ?{num}", 0.8, glued=_glued(short, v)),
             ]
         out += [
             Rule(TAG, stem, "spdx", rf"spdx license identifier {_words(stem)}", 0.9),
@@ -129,7 +143,7 @@ def rules() -> list[Rule]:
     out += [
         Rule(GRANT, "cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?", 0.9),
         Rule(GRANT, "mit", "granted", r"permission is hereby granted free of charge to any person obtaining a copy", 0.95),
-        Rule(GRANT, "isc", "granted", r"permission to use copy modify and or distribute this software for any purpose", 0.9),
+        Rule(GRANT, "isc", "permission", r"permission to use copy modify and or distribute this software for any purpose", 0.9),
         Rule(GRANT, "bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 0.9),
         Rule(GRANT, "zlib", "altered", r"altered source versions must be plainly marked as such", 0.9),
         Rule(GRANT, "unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 0.95),
@@ -144,7 +158,7 @@ def rules() -> list[Rule]:
 def _literal_rules(found: list[Rule]) -> Column:
     return F.array(
         *[
-            F.struct(F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex"), F.lit(r.confidence).alias("confidence"), F.lit(r.base).alias("base"))
+            F.struct(F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.array(*map(F.lit, r.keywords)).alias("keywords"), F.lit(r.regex).alias("regex"), F.lit(r.confidence).alias("confidence"), F.lit(r.base).alias("base"))
             for r in found
         ]
     )
@@ -185,13 +199,13 @@ def scan(docs: DataFrame, signature: list[Rule] | None = None, id_col: str = "do
     text = F.coalesce(F.col("text"), F.lit(""))
     # lower() may change non-ASCII letters too; that moves no word border and can only let more texts through the gate
     words = F.array_remove(F.split(F.lower(text), SEPARATORS), "")
-    gates = F.array(*[F.lit(k) for k in sorted({r.keyword for r in found})])
+    gates = F.array(*[F.lit(k) for k in sorted({k for r in found for k in r.keywords})])
     gated = without(docs, id_col, text_col).toDF("id", "text").select("id", "text", words.alias("words"))
     gated = gated.select("id", F.xxhash64(text).alias("key"), F.size("words").cast("bigint").alias("n_words"), F.array_intersect("words", gates).alias("keys"), text.alias("text"))
     upper = "".join(map(chr, range(65, 91)))
     line = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("text", upper, upper.lower()), SEPARATORS, " ")), F.lit(" "))
     gated = gated.select("id", "key", "n_words", "keys", F.when(F.size("keys") > 0, line).alias("line"))
-    active = F.filter(_literal_rules(found), lambda r: F.array_contains(F.col("keys"), r["keyword"]))
+    active = F.filter(_literal_rules(found), lambda r: F.arrays_overlap(F.col("keys"), r["keywords"]))
     matches = F.when(F.col("line").isNotNull(), F.flatten(F.transform(active, lambda r: _intervals(F.col("line"), r))))
     rows = gated.select("id", "key", "n_words", F.posexplode_outer(matches).alias("pos", "m")).select("id", "key", "n_words", "pos", "m.*")
     order = Window.partitionBy("id", "key").orderBy("start", F.desc("end"), "priority", "label", "pos").rowsBetween(Window.unboundedPreceding, -1)

@@ -392,6 +392,30 @@ def test_licenses_against_brute_force(spark):
     assert licenses.summary(licenses.scan(docs_of(spark, []))).count() == 0
 
 
+def licenses_ungated(text):
+    """Labels by every rule's regular expression over the line, whatever the keywords say."""
+    line = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())) + " "
+    found = []
+    for k, rule in enumerate(licenses.rules()):
+        for m in re.finditer(rule.regex, line):
+            s = line[: m.start()].count(" ")
+            found.append((s, -(s + m[0].count(" ")), rule.priority, rule.label, k, rule.base))
+    found.sort()
+    kept = [a for n, a in enumerate(found) if a[5] or not any(b[2] <= a[2] and b[1] <= a[1] for b in found[:n])]
+    return ",".join(sorted({a[3] for a in kept}))
+
+
+def test_license_gate_drops_no_match(spark):
+    texts = ["GPLv3", "GPL3", "LGPLv2.1", "AGPLv3 or later", "MPL2.0", "Apache2", "gplv 3", "gplversion3", "gplverv3", "x gplv v2 y", "Permission to use, copy, modify, and/or distribute this software for any purpose", "gplv4", "odc-by1.0"]
+    for _, _, short, versions in licenses.FAMILIES:
+        for v in versions.split():
+            texts += [f"{short}{a}{v}" for a in ("", "-", "v", " v", "v ", "-v", "ver", "ver.", "version", "version v", "vv")]
+    expected = {i: licenses_ungated(t) for i, t in enumerate(texts)}
+    assert expected[0] == "gpl-3" and expected[2] == "lgpl-2.1" and expected[4] == "mpl-2.0" and expected[10] == "isc" and not expected[11]
+    got = licenses.summary(licenses.scan(docs_of(spark, enumerate(texts)))).collect()
+    assert {r["doc_id"]: r["labels"] for r in got} == expected
+
+
 # ---- 8: language
 
 
