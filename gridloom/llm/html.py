@@ -5,7 +5,9 @@ characters and tags that belong to links.  The body's own ratio scales the
 logarithm's base, so link-rich pages are judged against themselves.  The sums of
 the children's densities are taken, and the element with the largest sum is the
 content's kernel.  The smallest density on its path to the body is the
-threshold that a neighbouring subtree must reach to count as content too.
+threshold that a subtree or stretch of text beside the path must reach to count
+as content too; in the article the kernel stands in, parts that are not mostly
+links need not reach it.  Blocks of links are left out everywhere.
 
 Defined results: a null or empty page, or one without text outside excluded
 elements, gives an empty text; malformed markup is closed the way browsers do
@@ -128,8 +130,8 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             here = node
 
 
-def densities(nodes: list[Node]) -> None:
-    """Characters, tags and link shares bottom up, then densities and their sums."""
+def densities(nodes: list[Node]) -> float:
+    """Characters, tags and link shares bottom up, then densities and their sums; the body's share of link characters."""
     for node in reversed(nodes):
         own = sum(len(SPACE.sub("", x)) for x in node.parts if isinstance(x, str))
         node.chars += own
@@ -145,62 +147,94 @@ def densities(nodes: list[Node]) -> None:
     share = body.link_chars / max(body.chars, 1)
     for node in nodes:
         if node.chars and not node.barred:
-            tags, links, link_tags = max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
-            plain = max(node.chars - node.link_chars, 1)
-            base = math.log(node.chars / plain * links + share * node.chars + math.e)
-            ratio = node.chars / links * (tags / link_tags)
-            node.density = node.chars / tags * max(math.log(max(ratio, 1.0)) / math.log(max(base, 1.0 + 1e-9)) if base > 1 else 0.0, 0.0)
+            node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share)
         if node.parent is not None:
             node.parent.total += node.density
+    return share
 
 
-def content_nodes(nodes: list[Node]) -> list[Node]:
-    """The subtree of the largest density sum and its dense siblings, in page order."""
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Composite text density; ``share`` is the body's share of characters in links."""
+    tags, links, link_tags = max(tags, 1), max(link_chars, 1), max(link_tags, 1)
+    base = math.log(chars / max(chars - link_chars, 1) * links + share * chars + math.e)
+    ratio = chars / links * (tags / link_tags)
+    return chars / tags * max(math.log(max(ratio, 1.0)) / math.log(max(base, 1.0 + 1e-9)) if base > 1 else 0.0, 0.0)
+
+
+def content_nodes(nodes: list[Node], share: float) -> list[Node | list]:
+    """The subtree of the largest density sum and all dense parts beside its path to the root, in page order.
+
+    A part is a subtree, or a stretch of bare text and inline elements of an
+    element on the path.  Inside the article (or main) the kernel stands in, the
+    threshold weighs nothing: there only parts made of links stay out.  Blocks
+    of links inside the subtrees are barred.
+    """
     open_nodes = [n for n in nodes if not n.barred and n.chars]
     if not open_nodes:
         return []
     best = max(open_nodes, key=lambda n: n.total)
     if best.total <= 0:
-        body = next((n for n in open_nodes if n.tag == "body"), open_nodes[0])
-        return [body]
+        return [nodes[0]]
     path, node = [best], best
-    while node.parent is not None and node.tag != "body":
+    while node.parent is not None:
         node = node.parent
         path.append(node)
-    threshold = min((n.density for n in path if n.density > 0), default=0.0)
-    # a list, a quotation or a division of an article may hold the largest sum: take the article it stands in
-    for k, n in enumerate(path):
-        if n.tag in ("article", "main"):
-            return [n]
-        if n.tag == "body":
-            return _dense(path[:k], n, threshold)
-    return [path[-1]]
-
-
-def _dense(path: list[Node], body: Node, threshold: float) -> list[Node]:
-    """Without an article: from the kernel up to the body, siblings that reach the threshold."""
-    keep: set[int] = {id(path[0])} if path else set()
-    for k, node in enumerate(path):
-        up = path[k + 1] if k + 1 < len(path) else body
-        near = [c for c in up.children() if c is not node and not c.barred and c.tag not in INLINE and c.density >= threshold and c.chars and c.link_chars * 2 < c.chars]
-        if near:
-            keep |= {id(c) for c in near}
-    out: list[Node] = []
-
-    def walk(n: Node) -> None:
-        stack = [n]
-        while stack:
-            x = stack.pop()
-            if id(x) in keep:
-                out.append(x)
+    has_body = any(n.tag == "body" for n in path)
+    upto = next(k for k, n in enumerate(path) if n.tag == "body" or (n.parent is None and not has_body))
+    threshold = min((n.density for n in path[: upto + 1] if n.density > 0), default=0.0)
+    on_path = {id(n) for n in path}
+    # on this element and below it short parts need no density
+    home = next((k for k, n in enumerate(path) if n.tag in ("article", "main")), -1)
+    eased = {id(n) for n in path[: home + 1]}
+    out: list[Node | list] = []
+
+    def close(stretch: list, need: float) -> None:
+        inner = [x for x in stretch if isinstance(x, Node)]
+        chars = sum(x.chars if isinstance(x, Node) else len(SPACE.sub("", x)) for x in stretch)
+        counts = sum(x.tags + 1 for x in inner), sum(x.link_chars for x in inner), sum(x.link_tags for x in inner)
+        if chars and counts[1] * 2 < chars and density(chars, *counts, share) >= need:
+            out.append(stretch)
+
+    def walk(n: Node) -> Iterator[None]:
+        stretch: list = []
+        need = 0.0 if id(n) in eased else threshold
+        for x in n.parts:
+            if isinstance(x, str) or (x.tag in INLINE | {"br"} and id(x) not in on_path and not x.barred):
+                stretch.append(x)
                 continue
-            stack.extend(reversed(list(x.children())))
+            close(stretch, need)
+            stretch = []
+            if x is best:
+                out.append(x)
+            elif id(x) in on_path:
+                yield x
+            elif not x.barred and x.chars and x.link_chars * 2 < x.chars and x.density >= need:
+                out.append(x)
+        close(stretch, need)
 
-    walk(body)
-    return out or [body]
+    # the path can be as deep as the page
+    if best.parent is None:
+        out.append(best)
+    else:
+        stack = [walk(nodes[0])]
+        while stack:
+            deeper = next(stack[-1], None)
+            if deeper is None:
+                stack.pop()
+            else:
+                stack.append(walk(deeper))
+    for top in out:
+        inside = [top] if isinstance(top, Node) else [x for x in top if isinstance(x, Node)]
+        while inside:
+            for x in inside.pop().children():
+                if x.tag not in INLINE and x.chars and x.link_chars * 2 >= x.chars and x.density < threshold:
+                    x.barred = True
+                else:
+                    inside.append(x)
+    return out
 
 
-def blocks(kernel: list[Node]) -> list[str]:
+def blocks(kernel: list[Node | list]) -> list[str]:
     """Text blocks of the content in page order: references decoded, white space folded, trimmed."""
     out: list[str] = []
     line: list[str] = []
@@ -212,7 +246,7 @@ def blocks(kernel: list[Node]) -> list[str]:
         line.clear()
 
     for top in kernel:
-        stack: list = [top]
+        stack: list = [top] if isinstance(top, Node) else top[::-1]
         while stack:
             x = stack.pop()
             if x is None:
@@ -237,8 +271,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     _, nodes = parse(page)
-    densities(nodes)
-    return "\n".join(blocks(content_nodes(nodes)))
+    share = densities(nodes)
+    return "\n".join(blocks(content_nodes(nodes, share)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -270,6 +270,18 @@ def test_main_text_without_article():
     assert html.main_text(body) == ("word " * 60).strip() + "\n" + ("more " * 40).strip()
 
 
+def test_main_text_beside_an_article():
+    story = ["alpha " * 60, "beta " * 50, "gamma " * 55, "delta " * 40, "omega " * 45]
+    a, b, c, d, e = (x.strip() for x in story)
+    links = "<ul>" + "".join(f"<li><a href=/{k}>Other page {k}</a></li>" for k in range(6)) + "</ul>"
+    rest = f"{c}\n{d}\n{e}"
+    parts = f"<main><article><p>{a}</p><p>{b}</p>{links}<p>So.</p></article><article><p>{c}</p><p>{d}</p></article></main><div>{links}</div><p>{e}</p>"
+    want = f"{a}\n{b}\nSo.\n{rest}"
+    assert html.main_text(f"<html><body>{parts}</body></html>") == html.main_text(parts) == want  # without a body tag too
+    bare = f"<body><div>{e}<br>x <a href=1>y</a><article><div><p>{a}</p><p>{b}</p></div>{links}</article>{c} <b>{d}</b></div>{links}</body>"
+    assert html.main_text(bare) == f"{e} x y\n{a}\n{b}\n{c} {d}"
+
+
 def test_html_operator(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "y"), (None, None, None, None), (2, "v", "", None)], "page_id long, url string, html string, text string")
     got = sorted((r["page_id"] or 0, r["url"] or "", len(r["text"])) for r in html.extract(pages).collect())
