@@ -16,11 +16,12 @@ same one, so a text falls into runs of starts, about one per 39 bytes.
    run that repeats a whole earlier one is settled at once, so a passage that a
    third of all documents share is sent once per slice, not once per document.
 3. Runs whose substring occurs once cannot repeat and are dropped.  The others
-   send their bytes.
+   send their bytes; if the runs of one substring have more bytes than an array
+   may hold, they send a 128-bit digest of the ``length`` bytes at each start.
 4. Bucket by bucket the bytes of different runs are put end to end, the suffix
    array is built by two-stage sorting, and adjacent common prefixes of
    ``length`` bytes give the classes of equal strings.  All but the earliest of
-   a class are repeats.
+   a class are repeats.  Digests are dealt by their value; equal ones are a class.
 5. The repeats of each document are merged and cut out of its bytes.
 
 The texts are shuffled once, by id; that exchange serves all steps.
@@ -49,8 +50,10 @@ from gridloom.llm.suffix import same_prefix, suffix_array
 LAST_ID = 2**63 - 1
 BUCKET_BYTES = 8 << 20
 ARRAY_BYTES = 4 << 20
+#: starts of hot substrings that are folded at once
+HOT_STARTS = 100_000
 #: kinds of rows that go from step to step
-RUN, REPEAT = 0, 1
+RUN, REPEAT, HOT = 0, 1, 2
 
 
 def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
@@ -178,7 +181,7 @@ def _gathered(texts: DataFrame, length: int, gram: int, buckets: int) -> DataFra
     return map_batches(texts, one, "bucket long, pack binary")
 
 
-def _repeated_runs(packed: DataFrame) -> DataFrame:
+def _repeated_runs(packed: DataFrame, length: int, array_bytes: int) -> DataFrame:
     """Step 2, after the shuffle, and 3: runs whose substring occurs more than once, and the repeats."""
 
     def one(group: pa.Table) -> pa.Table:
@@ -189,6 +192,10 @@ def _repeated_runs(packed: DataFrame) -> DataFrame:
         same = np.concatenate((h[1:] == h[:-1], [False])) if len(h) else np.zeros(0, bool)
         often = same.copy()
         often[1:] |= same[:-1]
+        head = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+        if len(h):
+            weight = np.add.reduceat(f["count"][order].astype(np.int64) + length - 1, np.flatnonzero(head))
+            f["kind"][order[(weight > array_bytes)[np.cumsum(head) - 1]]] = HOT
         use = np.concatenate((order[often], np.flatnonzero(f["kind"] == REPEAT)))
         group_id = (np.int64(group.column("bucket")[0].as_py()) << 32) + f["hash"][use].astype(np.int64)
         return pa.table(
@@ -201,20 +208,40 @@ def _repeated_runs(packed: DataFrame) -> DataFrame:
 def _with_bytes(joined: DataFrame, length: int) -> DataFrame:
     """Step 3: the bytes of each run; repeats pass without."""
 
+    names = ("oid", "key", "start", "count", "kind", "hash", "bytes")
+
+    def packed(cols: dict[str, list]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(cols[k], t) for k, t in zip(names, types)], list(names))
+
+    def folded(hot: list[tuple[int, int, int, bytes]]) -> Iterator[tuple]:
+        """Starts of hot substrings: later ones of equal strings are settled here, the others go on."""
+        first: dict[bytes, tuple[int, int]] = {}
+        for oid, start, key, digest in sorted(hot):
+            there = first.setdefault(digest, (oid, start))
+            turn = int.from_bytes(digest[:8], "little", signed=True)
+            yield (oid, key, start, 1, HOT, turn, digest) if there == (oid, start) else (oid, key, start, 1, REPEAT, turn, b"")
+
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        cols: dict[str, list] = {k: [] for k in ("oid", "key", "start", "count", "kind", "hash", "bytes")}
+        cols: dict[str, list] = {k: [] for k in names}
+        hot: list[tuple[int, int, int, bytes]] = []
         for oid, key, text, places in zip(*(batch.column(i).to_pylist() for i in range(4))):
             raw = (text or "").encode()
             for p in places:
+                if p["kind"] == HOT:
+                    hot += [(oid, s, key, hashlib.blake2b(raw[s : s + length], digest_size=16).digest()) for s in range(p["start"], p["start"] + p["count"])]
+                    if len(hot) >= HOT_STARTS:
+                        yield packed(dict(zip(names, map(list, zip(*folded(hot))))))
+                        hot = []
+                    continue
                 cols["oid"].append(oid)
                 cols["key"].append(key)
                 for k in ("start", "count", "kind", "hash"):
                     cols[k].append(p[k])
                 cols["bytes"].append(raw[p["start"] : p["start"] + p["count"] + length - 1] if p["kind"] == RUN else b"")
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[k], t) for k, t in (("oid", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("count", pa.int32()), ("kind", pa.int32()), ("hash", pa.int64()), ("bytes", pa.binary()))],
-            list(cols),
-        )
+        yield packed(cols)
+        if hot:
+            yield packed(dict(zip(names, map(list, zip(*folded(hot))))))
 
     return map_batches(joined, one, PLACES + ", bytes binary")
 
@@ -255,7 +282,7 @@ def repeats_among(oid: np.ndarray, start: np.ndarray, count: np.ndarray, content
     return out
 
 
-def _settled(runs: DataFrame, buckets: int, length: int) -> DataFrame:
+def _settled(runs: DataFrame, buckets: int, length: int, array_bytes: int) -> DataFrame:
     """Step 4: ranges of repeated starts."""
 
     def one(group: pa.Table) -> pa.Table:
@@ -265,6 +292,16 @@ def _settled(runs: DataFrame, buckets: int, length: int) -> DataFrame:
         done = np.flatnonzero(col["kind"] == REPEAT)
         for k in out:
             out[k].append(col[k][done])
+        hot = np.flatnonzero(col["kind"] == HOT)
+        if len(hot):
+            digest = np.frombuffer(b"".join(group.column("bytes").take(hot).to_pylist()), U64).reshape(-1, 2)
+            rank = np.lexsort((col["start"][hot], col["oid"][hot], digest[:, 1], digest[:, 0]))
+            hot, digest = hot[rank], digest[rank]
+            head = np.concatenate(([True], (digest[1:] != digest[:-1]).any(axis=1)))
+            lead = hot[np.flatnonzero(head)[np.cumsum(head) - 1]]
+            later = hot[(col["oid"][hot] != col["oid"][lead]) | (col["start"][hot] != col["start"][lead])]
+            for k in out:
+                out[k].append(col[k][later])
         rows = np.flatnonzero(col["kind"] == RUN)
         contents = group.column("bytes").take(rows).to_pylist()
         h = col["hash"][rows]
@@ -272,7 +309,7 @@ def _settled(runs: DataFrame, buckets: int, length: int) -> DataFrame:
         size = np.cumsum([len(c) for c in contents])
         a = 0
         for i, b in enumerate(ends):  # whole groups, as many as fit into one array
-            if i + 1 < len(ends) and size[ends[i + 1] - 1] - (size[a - 1] if a else 0) <= ARRAY_BYTES:
+            if i + 1 < len(ends) and size[ends[i + 1] - 1] - (size[a - 1] if a else 0) <= array_bytes:
                 continue
             part = rows[a:b]
             for k, mask in zip(part, repeats_among(col["oid"][part], col["start"][part], col["count"][part], contents[a:b], length)):
@@ -283,7 +320,9 @@ def _settled(runs: DataFrame, buckets: int, length: int) -> DataFrame:
             a = b
         return pa.table({k: np.concatenate(v).astype(np.int64 if k in ("oid", "key") else np.int32) for k, v in out.items()})
 
-    return runs.withColumn("part", F.pmod(F.xxhash64("hash"), F.lit(buckets))).groupBy("part").applyInArrow(lambda g: one(g.drop_columns(["part"])), "oid long, key long, start int, count int")
+    # a start of a hot substring weighs as much as some dozens of bytes of a run: more and smaller parts
+    part = F.when(F.col("kind") == HOT, buckets + F.pmod(F.xxhash64("hash"), F.lit(16 * buckets))).otherwise(F.pmod(F.xxhash64("hash"), F.lit(buckets)))
+    return runs.withColumn("part", part).groupBy("part").applyInArrow(lambda g: one(g.drop_columns(["part"])), "oid long, key long, start int, count int")
 
 
 def _cut(joined: DataFrame, length: int) -> DataFrame:
@@ -314,7 +353,7 @@ def _cut(joined: DataFrame, length: int) -> DataFrame:
     return map_batches(joined, one, "id long, n_bytes long, removed array<struct<start: long, end: long>>, kept binary")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, id_col: str = "doc_id", text_col: str = "text", array_bytes: int = ARRAY_BYTES) -> DataFrame:
     """``id, n_bytes, removed, kept``: removed byte ranges and the remaining bytes."""
     spark = docs.sparkSession
     rows = without(docs, id_col, text_col).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -327,10 +366,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, id_col: s
     placed = rows.repartition(parts, "oid", "key")
     on = ["oid", "key"]
     distinct = placed.join(firsts, on).select("oid", "key", "text")  # a semi join would move below the shared exchange
-    found = _repeated_runs(_gathered(distinct, length, gram, buckets))
+    found = _repeated_runs(_gathered(distinct, length, gram, buckets), length, array_bytes)
     by_doc = found.groupBy(*on).agg(F.collect_list(F.struct("start", "count", "kind", "hash")).alias("places"))
     runs = _with_bytes(placed.join(by_doc, on).select("oid", "key", "text", "places"), length)
-    spans = _settled(runs, buckets, length).groupBy(*on).agg(F.collect_list(F.struct("start", "count")).alias("places"))
+    spans = _settled(runs, buckets, length, array_bytes).groupBy(*on).agg(F.collect_list(F.struct("start", "count")).alias("places"))
     joined = placed.join(firsts, on, "left").join(spans, on, "left").select("oid", "text", F.coalesce("is_first", F.lit(False)).alias("is_first"), "places")
     return _cut(joined, length).select(F.when(F.col("id") < LAST_ID, F.col("id")).alias(id_col), "n_bytes", "removed", "kept")
 

@@ -86,6 +86,35 @@ def test_repeats_against_brute_force(spark):
         assert (r["n_bytes"], removed, len(r["removed"]), hashlib.sha256(r["kept"]).hexdigest()) == want[r["doc_id"]]
 
 
+def test_repeats_of_a_hot_gram(spark):
+    rng = random.Random(8)
+    phrase = "the same thirty bytes in all of"
+    tail = [noise(rng, 120) for _ in range(5)]
+    rows = [(k, noise(rng, 90) + phrase + (rng.choice(tail) if k % 3 == 0 else noise(rng, 90))) for k in range(1, 300)]
+    rows += [(None, rows[40][1] + rows[60][1])]
+    got = {}
+    for bound in (2000, 1 << 30):
+        cut = repeats.remove_repeats(docs_of(spark, rows), array_bytes=bound).collect()
+        got[bound] = sorted((r["doc_id"] or -1, r["n_bytes"], [tuple(s) for s in r["removed"]], bytes(r["kept"])) for r in cut)
+    assert got[2000] == got[1 << 30] and len(got[2000]) == len(rows)
+    want = repeats.brute_force([(repeats.LAST_ID if i is None else i, t) for i, t in rows])
+    for i, n, removed, kept in got[2000]:
+        expected = want[repeats.LAST_ID if i == -1 else i]
+        assert (n, sum(e - s for s, e in removed), len(removed), hashlib.sha256(kept).hexdigest()) == expected
+
+
+def test_hot_gram_sends_digests(spark):
+    """No run of a substring beyond the bound sends its bytes to an array."""
+    rng = random.Random(9)
+    rows = [(k, 1, noise(rng, 90) + "the same thirty bytes in all of" + noise(rng, 90)) for k in range(300)]
+    texts = spark.createDataFrame(rows, "oid long, key long, text string")
+    found = repeats._repeated_runs(repeats._gathered(texts, 100, 24, 1), 100, 2000)
+    places = found.groupBy("oid", "key").agg(F.collect_list(F.struct("start", "count", "kind", "hash")).alias("places"))
+    runs = repeats._with_bytes(texts.join(places, ["oid", "key"]), 100)
+    most = runs.filter(F.col("kind") == repeats.RUN).groupBy("hash").agg(F.sum(F.octet_length("bytes")).alias("n")).agg(F.max("n")).first()[0]
+    assert (most or 0) <= 2000 and runs.filter(F.col("kind") == repeats.HOT).count() > 300
+
+
 def test_repeats_edges(spark):
     assert repeats.remove_repeats(docs_of(spark, [])).count() == 0
     text = "".join(chr(97 + i % 26) + str(i) for i in range(60))
