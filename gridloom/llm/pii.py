@@ -6,7 +6,8 @@ and domain, a person into given names and surname (the title stays), all others
 are one part.  A part's canonical form (lower case, digits without separators)
 and a secret key give its surrogate, so the same part gets the same surrogate
 everywhere, however it is written, and a surname keeps it with or without a
-title.  Letters become letters of the same script and case, digits digits, card
+title.  Capitalised words that equal a given name or surname found elsewhere in
+the same text are mentions of it and get its surrogate.  Letters become letters of the same script and case, digits digits, card
 numbers keep being valid or invalid, network addresses stay addresses, given
 names keep their gender.
 
@@ -81,10 +82,12 @@ def _person_parts(x: Column) -> Column:
         names = "|".join(GIVEN[g].split())
         gender = F.when(title.rlike(rf"^(?:{TITLES[g]})\.? $") | ((title == "") & x.rlike(rf"^(?:{names}) ")), F.lit(g)).otherwise(gender)
     names = F.split(F.substring(x, F.length(title) + 1, F.length(x)), " ")
+    stem = lambda n: F.regexp_replace(n, "['’]s$", "")
     parts = F.transform(
         names,
         lambda n, i: F.array(
-            _piece(F.when(i == F.size(names) - 1, F.lit("surname")).otherwise(F.concat(F.lit("given_"), gender)), F.lower(n), n), _piece(None, None, F.when(i == F.size(names) - 1, F.lit("")).otherwise(F.lit(" ")))
+            _piece(F.when(i == F.size(names) - 1, F.lit("surname")).otherwise(F.concat(F.lit("given_"), gender)), F.lower(stem(n)), stem(n)),
+            _piece(None, None, F.concat(F.substring(n, F.length(stem(n)) + 1, F.length(n)), F.when(i == F.size(names) - 1, F.lit("")).otherwise(F.lit(" ")))),
         ),
     )
     return F.concat(F.array(_piece(None, None, title)), F.flatten(parts))
@@ -107,6 +110,27 @@ def _sequence(text: Column) -> Column:
     )
 
 
+def _with_mentions(texts: DataFrame) -> DataFrame:
+    """``parts`` with the capitalised words between entities that equal a name found in the same text."""
+    named = F.filter("parts", lambda p: (p["kind"] == "surname") | p["kind"].startswith("given_"))
+    texts = texts.withColumn("names", F.array_distinct(F.transform(named, lambda p: F.struct(p["canon"].alias("canon"), p["kind"].alias("kind")))))
+    # longer names first; names hold letters, apostrophes and hyphens only
+    ordered = F.reverse(F.array_sort(F.transform("names", lambda n: F.struct(F.length(n["canon"]).alias("size"), n["canon"].alias("canon")))))
+    any_name = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?=\p{Lu})(?iu:"), F.array_join(F.transform(ordered, lambda n: n["canon"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    texts = texts.withColumn("any_name", any_name)
+
+    def mention(word: Column) -> Column:
+        return _piece(F.filter("names", lambda n: n["canon"] == F.lower(word))[0]["kind"], F.lower(word), word)
+
+    def opened(p: Column) -> Column:
+        pairs = F.arrays_zip(F.split(p["raw"], F.col("any_name"), -1).alias("gap"), F.regexp_extract_all(p["raw"], F.col("any_name"), F.lit(0)).alias("hit"))
+        inside = F.transform(pairs, lambda x: F.concat(F.array(_piece(None, None, x["gap"])), F.when(x["hit"].isNotNull(), F.array(mention(x["hit"]))).otherwise(F.array().cast(PART))))
+        return F.when(p["kind"].isNull(), F.flatten(inside)).otherwise(F.array(p))
+
+    both = F.when(F.size("names") > 0, F.flatten(F.transform("parts", opened))).otherwise(F.col("parts"))
+    return texts.withColumn("parts", both).drop("names", "any_name")
+
+
 def _number(hexes: Column, i: Column) -> Column:
     """A number from 0 to 65535 out of 128 hex digits."""
     return F.conv(F.substring(hexes, (i % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int")
@@ -241,7 +265,7 @@ def replace_pii(docs: DataFrame, secret: str = "gridloom", text_col: str = "text
     hit = docs.filter(gated).select(*columns, F.xxhash64(text).alias(one), F.xxhash64(text, F.lit(1)).alias(two))
     # texts, not rows, are worked on: copies share one result
     texts = hit.select(F.col(one).alias("one"), F.col(two).alias("two"), text.alias("text")).dropDuplicates(["one", "two"])
-    texts = written(texts.select("one", "two", _sequence(F.col("text")).alias("parts")))
+    texts = written(_with_mentions(texts.select("one", "two", _sequence(F.col("text")).alias("parts"))))
     flat = texts.select("one", "two", F.posexplode("parts").alias("at", "part")).select("one", "two", "at", "part.*").filter("kind IS NOT NULL")
     found = flat.join(surrogates(flat, secret), ["kind", "canon"]).groupBy("one", "two").agg(F.map_from_entries(F.collect_list(F.struct("at", "surrogate"))).alias("new"))
     shown = F.transform("parts", lambda p, i: F.struct(p["kind"].alias("kind"), _rendered(p, F.element_at("new", i)).alias("surrogate")))

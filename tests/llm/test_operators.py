@@ -382,6 +382,21 @@ def test_surrogates_are_consistent_and_distinct(spark):
     assert re.search(r"г-н [А-Я][а-яё]+ [А-Я]", text[3]) and re.search(r'token = "[0-9a-f]{40}" GB', text[3])
 
 
+def test_bare_mentions_get_the_same_surrogate(spark):
+    rows = [
+        (1, "Smith came. Dr. Jane Smith arrived. Smith said that Jane, SMITH and Smith's smith met Smithson; Jane left."),
+        (2, "Smith and Jane without a title."),
+        (3, "Herr O'Neill-Šmíd und г-н Петров. O'Neill-Šmíd, Петров. Dr. Brown's book: Brown"),
+        (4, "write to a@b.example.org, Smith"),
+    ]
+    text = {r["doc_id"]: r["text"] for r in pii.replace_pii(docs_of(spark, rows))[0].collect()}
+    m = re.fullmatch(r"(\w+) came\. Dr\. (\S+) (\w+) arrived\. (\w+) said that (\S+), (\w+) and (\w+)'s smith met Smithson; (\S+) left\.", text[1])
+    assert m[1] == m[3] == m[4] == m[7] != "Smith" and m[6] == m[3].upper() and m[2] == m[5] == m[8] != "Jane"
+    assert text[2] == rows[1][1] and text[4].endswith(", Smith")
+    m = re.fullmatch(r"Herr (\S+) und г-н (\w+)\. (\S+), (\w+)\. Dr\. (\w+)'s book: (\w+)", text[3])
+    assert m[1] == m[3] != "O'Neill-Šmíd" and m[2] == m[4] != "Петров" and m[5] == m[6] != "Brown"
+
+
 def test_surrogates_without_collisions(spark):
     parts = spark.createDataFrame([("given_m", f"name{i}") for i in range(150)] + [("surname", a + b) for a in "abcdef" for b in "abcdefgh"] + [("ip", f"10.0.0.{i}") for i in range(90)], "kind string, canon string")
     got = pii.surrogates(parts, "k").collect()
