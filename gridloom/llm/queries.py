@@ -12,6 +12,7 @@ from gridloom.llm.html import op4_html
 from gridloom.llm.langid import op8_langid
 from gridloom.llm.licenses import op7_licenses
 from gridloom.llm.minhash import OP2_SQL, op2_minhash
+from gridloom.llm.periodic import OP11_SQL, op11_runs
 from gridloom.llm.pii import op6_pii
 from gridloom.llm.quality import op9_quality
 from gridloom.llm.repeats import OP1_SQL, op1_repeats
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
+    "op11_runs": op11_runs,
 }
-ORACLES: dict[str, str] = {"op1_repeats": OP1_SQL, "op2_minhash": OP2_SQL, "op5_maxscore": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_repeats": OP1_SQL, "op2_minhash": OP2_SQL, "op5_maxscore": OP5_SQL, "op11_runs": OP11_SQL}
