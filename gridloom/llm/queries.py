@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.bpe import op10_bpe
+from gridloom.llm.chat import OP12_SQL, op12_chat
+from gridloom.llm.codes import OP13_SQL, op13_codes
 from gridloom.llm.decontaminate import op3_decontaminate
 from gridloom.llm.html import op4_html
 from gridloom.llm.langid import op8_langid
@@ -30,5 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
     "op11_runs": op11_runs,
+    "op12_chat": op12_chat,
+    "op13_codes": op13_codes,
 }
-ORACLES: dict[str, str] = {"op1_repeats": OP1_SQL, "op2_minhash": OP2_SQL, "op5_maxscore": OP5_SQL, "op11_runs": OP11_SQL}
+ORACLES: dict[str, str] = {"op1_repeats": OP1_SQL, "op2_minhash": OP2_SQL, "op5_maxscore": OP5_SQL, "op11_runs": OP11_SQL, "op12_chat": OP12_SQL, "op13_codes": OP13_SQL}
