@@ -6,6 +6,12 @@ between two characters that are not white space.  The pre-split pattern always
 starts a match there, so the ids of the pieces, one after the other, are the
 ids of the text, and no call has to hold a very long text at once.
 
+Long runs of white space are taken out before that, as the pattern's last two
+alternatives (``\\s+(?!\\S)|\\s+``) backtrack over the whole run.  The rule they
+state is applied instead: a run is one match, without its last character if a
+character follows that is not white space.  Both ends of the match are safe
+places, and the match is merged by itself.
+
 Defined results: a null or empty text gives no ids and empty bytes; a null id
 is kept; repeated rows give repeated results; further input columns are
 ignored; an empty table gives an empty table.
@@ -26,6 +32,11 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import sliced, table, without
 
 SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: the White_Space property of Unicode, which the pattern's ``\s`` stands for (fixed values)
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_WHITE = re.compile(f"[{WHITE}]{{4096,}}")
+#: a pattern under which any text is one match
+ONE_MATCH = r"[\s\S]+"
 
 
 @lru_cache(maxsize=2)
@@ -55,9 +66,28 @@ def encode_text(enc, text: str | None, piece_chars: int) -> list[int]:
         return []
     if len(text) <= piece_chars:
         return enc.encode_ordinary(text)
+    ids: list[int] = []
+    at = 0
+    for run in LONG_WHITE.finditer(text):
+        ids += _encode_pieces(enc, text[at : run.start()], piece_chars)
+        at = run.end() - (run.end() < len(text))
+        ids += _one_match(enc).encode_ordinary(text[run.start() : at])
+    return ids + _encode_pieces(enc, text[at:], piece_chars)
+
+
+def _encode_pieces(enc, text: str, piece_chars: int) -> list[int]:
     return [i for part in pieces(text, piece_chars) for i in enc.encode_ordinary(part)]
 
 
+@lru_cache(maxsize=4)
+def _one_match(enc):
+    """The same ranks with a pattern under which a text is one match."""
+    import tiktoken
+
+    ranks = {enc.decode_single_token_bytes(i): i for i in range(enc.n_vocab)}
+    return tiktoken.Encoding("one", pat_str=ONE_MATCH, mergeable_ranks=ranks, special_tokens={})
+
+
 def encode_decode(docs: DataFrame, rank_path: str, pattern: str, piece_chars: int = 16384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, ids array<int>, decoded binary`` for every row; ``decoded`` is made from ``ids`` alone."""
     kind = dict(docs.dtypes)[id_col]

@@ -582,6 +582,24 @@ def test_bpe_round_trip_and_pieces(spark):
     assert bpe.encode_decode(docs_of(spark, []), path, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("text", [
+    " " * 3_000_000,
+    "\n" * 3_000_000,
+    "ab " + " \t\u3000\n" * 750_000 + "cd" + " " * 5000 + "\n",
+    "x" + "\r\n" * 1_500_000 + " y z" + "\x1c" * 5000 + " end",
+    " a\n" * 6000 + "\xa0" * 4096 + "'s" + " " * 4097 + "7",
+], ids=["spaces", "newlines", "mixed", "crlf", "short"])
+def test_bpe_long_white_space(text):
+    """Match by match, as the pattern's rule says, each merged by itself."""
+    import public_tokenizers
+    import regex
+
+    enc = bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    want = [i for m in regex.finditer(public_tokenizers.PATTERN, text) for i in enc._encode_single_piece(m[0])]
+    got = bpe.encode_text(enc, text, 16384)
+    assert got == want and enc.decode_bytes(got).decode() == text
+
+
 # ---- registered queries
 
 
