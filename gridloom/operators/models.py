@@ -1,4 +1,4 @@
-"""Supervised steps on ``pyspark.ml``: horizon predictor and block-validated forest."""
+"""Supervised steps on ``pyspark.ml``: the block-validated forest."""
 
 from __future__ import annotations
 
@@ -8,49 +8,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.session import cut_lineage
 
 
-def seeded_weight(key: str, seed: int):
-    """Poisson-like bootstrap weight (0..3) from a seeded hash of the row key."""
-    h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1000))
-    return F.when(h < 368, 0.0).when(h < 736, 1.0).when(h < 920, 2.0).otherwise(3.0)
-
-
-def fit_member(train: DataFrame, features: Sequence[str], label: str, key: str, seed: int) -> PipelineModel:
-    """One ensemble member: a ridge regression on a seeded bootstrap of the rows.
-
-    Missing features take the training median, so every row is used and predicted.
-    """
-    rows = train.withColumn("_w", seeded_weight(key, seed)).where(F.col("_w") > 0)
-    filled = [f"_i_{c}" for c in features]
-    stages = [
-        Imputer(inputCols=list(features), outputCols=filled, strategy="median"),
-        VectorAssembler(inputCols=filled, outputCol="_x"),
-        LinearRegression(featuresCol="_x", labelCol=label, weightCol="_w", predictionCol="_p", regParam=1e-3, solver="normal"),
-    ]
-    return Pipeline(stages=stages).fit(rows)
-
-
-def fit_ensemble(samples: DataFrame, features: Sequence[str], label: str, key: str, seeds: Sequence[int]) -> dict[int, PipelineModel]:
-    """Members are fitted on the train split only; the split is staged once."""
-    train = cut_lineage(samples.where(F.col("split") == "train").select(key, label, *features))
-    return {seed: fit_member(train, features, label, key, seed) for seed in seeds}
-
-
-def predict_ensemble(samples: DataFrame, models: dict[int, PipelineModel]) -> DataFrame:
-    """Stacked member predictions (one row per sample and seed)."""
-    out = None
-    for seed, model in models.items():
-        part = model.transform(samples).select(*samples.columns, "_p").withColumnRenamed("_p", "y_pred").withColumn("seed", F.lit(seed))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def forest_pipeline(features: Sequence[str], label: str, trees: int = 500, seed: int = 42) -> Pipeline:
     """Median imputation and a tree ensemble (leaves of at least ten rows)."""
     filled = [f"_i_{c}" for c in features]

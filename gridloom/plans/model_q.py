@@ -1,41 +1,15 @@
-"""Queries for the model-based operators (I8, L4, F4); rows-only by nature."""
+"""Queries for the forests."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.calendar import month_cycle
-from gridloom.operators import classify, graph, joins, models, profiles
+from gridloom.operators import classify, models, profiles
 from gridloom.plans.registry import query
-from gridloom.plans.tables import DEPTHS, FIRST_ORD, SEEDS, Tables
+from gridloom.plans.tables import DEPTHS, FIRST_ORD, Tables
 from gridloom.session import cut_lineage
 
-PREDICTORS = ["wtd_t", "h_num", "month_sin", "month_cos", "sum_infiltration", "sum_pumping", "base_smooth", "points_smooth"]
-
-
-def horizon_samples(t: Tables) -> DataFrame:
-    """Pairs with forward forcing, calendar terms and graph-smoothed cell features."""
-    edges = graph.distance_graph(graph.grid_adjacency(t.cells, 8), 2500.0)
-    feats = t.baseline.select("grid_id", F.col("base_wtd").alias("base_smooth"), F.col("n_points").alias("points_smooth"))
-    smooth = graph.smooth_features(edges, feats, ["base_smooth", "points_smooth"], rounds=2)
-    sums = joins.forward_sums(t.forcing, ["infiltration", "pumping"], [1, 3, 6])
-    s, c = month_cycle(F.pmod(F.col("start_idx") + FIRST_ORD - 1, F.lit(12)) + 1)
-    return (
-        t.pairs.where("split IS NOT NULL")
-        .join(sums, ["grid_id", "start_idx", "h"])
-        .join(smooth, "grid_id")
-        .withColumns({"month_sin": s, "month_cos": c, "h_num": F.col("h").cast("double")})
-    )
-
-
-@query("i08_horizon_predictor", "sample_key:i h:i split:s seed:i y_true:f y_pred:f")
-def i08(t: Tables) -> DataFrame:
-    rows = cut_lineage(horizon_samples(t).select("sample_key", "h", "split", F.col("delta_h").alias("y_true"), *PREDICTORS))
-    fitted = models.fit_ensemble(rows, PREDICTORS, "y_true", "sample_key", SEEDS)
-    return models.predict_ensemble(rows, fitted)
-
-
 def forest_rows(t: Tables) -> tuple[DataFrame, list[str]]:
     """Native layers and pumping logs per labelled cell, with its spatial fold."""
     native = profiles.native_columns(t.profiles, DEPTHS)

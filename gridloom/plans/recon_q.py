@@ -8,17 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import anchors as an
-from gridloom.operators import graph, reconstruct, solver, uncertainty
+from gridloom.operators import reconstruct, solver, uncertainty
 from gridloom.plans import recon_sql as rs
-from gridloom.plans.joins_q import LEAF, STEPS, adjacency_sql
+from gridloom.plans.joins_q import LEAF
 from gridloom.plans.panel_q import ANCH, FIELD_CTES, anchor_field_table, anomalies
+from gridloom.plans.predict_q import BLOCKS, FITTED, GRAPH, edges, predictor
 from gridloom.plans.registry import query
 from gridloom.plans.sqlbase import with_blocks
 from gridloom.plans.tables import N_MONTHS, Tables
 
-BLOCKS = "obs baseline calendar cells"
 ROUNDS = 4
-SLOPE = {1: 0.02, 3: 0.05, 6: 0.08}
 EXACT, ALPHA, SCALE = 2, 0.05, 8.0
 LOCAL = dict(alpha_min=0.70, alpha_max=0.80, gap_scale=48.0, edge_window=12, edge_alpha=0.50, single_alpha=0.08, single_scale=8.0)
 
@@ -26,15 +25,6 @@ OBSN = (
     "obsn",
     "SELECT grid_id, month_idx, anomaly AS value, quality, count(*) OVER (PARTITION BY grid_id) AS n_months FROM anom",
 )
-GRAPH = (
-    ("knn", adjacency_sql("cells")),
-    (
-        "gw",
-        """SELECT src, dst, greatest(w / max(w) OVER (), 1e-6) AS weight FROM (SELECT src, dst, avg(exp(-dist / 2500.0)) AS w FROM (SELECT src, dst, dist FROM knn UNION ALL SELECT dst, src, dist FROM knn) GROUP BY ALL)""",
-    ),
-    ("sym", "SELECT src, dst, sum(weight) AS weight FROM (SELECT src, dst, weight / 2 AS weight FROM gw UNION ALL SELECT dst, src, weight / 2 FROM gw) GROUP BY ALL"),
-    ("deg", "SELECT src AS grid_id, sum(weight) AS deg FROM sym GROUP BY 1"),
-)
 ANCHOR_CELLS = ("acell", "SELECT grid_id, month_idx FROM cells, anch")
 PRIORS = rs.priors("priors", "obsn", "acell", 18, 3, 60.0)
 
@@ -50,10 +40,6 @@ def observed(t: Tables) -> DataFrame:
     )
 
 
-def edges(t: Tables) -> DataFrame:
-    return t.stage("edges", lambda: graph.distance_graph(graph.grid_adjacency(t.cells, 8), 2500.0))
-
-
 def anchor_list(t: Tables) -> list[int]:
     return sorted(r[0] for r in an.anchor_months(t.calendar).select("month_idx").collect())
 
@@ -253,26 +239,12 @@ def j02(t: Tables) -> DataFrame:
 
 
 CFG = reconstruct.Settings(
-    paths=uncertainty.greedy_paths(12), exact_min=EXACT, single_alpha=ALPHA, single_scale=SCALE, split_rmse=0.58, split_p95=9.0,
+    paths=uncertainty.greedy_paths(12), exact_min=EXACT, single_alpha=ALPHA, single_scale=SCALE, split_rmse=1.31, split_p95=9.0,
     solver={"fixed_iterations": ROUNDS},
 )
-DRV = ("drv", "SELECT grid_id, start_idx, h, 0.03::DOUBLE * h * cos(start_idx * 0.5::DOUBLE + grid_id % 5) AS base FROM cells, (SELECT DISTINCT start_idx, h FROM steps)")
 COUNTS = ("mcount", "SELECT month_idx, count(*) AS n_month FROM obsn GROUP BY 1")
 
 
-def predictor(t: Tables) -> reconstruct.LinearPredictor:
-    """State-free part of the step, for the steps the plans can ask for."""
-    pairs = F.array(
-        *[F.struct(F.lit(m).alias("start_idx"), F.lit(h).alias("h")) for h in SLOPE for m in range(N_MONTHS - h)]
-    )
-    base = F.lit(0.03) * F.col("h") * F.cos(F.col("start_idx") * F.lit(0.5) + F.pmod(F.col("grid_id"), F.lit(5)))
-    return reconstruct.LinearPredictor(t.cells.select("grid_id", F.inline(pairs)).withColumn("base", base), SLOPE)
-
-
-DRV_ALL = (
-    "drv",
-    "SELECT grid_id, start_idx, CAST(h AS INTEGER) AS h, 0.03::DOUBLE * h * cos(start_idx * 0.5::DOUBLE + grid_id % 5) AS base FROM cells, (VALUES (1), (3), (6)) hz(h), range(84) r(start_idx) WHERE start_idx + h <= 83",
-)
 FIELD_STATES = ("astate", "SELECT grid_id, month_idx, field AS value FROM fields")
 SEG0 = (
     "seg0",
@@ -282,7 +254,7 @@ SEG0 = (
 
 def segment_ctes(prefix: str, seg: str, anchors: str, top: int = rs.TOP) -> rs.Ctes:
     return (
-        *rs.propagate(f"{prefix}p", seg, "drv", "obsn", SLOPE, EXACT, ALPHA, SCALE, top),
+        *rs.propagate(f"{prefix}p", seg, "drv", "obsn", EXACT, ALPHA, SCALE, top),
         *rs.endpoints(f"{prefix}e", f"{prefix}p", anchors, "mcount", EXACT, ALPHA, SCALE, top),
         *rs.corrected(f"{prefix}c", f"{prefix}e", top),
         *rs.summary(f"{prefix}s", f"{prefix}e"),
@@ -294,7 +266,7 @@ def renamed(ctes) -> list[tuple[str, str]]:
     return [("asm" if n == "as" else n, q) for n, q in ctes]
 
 
-FIRST = (*FIELD_CTES, OBSN, LEAF, DRV_ALL, COUNTS, FIELD_STATES, SEG0, *segment_ctes("a", "seg0", "astate"))
+FIRST = (*FIELD_CTES, OBSN, LEAF, *FITTED, COUNTS, FIELD_STATES, SEG0, *segment_ctes("a", "seg0", "astate"))
 
 
 def field_states(t: Tables) -> DataFrame:
@@ -307,11 +279,11 @@ def month_counts(t: Tables) -> DataFrame:
 
 #: the same with anchors every 24 months, and the months after the last of them
 LEAF24 = ("leaf", "SELECT * FROM (VALUES (0, 24), (24, 48), (48, 72)) l(left_idx, right_idx)")
-WIDE = (*FIELD_CTES, OBSN, LEAF24, DRV_ALL, COUNTS, FIELD_STATES, SEG0, *segment_ctes("a", "seg0", "astate", 24))
+WIDE = (*FIELD_CTES, OBSN, LEAF24, *FITTED, COUNTS, FIELD_STATES, SEG0, *segment_ctes("a", "seg0", "astate", 24))
 TAIL = (
-    *FIELD_CTES, OBSN, DRV_ALL, FIELD_STATES,
+    *FIELD_CTES, OBSN, *FITTED, FIELD_STATES,
     ("seg0", "SELECT -1 AS segment_id, grid_id, 60 AS left_idx, 83 AS right_idx, value AS state FROM astate WHERE month_idx = 60"),
-    *rs.propagate("ap", "seg0", "drv", "obsn", SLOPE, EXACT, ALPHA, SCALE, 23),
+    *rs.propagate("ap", "seg0", "drv", "obsn", EXACT, ALPHA, SCALE, 23),
 )
 CFG24 = replace(CFG, paths=uncertainty.greedy_paths(24))
 
@@ -368,7 +340,7 @@ def split_ctes(anchors: str) -> rs.Ctes:
         (
             "cuts",
             f"""SELECT segment_id, left_idx, right_idx, cut FROM (SELECT segment_id, left_idx, right_idx, rmse, p95_abs_diff, left_idx + CASE WHEN right_idx - left_idx >= 18 THEN 12 WHEN right_idx - left_idx >= 12 THEN 6
-            ELSE (right_idx - left_idx) // 2 END AS cut FROM asm) WHERE right_idx - left_idx > 6 AND (rmse > 0.58 OR p95_abs_diff > 9.0) AND cut IN (SELECT month_idx FROM mcount)""",
+            ELSE (right_idx - left_idx) // 2 END AS cut FROM asm) WHERE right_idx - left_idx > 6 AND (rmse > 1.31 OR p95_abs_diff > 9.0) AND cut IN (SELECT month_idx FROM mcount)""",
         ),
         ("ssys", "SELECT grid_id, month_idx, value, greatest(quality, 1.0) AS quality FROM obsn WHERE month_idx IN (SELECT cut FROM cuts)"),
         *rs.pcg("mid", "ssys", 1.0, ROUNDS),
@@ -391,7 +363,7 @@ def split_ctes(anchors: str) -> rs.Ctes:
 @query(
     "j05_adaptive_split",
     "segment_id:i grid_id:i month_idx:i value:f",
-    with_blocks(BLOCKS, "SELECT * FROM pieces", *renamed(FIRST), *GRAPH, *split_ctes("astate")),
+    with_blocks(BLOCKS, "SELECT * FROM pieces", *renamed(FIRST), *split_ctes("astate")),
 )
 def j05(t: Tables) -> DataFrame:
     states, obs, e = field_states(t), observed(t), edges(t)
@@ -406,7 +378,7 @@ def j05(t: Tables) -> DataFrame:
 
 
 RECON = (
-    *BACKGROUND, LEAF, DRV_ALL, COUNTS, ("astate", "SELECT * FROM bg"), SEG0, *renamed(segment_ctes("a", "seg0", "astate")), *split_ctes("astate"),
+    *BACKGROUND, LEAF, *FITTED, COUNTS, ("astate", "SELECT * FROM bg"), SEG0, *renamed(segment_ctes("a", "seg0", "astate")), *split_ctes("astate"),
     ("rec0", "SELECT grid_id, month_idx, arg_min(value, segment_id) AS value FROM pieces GROUP BY ALL"),
     *rs.local_anchors("la", "rec0", "obsn", **LOCAL),
     *diffusion_ctes("df", "la", 1.25, 2),

@@ -64,10 +64,10 @@ def last_step(gap: int) -> tuple[int, int]:
     return gap - h, h
 
 
-def propagate(name: str, seg: str, drv: str, obs: str, slope: dict[int, float], exact_min: int, alpha: float, scale: float, top: int = TOP) -> Ctes:
+def propagate(name: str, seg: str, drv: str, obs: str, exact_min: int, alpha: float, scale: float, top: int = TOP) -> Ctes:
     plan = ", ".join(["(0, NULL, NULL)"] + [f"({k}, {last_step(k)[0]}, {last_step(k)[1]})" for k in range(1, top + 1)])
     cols = ", ".join(
-        [f"max(base) FILTER (k = {k}) AS b{k}" for k in range(1, top + 1)]
+        [f"max(base) FILTER (k = {k}) AS b{k}, max(slope) FILTER (k = {k}) AS m{k}" for k in range(1, top + 1)]
         + [f"max(o.value) FILTER (k = {k}) AS o{k}, max(o.quality) FILTER (k = {k}) AS q{k}" for k in range(top + 1)]
     )
     ctes = [
@@ -80,8 +80,8 @@ def propagate(name: str, seg: str, drv: str, obs: str, slope: dict[int, float],
     ]
     src = f"{name}_i"
     for k in range(1, top + 1):
-        prev, h = last_step(k)
-        inner = f"SELECT *, CASE WHEN gap >= {k} THEN s{prev} - (b{k} + {slope[h]}::DOUBLE * s{prev}) END AS mv FROM {src}"
+        prev, _ = last_step(k)
+        inner = f"SELECT *, CASE WHEN gap >= {k} THEN s{prev} - (b{k} + m{k} * s{prev}) END AS mv FROM {src}"
         ctes.append((f"{name}_s{k}", f"SELECT * EXCLUDE (mv), {assimilated('mv', f'o{k}', f'q{k}', 'n_months', exact_min, alpha, scale)} AS s{k} FROM ({inner})"))
         src = f"{name}_s{k}"
     ctes.append((name, f"SELECT * FROM {src}"))
@@ -186,6 +186,24 @@ def priors(name: str, obs: str, anchor_cells: str, extrap: int, single: int, spa
     )
 
 
+def eliminate(name: str, src: str, n: int) -> tuple[list[tuple[str, str]], str]:
+    """Solve ``n`` x ``n`` systems held in columns a.., b.. for c..; the CTEs and the last one's name."""
+    ctes = []
+    for k in range(n - 1):
+        f = ", ".join(f"a{i}{k} / CASE WHEN abs(a{k}{k}) > 1e-9 THEN a{k}{k} END AS f{i}" for i in range(k + 1, n))
+        upd = ", ".join(
+            [f"a{i}{j} - f{i} * a{k}{j} AS a{i}{j}" for i in range(k + 1, n) for j in range(k + 1, n)]
+            + [f"b{i} - f{i} * b{k} AS b{i}" for i in range(k + 1, n)]
+        )
+        ctes.append((f"{name}_x{k}", f"SELECT * EXCLUDE ({', '.join(f'f{i}' for i in range(k + 1, n))}) REPLACE ({upd}) FROM (SELECT *, {f} FROM {src})"))
+        src = f"{name}_x{k}"
+    for i in reversed(range(n)):
+        acc = f"b{i}" + "".join(f" - a{i}{j} * c{j}" for j in range(i + 1, n))
+        ctes.append((f"{name}_c{i}", f"SELECT *, ({acc}) / CASE WHEN abs(a{i}{i}) > 1e-9 THEN a{i}{i} END AS c{i} FROM {src}"))
+        src = f"{name}_c{i}"
+    return ctes, src
+
+
 def harmonic(name: str, obs: str, min_obs: int = 12) -> Ctes:
     """Normal equations of six terms, eliminated column by column."""
     a = "(month_idx * {0}::DOUBLE)".format(repr(2.0 * 3.141592653589793 / 12.0))
@@ -198,18 +216,8 @@ def harmonic(name: str, obs: str, min_obs: int = 12) -> Ctes:
         (f"{name}_u", f"SELECT grid_id, count(*) AS n_obs, {sums} FROM {obs} GROUP BY 1 HAVING count(*) >= {min_obs}"),
         (f"{name}_e0", f"SELECT *, {', '.join(f'a{j}{i} AS a{i}{j}' for i in range(n) for j in range(i))} FROM {name}_u"),
     ]
-    for k in range(n - 1):
-        f = ", ".join(f"a{i}{k} / CASE WHEN abs(a{k}{k}) > 1e-9 THEN a{k}{k} END AS f{i}" for i in range(k + 1, n))
-        upd = ", ".join(
-            [f"a{i}{j} - f{i} * a{k}{j} AS a{i}{j}" for i in range(k + 1, n) for j in range(k + 1, n)]
-            + [f"b{i} - f{i} * b{k} AS b{i}" for i in range(k + 1, n)]
-        )
-        ctes.append((f"{name}_e{k + 1}", f"SELECT * EXCLUDE ({', '.join(f'f{i}' for i in range(k + 1, n))}) REPLACE ({upd}) FROM (SELECT *, {f} FROM {name}_e{k})"))
-    src = f"{name}_e{n - 1}"
-    for i in reversed(range(n)):
-        acc = f"b{i}" + "".join(f" - a{i}{j} * c{j}" for j in range(i + 1, n))
-        ctes.append((f"{name}_c{i}", f"SELECT *, ({acc}) / CASE WHEN abs(a{i}{i}) > 1e-9 THEN a{i}{i} END AS c{i} FROM {src}"))
-        src = f"{name}_c{i}"
+    solved, src = eliminate(name, f"{name}_e0", n)
+    ctes += solved
     fit = " + ".join(f"c{i} * {b}" for i, b in enumerate(basis))
     ctes.append(
         (

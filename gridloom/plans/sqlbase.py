@@ -114,8 +114,15 @@ def _ordered(names: list[str], seen: list[str]) -> list[str]:
 
 
 def with_blocks(names: str, body: str, *extra: tuple[str, str]) -> str:
-    """``WITH`` the named blocks (and dependencies), then extra CTEs, then body."""
-    parts = [f"{n} AS MATERIALIZED ({BLOCKS[n][1]})" for n in _ordered(names.split(), [])]
-    parts += [f"{n} AS MATERIALIZED ({q})" for n, q in extra]
-    head = "WITH " + ",\n".join(parts) + "\n" if parts else ""
+    """``WITH`` the named blocks (and dependencies), then extra CTEs, then body.
+
+    A CTE that several groups of extras hold stands once; two under one name are an error.
+    A query that begins with ``RECURSIVE`` refers to itself.
+    """
+    ctes = {n: BLOCKS[n][1] for n in _ordered(names.split(), [])}
+    for n, q in extra:
+        if ctes.setdefault(n, q) != q:
+            raise ValueError(f"two queries are called {n}")
+    parts = [f"{n} AS MATERIALIZED ({q})" if not q.startswith("RECURSIVE") else f"{n} AS ({q.removeprefix('RECURSIVE')})" for n, q in ctes.items()]
+    head = "WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else ""
     return head + body

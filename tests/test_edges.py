@@ -180,15 +180,16 @@ def test_streaming_daily_totals(spark, tmp_path):
 
 def test_long_gaps_and_tail(spark):
     """A 24-month interval and a tail follow the step rule month by month; a missing prediction or path fails."""
+    from gridloom.operators.regression import StatePredictor
     from gridloom.operators.uncertainty import greedy_paths
 
     paths = greedy_paths(24)
     assert paths[24] == (6, 6, 6, 6) and paths[23] == (6, 6, 6, 3, 1, 1) and all(sum(p) == g for g, p in paths.items())
     base = {(m, h): 0.01 * m + 0.1 * h for m in range(60) for h in (1, 3, 6)}
-    drv = spark.createDataFrame([(1, m, h, b) for (m, h), b in base.items()], "grid_id LONG, start_idx INT, h INT, base DOUBLE")
-    obs = spark.createDataFrame([(1, 14, 7.5, 1.0, 3), (1, 40, 2.0, 1.0, 3), (1, 43, 3.0, 1.0, 3)], "grid_id LONG, month_idx INT, value DOUBLE, quality DOUBLE, n_months INT")
     slope = {1: 0.02, 3: 0.05, 6: 0.08}
-    predictor = reconstruct.LinearPredictor(drv, slope)
+    drv = spark.createDataFrame([(1, m, h, b, slope[h]) for (m, h), b in base.items()], "grid_id LONG, start_idx INT, h INT, base DOUBLE, slope DOUBLE")
+    obs = spark.createDataFrame([(1, 14, 7.5, 1.0, 3), (1, 40, 2.0, 1.0, 3), (1, 43, 3.0, 1.0, 3)], "grid_id LONG, month_idx INT, value DOUBLE, quality DOUBLE, n_months INT")
+    predictor = StatePredictor(drv)
     cfg = reconstruct.Settings(paths=paths)
 
     def states(left, gap, s):
@@ -206,7 +207,7 @@ def test_long_gaps_and_tail(spark):
     anchors = spark.createDataFrame([(1, 36, 4.0)], "grid_id LONG, month_idx INT, value DOUBLE")
     tail = {r["month_idx"]: r["value"] for r in reconstruct.extrapolate_tail(anchors, 36, 55, predictor, obs, cfg).collect()}
     assert [tail[m] for m in range(37, 56)] == pytest.approx(states(36, 19, 4.0)[1:])
-    gone = reconstruct.LinearPredictor(drv.where("start_idx <> 6"), slope)
+    gone = StatePredictor(drv.where("start_idx <> 6"))
     with pytest.raises(Exception, match="no prediction"):
         reconstruct.propagate(seg, gone, obs, cfg).collect()
     with pytest.raises(Exception, match="no path"):
