@@ -18,6 +18,8 @@ from gridloom.plans.sqlbase import with_blocks
 from gridloom.plans.tables import N_MONTHS, Tables
 
 ROUNDS = 4
+#: queries converge far below the default, so that another engine's solution rounds alike
+TIGHT = {"rtol": 1e-13}
 EXACT, ALPHA, SCALE = 2, 0.05, 8.0
 LOCAL = dict(alpha_min=0.70, alpha_max=0.80, gap_scale=48.0, edge_window=12, edge_alpha=0.50, single_alpha=0.08, single_scale=8.0)
 
@@ -105,7 +107,7 @@ SYSTEM = (
     WHEN p.grid_id IS NOT NULL THEN greatest(p.prior_weight * 5.0, 0.10) ELSE f.field_quality END AS quality, o.grid_id IS NOT NULL AS is_obs
     FROM fields f LEFT JOIN obsn o ON o.grid_id = f.grid_id AND o.month_idx = f.month_idx LEFT JOIN priors p ON p.grid_id = f.grid_id AND p.month_idx = f.month_idx""",
 )
-BACKGROUND = (*FIELD_CTES, OBSN, ANCHOR_CELLS, *PRIORS, *GRAPH, SYSTEM, *rs.pcg("bg", "bsys", 1.0, ROUNDS, exact="is_obs"))
+BACKGROUND = (*FIELD_CTES, OBSN, ANCHOR_CELLS, *PRIORS, *GRAPH, SYSTEM, *rs.converged("bg", "bsys", 1.0, exact="is_obs"))
 
 
 def background(t: Tables, **kw) -> DataFrame:
@@ -113,14 +115,18 @@ def background(t: Tables, **kw) -> DataFrame:
     return solver.anchor_background(t.cells, edges(t), at_anchor, anchor_field_table(t), anchor_priors(t), **kw)
 
 
-@query("i05_anchor_background", "grid_id:i month_idx:i value:f", with_blocks(BLOCKS, "SELECT * FROM bg", *BACKGROUND))
+@query("i05_anchor_background", "grid_id:i month_idx:i value:f4", with_blocks(BLOCKS, "SELECT * FROM bg", *BACKGROUND))
 def i05(t: Tables) -> DataFrame:
-    return background(t, fixed_iterations=ROUNDS)
+    return background(t, **TIGHT)
 
 
-@query("i04_interpolation_converged", "grid_id:i month_idx:i value:f3")
+CONVERGED = (ANOM, OBSN, ANCH, *GRAPH, SPARSE_SYS, *rs.converged("sol", "sparse", 1.0))
+
+
+@query("i04_interpolation_converged", "grid_id:i month_idx:i value:f4", with_blocks(BLOCKS, "SELECT * FROM sol", *CONVERGED))
 def i04_converged(t: Tables) -> DataFrame:
-    return background(t, rtol=1e-4)
+    at_anchor = observed(t).join(F.broadcast(an.anchor_months(t.calendar).select("month_idx")), "month_idx", "left_semi")
+    return solver.interpolate_fields(t.cells, edges(t), at_anchor, **TIGHT)
 
 
 BLENDED = (
@@ -132,26 +138,24 @@ BLENDED = (
 
 @query(
     "i05_anchor_background_blended",
-    "grid_id:i month_idx:i value:f",
-    with_blocks(
-        BLOCKS, "SELECT * FROM blend", ANOM, OBSN, ANCH, ANCHOR_CELLS, *PRIORS, *GRAPH, SPARSE_SYS, *rs.pcg("sol", "sparse", 1.0, ROUNDS), BLENDED
-    ),
+    "grid_id:i month_idx:i value:f4",
+    with_blocks(BLOCKS, "SELECT * FROM blend", *CONVERGED, ANCHOR_CELLS, *PRIORS, BLENDED),
 )
 def i05_blended(t: Tables) -> DataFrame:
     at_anchor = observed(t).join(F.broadcast(an.anchor_months(t.calendar).select("month_idx")), "month_idx", "left_semi")
     return solver.anchor_background(
-        t.cells, edges(t), at_anchor, None, anchor_priors(t), smooth_priors=False, fixed_iterations=ROUNDS
+        t.cells, edges(t), at_anchor, None, anchor_priors(t), smooth_priors=False, **TIGHT
     )
 
 
-def diffusion_ctes(name: str, panel: str, lam: float, rounds: int) -> rs.Ctes:
+def diffusion_ctes(name: str, panel: str, lam: float) -> rs.Ctes:
     return (
         (
             f"{name}_sys",
             f"""SELECT o.grid_id, o.month_idx, o.value - p.value AS value, greatest(o.quality, 1.0) AS quality FROM obsn o JOIN {panel} p USING (grid_id, month_idx)
             WHERE o.month_idx IN (SELECT month_idx FROM obsn GROUP BY 1 HAVING count(*) >= 20)""",
         ),
-        *rs.pcg(f"{name}_f", f"{name}_sys", lam, rounds),
+        *rs.converged(f"{name}_f", f"{name}_sys", lam),
         (
             f"{name}_d",
             f"""SELECT p.grid_id, p.month_idx, p.value AS old, o.value AS ov, 0.70::DOUBLE * least(greatest(f.value, -2.50), 2.50) AS correction, f.grid_id IS NOT NULL AS hit FROM {panel} p
@@ -164,7 +168,7 @@ def diffusion_ctes(name: str, panel: str, lam: float, rounds: int) -> rs.Ctes:
 def diffused(t: Tables) -> tuple[DataFrame, DataFrame]:
     panel = anchored(t).drop("mode")
     # a panel that does not yet hold the observations, so that residuals remain
-    return solver.residual_diffusion(panel, t.cells, edges(t), shifted_obs(t), lam=1.25, fixed_iterations=2)
+    return solver.residual_diffusion(panel, t.cells, edges(t), shifted_obs(t), lam=1.25, **TIGHT)
 
 
 def shifted_obs(t: Tables) -> DataFrame:
@@ -173,18 +177,18 @@ def shifted_obs(t: Tables) -> DataFrame:
 
 SHIFTED = ("obsn", "SELECT * REPLACE (value + 0.3::DOUBLE * cos(month_idx) AS value) FROM obsn0")
 DIFF_SQL = (
-    ANOM, ("obsn0", OBSN[1]), WAVE, *rs.local_anchors("la", "wavep", "obsn0", **LOCAL), SHIFTED, *GRAPH, *diffusion_ctes("df", "la", 1.25, 2)
+    ANOM, ("obsn0", OBSN[1]), WAVE, *rs.local_anchors("la", "wavep", "obsn0", **LOCAL), SHIFTED, *GRAPH, *diffusion_ctes("df", "la", 1.25)
 )
 
 
-@query("i06_residual_diffusion", "grid_id:i month_idx:i value:f", with_blocks(BLOCKS, "SELECT grid_id, month_idx, value FROM df", *DIFF_SQL))
+@query("i06_residual_diffusion", "grid_id:i month_idx:i value:f4", with_blocks(BLOCKS, "SELECT grid_id, month_idx, value FROM df", *DIFF_SQL))
 def i06(t: Tables) -> DataFrame:
     return diffused(t)[0]
 
 
 @query(
     "d33_residual_report",
-    "month_idx:i observation_count:i pre_rmse:f post_rmse:f pre_bias:f post_bias:f mean_abs_correction:f p95_abs_correction:f",
+    "month_idx:i observation_count:i pre_rmse:f4 post_rmse:f4 pre_bias:f4 post_bias:f4 mean_abs_correction:f4 p95_abs_correction:f4",
     with_blocks(
         BLOCKS,
         """SELECT month_idx, count(ov) AS observation_count, sqrt(avg(pow(ov - old, 2))) AS pre_rmse, sqrt(avg(pow(ov - value, 2))) AS post_rmse, avg(ov - old) AS pre_bias, avg(ov - value) AS post_bias,
@@ -240,7 +244,7 @@ def j02(t: Tables) -> DataFrame:
 
 CFG = reconstruct.Settings(
     paths=uncertainty.greedy_paths(12), exact_min=EXACT, single_alpha=ALPHA, single_scale=SCALE, split_rmse=1.31, split_p95=9.0,
-    solver={"fixed_iterations": ROUNDS},
+    solver=TIGHT,
 )
 COUNTS = ("mcount", "SELECT month_idx, count(*) AS n_month FROM obsn GROUP BY 1")
 
@@ -343,7 +347,7 @@ def split_ctes(anchors: str) -> rs.Ctes:
             ELSE (right_idx - left_idx) // 2 END AS cut FROM asm) WHERE right_idx - left_idx > 6 AND (rmse > 1.31 OR p95_abs_diff > 9.0) AND cut IN (SELECT month_idx FROM mcount)""",
         ),
         ("ssys", "SELECT grid_id, month_idx, value, greatest(quality, 1.0) AS quality FROM obsn WHERE month_idx IN (SELECT cut FROM cuts)"),
-        *rs.pcg("mid", "ssys", 1.0, ROUNDS),
+        *rs.converged("mid", "ssys", 1.0),
         ("ast2", f"SELECT grid_id, month_idx, value FROM {anchors} UNION ALL SELECT grid_id, month_idx, value FROM mid"),
         ("seg1", "SELECT s.segment_id, s.grid_id, s.left_idx, c.cut AS right_idx, s.state FROM seg0 s JOIN cuts c USING (segment_id)"),
         *segment_ctes("b", "seg1", "ast2"),
@@ -362,7 +366,7 @@ def split_ctes(anchors: str) -> rs.Ctes:
 
 @query(
     "j05_adaptive_split",
-    "segment_id:i grid_id:i month_idx:i value:f",
+    "segment_id:i grid_id:i month_idx:i value:f4",
     with_blocks(BLOCKS, "SELECT * FROM pieces", *renamed(FIRST), *split_ctes("astate")),
 )
 def j05(t: Tables) -> DataFrame:
@@ -381,16 +385,16 @@ RECON = (
     *BACKGROUND, LEAF, *FITTED, COUNTS, ("astate", "SELECT * FROM bg"), SEG0, *renamed(segment_ctes("a", "seg0", "astate")), *split_ctes("astate"),
     ("rec0", "SELECT grid_id, month_idx, arg_min(value, segment_id) AS value FROM pieces GROUP BY ALL"),
     *rs.local_anchors("la", "rec0", "obsn", **LOCAL),
-    *diffusion_ctes("df", "la", 1.25, 2),
+    *diffusion_ctes("df", "la", 1.25),
 )
 
 
-@query("j06_reconstruct_panel", "grid_id:i month_idx:i value:f", with_blocks(BLOCKS, "SELECT grid_id, month_idx, value FROM df", *RECON))
+@query("j06_reconstruct_panel", "grid_id:i month_idx:i value:f4", with_blocks(BLOCKS, "SELECT grid_id, month_idx, value FROM df", *RECON))
 def j06(t: Tables) -> DataFrame:
     obs = observed(t)
     out = reconstruct.reconstruct_panel(
         t.cells, edges(t), obs, anchor_list(t), N_MONTHS, predictor(t), CFG, anchor_field_table(t), anchor_priors(t),
-        local_anchors=LOCAL, diffusion={"lam": 1.25, "fixed_iterations": 2},
+        local_anchors=LOCAL, diffusion={"lam": 1.25},
     )
     n = t.cells.count()
     return reconstruct.require_complete(out.panel, n, N_MONTHS)

@@ -53,6 +53,21 @@ def pcg(name: str, system: str, lam: float, rounds: int, nodes: str = "cells", e
     return tuple(ctes)
 
 
+def converged(name: str, system: str, lam: float, rounds: int = 150, nodes: str = "cells", exact: str = "TRUE") -> Ctes:
+    """The same system, iterated until nothing changes any more (``rounds`` is far beyond that point)."""
+    n, d = name, "greatest(w + ld, 1e-6)"
+    start, scaled = pcg(name, system, lam, 0, nodes, exact)[:2], f"sum(r * r / {d}) OVER (PARTITION BY month_idx)"
+    step = f"""RECURSIVE SELECT 0 AS k, grid_id, month_idx, w, ld, x, r, r / {d} AS p FROM {n}_s
+    UNION SELECT k + 1, grid_id, month_idx, w, ld, x, r, r / {d} + coalesce({scaled} / nullif(rz, 0), 0) * p AS p FROM
+    (SELECT k, grid_id, month_idx, w, ld, x + a * p AS x, r - a * q AS r, p, rz FROM
+    (SELECT *, coalesce(rz / nullif(sum(p * q) OVER (PARTITION BY month_idx), 0), 0) AS a FROM
+    (SELECT t.*, (w + ld) * p - {lam}::DOUBLE * coalesce(g.s, 0) AS q, sum(r * r / {d}) OVER (PARTITION BY t.month_idx) AS rz FROM {n}_i t LEFT JOIN
+    (SELECT src, month_idx, sum(weight * p) AS s FROM sym JOIN {n}_i ON dst = grid_id GROUP BY 1, 2) g ON g.src = t.grid_id AND g.month_idx = t.month_idx))) WHERE k < {rounds}"""
+    last = f"""SELECT t.grid_id, t.month_idx, CASE WHEN s.grid_id IS NOT NULL AND {exact} THEN s.value ELSE x END AS value FROM {n}_i t
+    LEFT JOIN {system} s ON s.grid_id = t.grid_id AND s.month_idx = t.month_idx"""
+    return (*start, (f"{n}_i", step), (n, last))
+
+
 def assimilated(m: str, o: str, q: str, n: str, exact_min: int, alpha: float, scale: float) -> str:
     return f"""CASE WHEN {o} IS NULL THEN {m} WHEN {n} >= {exact_min} THEN {o} ELSE {m} +
     least(greatest((0.05 + 0.15 * least(greatest({q} / 5.0, 0), 1)) / (1 + abs({o} - {m}) / {scale}::DOUBLE), 0.02), {alpha}::DOUBLE) * ({o} - {m}) END"""

@@ -37,6 +37,7 @@ def test_knn(spark, shape):
 
 def lattice(spark, n=6):
     cells = pd.DataFrame({"grid_id": range(n * n), "grid_row": [i // n for i in range(n * n)], "grid_col": [i % n for i in range(n * n)]})
+    cells["x"], cells["y"] = cells.grid_col * 1000.0, cells.grid_row * 1000.0
     cells = spark.createDataFrame(cells)
     return cells, graph.distance_graph(graph.grid_adjacency(cells, 8), 2500.0)
 
@@ -70,11 +71,32 @@ def test_solver_reaches_the_dense_solution(spark):
         assert have.min() >= min(values) - 1e-7 and have.max() <= max(values) + 1e-7
 
 
+def test_tiles_reach_the_dense_solution(spark):
+    """Several overlapping tiles, a level of boxes below, months in two batches, a partly empty month, a lone cell."""
+    n = 24
+    cells, edges = lattice(spark, n)
+    far = spark.createDataFrame([(n * n, 0, 0, 40_000.0, 0.0)], cells.schema)
+    rng = np.random.default_rng(4)
+    parts = {}
+    for m in range(0, 36, 2):
+        where = rng.choice(n * n * 3 // 4 if m == 6 else n * n, 120, replace=False)
+        parts[m] = [(int(g), float(rng.normal()), float(rng.uniform(0.2, 4))) for g in where]
+    rows = [(g, m, v, q) for m, part in parts.items() for g, v, q in part]
+    df = spark.createDataFrame(rows, "grid_id LONG, month_idx INT, value DOUBLE, quality DOUBLE")
+    report = []
+    got = solver.interpolate_fields(cells.unionByName(far), edges, df, lam=0.7, rtol=1e-6, tile_cells=300, report=report).toPandas()
+    assert [r["cells"] for r in report][-1] == n * n + 1 and len(report) == 2 and report[-1]["rounds"] < 40
+    assert len(got) == (n * n + 1) * len(parts)
+    for m, part in parts.items():
+        have = got[(got.month_idx == m) & (got.grid_id < n * n)].sort_values("grid_id").value.to_numpy()
+        assert np.allclose(have, dense_solution(edges, n * n, part, 0.7, 1.0), atol=1e-4), m
+
+
 def test_solver_limits(spark):
     cells, edges = lattice(spark)
     df = spark.createDataFrame([(0, 0, 1.0, 1.0), (35, 0, 3.0, 1.0)], "grid_id LONG, month_idx INT, value DOUBLE, quality DOUBLE")
     with pytest.raises(solver.NotConverged):
-        solver.interpolate_fields(cells, edges, df, rtol=1e-12, max_iter=2)
+        solver.interpolate_fields(cells, edges, df, rtol=1e-12, max_rounds=1, tile_cells=4, levels=False)
     with pytest.raises(ValueError):
         solver.interpolate_fields(cells, edges, df.where("value > 9"))
 
