@@ -67,15 +67,12 @@ def required_steps(steps: DataFrame) -> DataFrame:
     return steps.select("start_idx", "h").distinct()
 
 
-def step_radius(members: DataFrame, qhat: DataFrame, steps: DataFrame | None = None) -> DataFrame:
-    """q-hat of the horizon times the population spread of the members.
+def step_radius(spread: DataFrame, qhat: DataFrame) -> DataFrame:
+    """q-hat of the horizon times the population spread of the members' predictions.
 
-    ``steps`` (a plan-sized table) prunes the predictions before the shuffle.
+    ``spread`` has a row per (grid_id, start_idx, h), ``qhat`` one per horizon.
     """
-    if steps is not None:
-        members = members.join(F.broadcast(steps), ["start_idx", "h"], "left_semi")
-    spread = members.groupBy("grid_id", "start_idx", "h").agg(F.stddev_pop("y_pred").alias("_sd"))
-    return spread.join(F.broadcast(qhat.select("h", "qhat")), "h").select("grid_id", "start_idx", "h", (F.col("qhat") * F.col("_sd")).alias("radius"))
+    return spread.join(F.broadcast(qhat.select("h", "qhat")), "h").select("grid_id", "start_idx", "h", (F.col("qhat") * F.col("spread")).alias("radius"))
 
 
 def discounted_rss(cells: DataFrame, steps: DataFrame, radii: DataFrame, gamma: float = 0.55) -> DataFrame:

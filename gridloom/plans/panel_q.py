@@ -1269,60 +1269,6 @@ def l06(t: Tables) -> DataFrame:
 
 # --- K: uncertainty -------------------------------------------------------------------
 
-QH = ("qh", qhat_sql(NORM_SCORE, (0.75,)))
-RADII = ("radii", "SELECT grid_id, start_idx, p.h, any_value(qhat) * stddev_pop(y_pred) AS radius FROM predictions p JOIN qh ON qh.h = p.h GROUP BY ALL")
-
-
-def qhat75(t: Tables) -> DataFrame:
-    return normalised(t, (0.75,))
-
-
-@query(
-    "k01_step_radius",
-    "grid_id:i start_idx:i h:i radius:f",
-    with_blocks("ensemble calendar", "SELECT * FROM radii WHERE (start_idx, h) IN (SELECT (start_idx, h) FROM steps)", QH, RADII, LEAF, STEPS),
-)
-def k01(t: Tables) -> DataFrame:
-    steps = uncertainty.required_steps(uncertainty.plan_steps(uncertainty.leaf_segments(an.anchor_months(t.calendar)), uncertainty.greedy_paths(12)))
-    return uncertainty.step_radius(t.predictions, qhat75(t), steps)
-
-
-RSS = (
-    "rss",
-    """SELECT c.grid_id, target_idx AS month_idx, CASE WHEN count(radius) = max(n_steps) THEN sqrt(sum(pow(pow(0.55::DOUBLE, n_steps - pos) * radius, 2))) END AS radius,
-    count(radius) AS steps_found, max(n_steps) AS n_steps FROM cells c CROSS JOIN steps s LEFT JOIN radii r ON r.grid_id = c.grid_id AND r.start_idx = s.start_idx AND r.h = s.h GROUP BY ALL""",
-)
-
-
-def month_radius(t: Tables) -> DataFrame:
-    steps = uncertainty.plan_steps(uncertainty.leaf_segments(an.anchor_months(t.calendar)), uncertainty.greedy_paths(12))
-    return uncertainty.discounted_rss(t.cells, steps, uncertainty.step_radius(t.predictions, qhat75(t)))
-
-
-@query(
-    "k02_discounted_rss",
-    "grid_id:i month_idx:i radius:f steps_found:i n_steps:i",
-    with_blocks("ensemble calendar cells", "SELECT * FROM rss", QH, RADII, LEAF, STEPS, RSS),
-)
-def k02(t: Tables) -> DataFrame:
-    return month_radius(t)
-
-
-@query(
-    "k03_observed_month_radius",
-    "grid_id:i month_idx:i radius:f",
-    with_blocks(
-        "ensemble calendar cells obs",
-        """SELECT c.grid_id, m.month_idx, CASE WHEN o.grid_id IS NOT NULL THEN CASE WHEN m.month_idx < 1 THEN 0 ELSE s.radius END WHEN r.grid_id IS NOT NULL THEN r.radius ELSE 0 END AS radius
-        FROM cells c CROSS JOIN calendar m LEFT JOIN rss r ON r.grid_id = c.grid_id AND r.month_idx = m.month_idx LEFT JOIN obs o ON o.grid_id = c.grid_id AND o.month_idx = m.month_idx
-        LEFT JOIN radii s ON s.grid_id = c.grid_id AND s.h = 1 AND s.start_idx + 1 = m.month_idx""",
-        QH, RADII, LEAF, STEPS, RSS,
-    ),
-)
-def k03(t: Tables) -> DataFrame:
-    return uncertainty.observed_month_radius(t.cells, N_MONTHS, month_radius(t), t.obs, uncertainty.step_radius(t.predictions, qhat75(t)), 1)
-
-
 @query(
     "k04_extend_calibration",
     "h:i level:f qhat:f n_calibration:i",

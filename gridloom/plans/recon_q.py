@@ -370,15 +370,20 @@ def split_ctes(anchors: str) -> rs.Ctes:
     with_blocks(BLOCKS, "SELECT * FROM pieces", *renamed(FIRST), *split_ctes("astate")),
 )
 def j05(t: Tables) -> DataFrame:
+    return split_panel(t)[0]
+
+
+def split_panel(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Months of all segments after the adaptive split, and the segments (one row each, leaves and split ones)."""
     states, obs, e = field_states(t), observed(t), edges(t)
 
     def split_states(months):
         return solver.interpolate_fields(t.cells, e, obs.where(F.col("month_idx").isin(list(months))), **CFG.solver)
 
-    months, _ = reconstruct.run_segments(
+    months, rows = reconstruct.run_segments(
         reconstruct.root_segments(states, anchor_list(t)), predictor(t), obs, month_counts(t), states, split_states, CFG
     )
-    return months
+    return months, reconstruct.segment_table(t.spark, rows)
 
 
 RECON = (
