@@ -14,12 +14,19 @@ from gridloom.operators.ranks import group_quantiles
 from gridloom.operators.windows import regional_fill
 
 
+def _levelled(panel: DataFrame, baseline: DataFrame) -> DataFrame:
+    """The panel with its cells' long-term level; a cell without one is an error."""
+    level = F.when(F.col("_known"), F.col("base_wtd")).otherwise(F.raise_error(F.lit("a cell has no long-term level")).cast("double"))
+    known = baseline.select("grid_id", "base_wtd", F.lit(True).alias("_known"))
+    return panel.join(known, "grid_id", "left").withColumn("base_wtd", level).drop("_known")
+
+
 def to_anomaly(panel: DataFrame, baseline: DataFrame, value: str, out: str) -> DataFrame:
-    return panel.join(baseline.select("grid_id", "base_wtd"), "grid_id").withColumn(out, F.col(value) - F.col("base_wtd"))
+    return _levelled(panel, baseline).withColumn(out, F.col(value) - F.col("base_wtd"))
 
 
 def from_anomaly(panel: DataFrame, baseline: DataFrame, value: str, out: str) -> DataFrame:
-    return panel.join(baseline.select("grid_id", "base_wtd"), "grid_id").withColumn(out, F.col(value) + F.col("base_wtd"))
+    return _levelled(panel, baseline).withColumn(out, F.col(value) + F.col("base_wtd"))
 
 
 def anchor_months(calendar: DataFrame, expected: int | None = None, every: int | None = None) -> DataFrame:

@@ -16,6 +16,8 @@ from gridloom.plans.predict_q import BLOCKS, FITTED, GRAPH, edges, predictor
 from gridloom.plans.registry import query
 from gridloom.plans.sqlbase import with_blocks
 from gridloom.plans.tables import N_MONTHS, Tables
+from gridloom.session import scratch_path
+from gridloom.sources import sinks
 
 ROUNDS = 4
 #: queries converge far below the default, so that another engine's solution rounds alike
@@ -373,7 +375,7 @@ def j05(t: Tables) -> DataFrame:
     return split_panel(t)[0]
 
 
-def split_panel(t: Tables) -> tuple[DataFrame, DataFrame]:
+def split_panel(t: Tables, anchors: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Months of all segments after the adaptive split, and the segments (one row each, leaves and split ones)."""
     states, obs, e = field_states(t), observed(t), edges(t)
 
@@ -381,7 +383,7 @@ def split_panel(t: Tables) -> tuple[DataFrame, DataFrame]:
         return solver.interpolate_fields(t.cells, e, obs.where(F.col("month_idx").isin(list(months))), **CFG.solver)
 
     months, rows = reconstruct.run_segments(
-        reconstruct.root_segments(states, anchor_list(t)), predictor(t), obs, month_counts(t), states, split_states, CFG
+        reconstruct.root_segments(states, anchors or anchor_list(t)), predictor(t), obs, month_counts(t), states, split_states, CFG
     )
     return months, reconstruct.segment_table(t.spark, rows)
 
@@ -429,3 +431,68 @@ def j07(t: Tables) -> DataFrame:
     }
     parts = [df.select(F.lit(k).alias("kind"), "month_idx", "month_label") for k, df in tables.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# --- J6 with a tail, in absolute values, published with its true segment summary (A10, B20) ---------
+
+JANUARIES = [12 * i for i in range(7)]
+LEAF_TAIL = ("leaf", "SELECT * FROM (VALUES (0, 12), (12, 24), (24, 36), (36, 48), (48, 60), (60, 72)) l(left_idx, right_idx)")
+PUBLISHED = (
+    *FIELD_CTES, OBSN, LEAF_TAIL, *FITTED, COUNTS, FIELD_STATES, SEG0, *renamed(segment_ctes("a", "seg0", "astate")), *split_ctes("astate"),
+    ("segt", "SELECT -1 AS segment_id, grid_id, 72 AS left_idx, 83 AS right_idx, value AS state FROM astate WHERE month_idx = 72"),
+    *rs.propagate("tp", "segt", "drv", "obsn", EXACT, ALPHA, SCALE, 11),
+    *rs.state_rows("tl", "tp", 11),
+    ("rec0", "SELECT grid_id, month_idx, arg_min(value, segment_id) AS value FROM pieces GROUP BY ALL UNION ALL SELECT grid_id, 72 + k, state FROM tl WHERE k > 0"),
+    *rs.local_anchors("la", "rec0", "obsn", **LOCAL),
+)
+
+
+def published_reconstruction(t: Tables) -> dict[str, DataFrame]:
+    """Segments between Januaries, the months after the last one, local anchoring, absolute values; read back."""
+    states, obs = field_states(t), observed(t)
+    months, segments = split_panel(t, JANUARIES)
+    panel = reconstruct.merge_segments(months).unionByName(
+        reconstruct.extrapolate_tail(states, JANUARIES[-1], N_MONTHS - 1, predictor(t), obs, CFG)
+    )
+    panel = an.from_anomaly(an.apply_local_anchors(panel, obs, **LOCAL).drop("mode"), t.baseline, "value", "wtd")
+    panel = panel.join(F.broadcast(t.calendar.select("month_idx", "year")), "month_idx").select("grid_id", "month_idx", "year", "wtd")
+    anchors = t.calendar.where(F.col("month_idx").isin(JANUARIES))
+    path = scratch_path(t.spark, "release")
+    sinks.publish(
+        path,
+        {"panel": panel, "cell_lookup": t.cells, "month_index": sinks.month_index(t.calendar, anchors, t.obs), "segment_summary": segments},
+        lambda stored: sinks.require_dense(stored["panel"], stored["cell_lookup"], stored["month_index"]),
+    )
+    return sinks.published(t.spark, path)
+
+
+@query(
+    "j06_published_panel",
+    "grid_id:i month_idx:i month_label:s interval_id:i wtd:f4",
+    with_blocks(
+        BLOCKS,
+        """SELECT grid_id, month_idx, month_label, CASE WHEN month_idx > 72 THEN -1 ELSE greatest((month_idx + 11) // 12 - 1, 0) END AS interval_id, value + base_wtd AS wtd
+        FROM la JOIN baseline USING (grid_id) JOIN calendar USING (month_idx)""",
+        *PUBLISHED,
+    ),
+)
+def j06_published(t: Tables) -> DataFrame:
+    out = published_reconstruction(t)
+    return out["panel"].join(F.broadcast(out["month_index"]), "month_idx")
+
+
+SUMMARY = "segment_id, level, left_idx, right_idx, n, rmse, p95_abs_diff, alpha_mean, was_split"
+
+
+@query(
+    "a10_segment_summary",
+    "segment_id:i level:i left_idx:i right_idx:i n:i rmse:f4 p95_abs_diff:f4 alpha_mean:f4 was_split:b",
+    with_blocks(
+        BLOCKS,
+        f"""SELECT {SUMMARY} FROM (SELECT *, 0 AS level, segment_id IN (SELECT segment_id FROM cuts) AS was_split FROM asm) UNION ALL
+        SELECT {SUMMARY} FROM (SELECT *, 1 AS level, FALSE AS was_split FROM bs) UNION ALL SELECT {SUMMARY} FROM (SELECT *, 1 AS level, FALSE AS was_split FROM cs)""",
+        *PUBLISHED,
+    ),
+)
+def a10_summary(t: Tables) -> DataFrame:
+    return published_reconstruction(t)["segment_summary"]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def write_partitioned_samples(samples: DataFrame, path: str, tests: Sequence[str] = ("test_temporal", "test_spatial")) -> dict[str, DataFrame]:
@@ -54,6 +57,47 @@ def save_panel_outputs(
     return out
 
 
+def publish(path: str, tables: Mapping[str, DataFrame], check: Callable[[Mapping[str, DataFrame]], None], panel: str = "panel") -> None:
+    """Write tables together or not at all.
+
+    All of them go to a fresh folder below ``path`` and are read from there by
+    ``check``, which raises if they must not be released.  Only then a list of
+    the tables is written, and :func:`published` knows no other tables than
+    those on the list: a run that fails leaves what was there before.
+    """
+    spark = tables[panel].sparkSession
+    folder = f"{path}/run-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        if name == panel:
+            write_panel(df, f"{folder}/{name}")
+        else:
+            df.write.parquet(f"{folder}/{name}")
+    stored = {name: spark.read.schema(df.schema).parquet(f"{folder}/{name}") for name, df in tables.items()}
+    check(stored)
+    entries = [(name, f"{folder}/{name}", df.schema.json(), stored[name].count()) for name, df in tables.items()]
+    listed = spark.createDataFrame(entries, "name string, folder string, columns string, n_rows long")
+    listed.coalesce(1).write.mode("append").parquet(f"{path}/published")
+
+
+def published(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the last complete :func:`publish`, each with the number of rows it was released with."""
+    listed = spark.read.parquet(f"{path}/published").select("*", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file"))
+    last = listed.agg(F.max(F.struct("at", "file")).alias("m")).first()["m"]
+    rows = listed.where((F.col("at") == F.lit(last["at"])) & (F.col("file") == F.lit(last["file"]))).collect()  # one per table
+    return {r["name"]: spark.read.schema(StructType.fromJson(json.loads(r["columns"]))).parquet(r["folder"]) for r in rows}
+
+
+def require_dense(panel: DataFrame, cells: DataFrame, months: DataFrame) -> None:
+    """Raise unless the panel has one finite value for every cell and month."""
+    if "radius" not in panel.columns:
+        panel = panel.withColumn("radius", F.lit(0.0))
+    found = release_violations(panel, cells.count(), months.count()).first().asDict()
+    found.pop("n_rows"), found.pop("n_cells")
+    wrong = {k: v for k, v in found.items() if v}
+    if wrong:
+        raise ValueError(f"the panel cannot be released: {wrong}")
+
+
 def write_panel(panel: DataFrame, path: str, cell_block: int = 4096) -> None:
     """Year partitions, files ordered by blocks of 12 months x ``cell_block`` cells."""
     block = F.floor(F.col("grid_id") / cell_block)
@@ -89,16 +133,21 @@ def release_violations(panel: DataFrame, n_cells: Column | int, n_months: Column
 
 
 def release_product(panel: DataFrame, cells: DataFrame, months: DataFrame, required: Sequence[str] = ("grid_id", "month_idx", "wtd", "radius")) -> DataFrame:
-    """Self-describing table: value, radius, month label, cell position."""
+    """Self-describing table: value, radius, month label, cell position.
+
+    A row whose month or cell is not known is an error, as is an invalid value.
+    """
     missing = [c for c in required if c not in panel.columns]
     if missing:
         raise KeyError(f"panel lacks {missing}")
     bad = reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(c) for c in ("wtd", "radius")]) | (F.col("radius") < 0)
     guarded = F.when(bad, F.raise_error(F.lit("invalid value in release")).cast("double")).otherwise(F.col("wtd"))
+    stray = lambda flag, what: F.when(F.col(flag).isNull(), F.raise_error(F.lit(f"{what} of the panel is not known")).cast("double"))
     return (
         panel.withColumn("wtd", guarded)
-        .join(F.broadcast(months.select("month_idx", "month_label", "year")), "month_idx")
-        .join(cells, "grid_id")
+        .join(F.broadcast(months.select("month_idx", "month_label", "year", F.lit(True).alias("_month"))), "month_idx", "left")
+        .join(cells.withColumn("_cell", F.lit(True)), "grid_id", "left")
+        .withColumn("wtd", F.coalesce(stray("_month", "a month"), stray("_cell", "a cell"), "wtd"))
         .select(
             "grid_id", "month_idx", "month_label", "year", "x", "y", "lon", "lat", "wtd", "radius",
             (F.col("wtd") - F.col("radius")).alias("lower"), (F.col("wtd") + F.col("radius")).alias("upper"),

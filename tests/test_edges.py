@@ -240,12 +240,12 @@ def test_pumping_years_beyond_sixty_four(spark):
 
 
 def test_predictor_uses_rows_with_missing_features(spark):
-    from gridloom.operators import models
+    from gridloom.operators import regression
 
-    rows = [(i, float(i), None if i % 2 else 1.0 + i, 2.0 * i, "train") for i in range(20)]
-    df = spark.createDataFrame(rows, "k LONG, a DOUBLE, b DOUBLE, y DOUBLE, split STRING")
-    out = models.predict_ensemble(df, models.fit_ensemble(df, ["a", "b"], "y", "k", [1, 2]))
-    assert out.count() == 40 and out.columns == ["k", "a", "b", "y", "split", "y_pred", "seed"]
+    rows = [(i, 1, float(i), None if i % 2 else 1.0 + i, 2.0 * i) for i in range(20)]
+    df = spark.createDataFrame(rows, "k LONG, h INT, a DOUBLE, b DOUBLE, y DOUBLE")
+    out = regression.predict_members(df, regression.fit_members(df, ["a", "b"], "y", "k", [1, 2]), ["a", "b"])
+    assert out.count() == 40 and out.where("y_pred IS NULL").count() == 0
 
 
 def test_calibration_fits_only_missing_levels(spark):

@@ -32,6 +32,6 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["a12_content_manifest", "i08_horizon_predictor", "f04_top_importances"])
+@pytest.mark.parametrize("name", ["l04_forest_probabilities", "f04_top_importances"])
 def test_rows_only(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
