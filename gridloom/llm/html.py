@@ -4,7 +4,8 @@ Every element gets a density: its characters per tag, lowered by the share of
 characters and tags that belong to links.  The body's own ratio scales the
 logarithm's base, so link-rich pages are judged against themselves.  The sums of
 the children's densities are taken, and the element with the largest sum is the
-content's kernel.  The smallest density on its path to the body is the
+content's kernel.  Elements whose name or form makes them page furniture are
+left out first, unless they turn out to wrap the article.  The smallest density on its path to the body is the
 threshold that a subtree or stretch of text beside the path must reach to count
 as content too; in the article the kernel stands in, parts that are not mostly
 links need not reach it.  Blocks of links are left out everywhere.
@@ -12,7 +13,7 @@ links need not reach it.  Blocks of links are left out everywhere.
 Defined results: a null or empty page, or one without text outside excluded
 elements, gives an empty text; malformed markup is closed the way browsers do
 for paragraphs, list items and table cells; unknown or unclosed tags end with
-their parent; repeated rows give repeated results; null ids and urls are kept;
+their parent; the time is linear in a page's length; repeated rows give repeated results; null ids and urls are kept;
 further columns are ignored; an empty table gives an empty table.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,13 +45,20 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title noscript iframe xmp noframes template".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: never part of an article
-EXCLUDED = set("head nav header footer aside form script style noscript iframe button select option input textarea dialog menu template svg canvas object embed title fieldset".split())
+EXCLUDED = set("head nav header footer aside script style noscript iframe button select option input textarea dialog menu template svg canvas object embed title".split())
+#: not part of an article unless it is wrapped in them
+FORMS = {"form", "fieldset"}
 #: words in class, id or role that mark page furniture, notices, adverts and comments
 FURNITURE = set(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted cookie cookies consent gdpr notice notification alert popup modal newsletter subscribe signup login "
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer header masthead share sharing social related recommended comment comments disqus replies reply respond "
     "pagination pager toolbar complementary contentinfo search".split()
 )
+#: words that only say where or what kind of box something is
+LAYOUT = set(
+    "area bar block bottom box button center close col column component container content entry form group head heading inner item items label left link links list main module outer overlay panel posts "
+    "primary region right row section secondary slot small stories story text thread title top unit wrap wrapper zone articles big body id js large lg md sm xs".split()
+)
 #: an open tag of the key ends open elements of the value, up to the nearest container
 BLOCKS = set("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section summary table ul".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {b: {"p"} for b in BLOCKS}
@@ -60,10 +69,10 @@ CONTAINERS = set("body html article section main div table td th blockquote ul o
 class Node:
     """An element: its parts are texts and child elements in page order."""
 
-    __slots__ = ("tag", "parts", "parent", "barred", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parts", "parent", "barred", "doubtful", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, barred: bool):
-        self.tag, self.parent, self.barred = tag, parent, barred
+    def __init__(self, tag: str, parent: Node | None, barred: bool, doubtful: bool = False):
+        self.tag, self.parent, self.barred, self.doubtful = tag, parent, barred, doubtful
         self.parts: list = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -72,30 +81,68 @@ class Node:
         return (x for x in self.parts if isinstance(x, Node))
 
 
-def is_furniture(tag: str, attributes: str) -> bool:
-    if tag in EXCLUDED:
-        return True
+def is_hidden(attributes: str) -> bool:
+    return bool(re.search(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", attributes, re.I))
+
+
+def named_furniture(tag: str, attributes: str) -> bool:
+    """Whether class, id or role call the element page furniture.
+
+    The last word of a name decides ("post-comments"), or the first one if
+    all others are about layout ("sidebar-left", but not "related-work").
+    """
     if not attributes or tag in ("body", "html", "article", "main"):
         return False
     for m in NAMES.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").lower().split():
             words = WORD.findall(name)
-            # "sidebar-left" and "post-comments" are furniture, "with-sidebar" is not
-            if words and not FURNITURE.isdisjoint((words[0], words[-1])) and NEGATED.isdisjoint(words):
+            if not words or not NEGATED.isdisjoint(words):  # "with-sidebar" is not furniture
+                continue
+            if words[-1] in FURNITURE or (words[0] in FURNITURE and all(w in FURNITURE or w in LAYOUT for w in words[1:])):
                 return True
-    return bool(re.search(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", attributes, re.I))
+    return False
+
+
+def bar_furniture(nodes: list[Node]) -> None:
+    """Decide about elements that only their name or a form makes furniture.
+
+    One that holds more than half of the page's text outside links, and a main
+    heading or nine tenths of that text, is a wrapper of the article and stays.
+    """
+    free: dict[int, int] = {}
+    headed: set[int] = set()
+    for node in reversed(nodes):
+        own = sum(len(SPACE.sub("", x)) for x in node.parts if isinstance(x, str)) + sum(free[id(c)] for c in node.children())
+        free[id(node)] = 0 if node.barred or node.tag == "a" else own
+        if not node.barred and (node.tag in ("h1", "main") or any(id(c) in headed for c in node.children())):
+            headed.add(id(node))
+    total = free[id(nodes[0])]
+    for node in nodes:
+        mine = free[id(node)]
+        wrapper = 2 * mine > total and (id(node) in headed or 10 * mine >= 9 * total)
+        node.barred = node.barred or (node.parent is not None and node.parent.barred) or (node.doubtful and not wrapper)
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The tree, and its elements in page order (parents before children)."""
     root = Node("html", None, False)
     nodes, here, at = [root], root, 0
+    open_tags: Counter[str] = Counter()  # names of the elements between here and the root
+
+    def close(upto: Node) -> Node:
+        node = here
+        while node is not upto:
+            open_tags[node.tag] -= 1
+            node = node.parent
+        return upto
+
     while True:
         m = TOKEN.search(page, at)
         stop = m.start() if m else len(page)
         if stop > at:
             here.parts.append(page[at:stop])
         if m is None:
+            bar_furniture(nodes)
             return root, nodes
         at = m.end()
         tag = (m[2] or "").lower()
@@ -104,23 +151,23 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                 here.parts.append(entities.escape(m[0][9:].removesuffix("]]>")))
             continue
         if m[1]:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            if open_tags[tag] > 0:
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                here = close(node.parent)
             continue
         if tag in ("html", "body") and (tag == "html" or any(n.tag == "body" for n in nodes[:64])):
             continue
-        if tag in ENDS:
+        if tag in ENDS and any(open_tags[t] > 0 for t in ENDS[tag]):
             node, stops = here, SCOPE.get(tag, CONTAINERS)
             while node is not root and node.tag not in ENDS[tag] and node.tag not in stops:
                 node = node.parent
             if node is not root and node.tag in ENDS[tag]:
-                here = node.parent
+                here = close(node.parent)
         if tag == "body":
-            here = root  # an unclosed head ends here
-        node = Node(tag, here, here.barred or is_furniture(tag, m[3]))
+            here = close(root)  # an unclosed head ends here
+        node = Node(tag, here, here.barred or tag in EXCLUDED or is_hidden(m[3]), tag in FORMS or named_furniture(tag, m[3]))
         here.parts.append(node)
         nodes.append(node)
         if tag in RAW:
@@ -128,6 +175,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             at = end.end() if end else len(page)  # the content is dropped: none of these holds article text
         elif tag not in VOID and not m[0].endswith("/>"):
             here = node
+            open_tags[tag] += 1
 
 
 def densities(nodes: list[Node]) -> float:

@@ -311,6 +311,32 @@ def test_main_text_beside_an_article():
     assert html.main_text(bare) == f"{e} x y\n{a}\n{b}\n{c} {d}"
 
 
+@pytest.mark.parametrize("wrap", [
+    '<div class="ad-free-content">%s</div>',
+    '<div class="search-engine-history">%s</div>',
+    '<form id="aspnetForm"><input value="x">%s<button>Go</button></form>',
+    '<div class="sidebar"><div id="notice">%s</div></div>',
+])
+def test_furniture_names_around_an_article(wrap):
+    story = "Some words of a long story about rivers. " * 20
+    inner = f'<article><h1>Title</h1><p>{story}</p><section id="related-work"><p>Earlier rivers were studied.</p></section></article>'
+    page = f'<html><body><nav><a href="1">Home</a></nav>{wrap % inner}<div class="comments"><p>nice post, thanks</p></div><footer>foot</footer></body></html>'
+    assert html.main_text(page) == f"Title\n{story.strip()}\nEarlier rivers were studied."
+    assert html.main_text(page.replace("article>", "div>")) == f"Title\n{story.strip()}\nEarlier rivers were studied."
+
+
+def test_html_time_is_linear():
+    import time
+
+    def seconds(n):
+        t0 = time.perf_counter()
+        html.main_text("<p>words " + "</zz>" * n + "<div>" + "<b>" * n + "<p>y" * 20)
+        return time.perf_counter() - t0
+
+    seconds(2000)
+    assert seconds(40_000) < 25 * max(seconds(4000), 0.02)
+
+
 def test_html_operator(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "y"), (None, None, None, None), (2, "v", "", None)], "page_id long, url string, html string, text string")
     got = sorted((r["page_id"] or 0, r["url"] or "", len(r["text"])) for r in html.extract(pages).collect())
