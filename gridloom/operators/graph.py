@@ -8,6 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators import spatial
+from gridloom.session import cut_lineage
+
 # The four straight and the four diagonal offsets of a grid.
 STRAIGHT = ((-1, 0), (1, 0), (0, -1), (0, 1))
 DIAGONAL = ((-1, -1), (-1, 1), (1, -1), (1, 1))
@@ -32,70 +35,28 @@ def grid_adjacency(cells: DataFrame, connectivity: int = 8, spacing: float = 100
     return probe.join(target, ["grid_row", "grid_col"]).select("src", "dst", "dist")
 
 
-def knn_edges(points: DataFrame, k: int, finer_levels: int = 3) -> DataFrame:
+def knn_edges(points: DataFrame, k: int, leaf_places: int = 64) -> DataFrame:
     """Exact k nearest neighbours in the plane, ties by smaller id.
 
-    A ladder of square buckets (edge halves per level) is counted first.  Each
-    location takes the finest level whose 3x3 buckets already hold k+1 points:
-    those points lie within 2*sqrt(2) edges, so a 3x3 search two levels up is
-    certain to contain the true neighbours.  Dense clusters therefore search
-    small buckets and sparse ones large buckets; no bucket is compared with
-    itself wholesale.  Points sharing a position are folded into one location
-    that keeps its k+1 smallest ids, so heaps of copies cost one location.
+    Points sharing a position are folded into one place that keeps its k+1
+    smallest ids, so heaps of copies cost one place.  Places are searched
+    through a tree of boxes of at most ``leaf_places`` (see ``spatial.py``).
+    Points without a position (null or NaN) have no neighbours and are none.
     """
-    ext = points.agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
-    ).first()
-    if not ext["n"]:
-        return points.select(F.col("grid_id").alias("src"), F.col("grid_id").alias("dst"), F.lit(0.0).alias("dist"), F.lit(0).alias("rank"))
-    extent = max(ext["x1"] - ext["x0"], ext["y1"] - ext["y0"], 1e-9) * 1.0001
-    top = max(1, math.ceil(math.log(max(ext["n"], 2), 4))) + finer_levels
-
-    per_place = Window.partitionBy("x", "y").orderBy("grid_id")
-    kept = points.select("grid_id", "x", "y").withColumn("_r", F.row_number().over(per_place)).where(F.col("_r") <= k + 1).drop("_r")
-    places = points.select("x", "y").distinct()
-
-    def at_level(df: DataFrame, level) -> DataFrame:
-        scale = F.pow(F.lit(2.0), F.col("level")) / F.lit(extent)
-        return df.withColumn("level", level).withColumns(
-            {"bx": F.floor((F.col("x") - F.lit(ext["x0"])) * scale), "by": F.floor((F.col("y") - F.lit(ext["y0"])) * scale)}
-        )
-
-    levels = F.explode(F.sequence(F.lit(0), F.lit(top)))
-    near = _offsets([(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-
-    def spread(df: DataFrame) -> DataFrame:
-        rest = [c for c in df.columns if c not in ("bx", "by")]
-        return df.select(*rest, "bx", "by", F.inline(near)).select(
-            *rest, (F.col("bx") + F.col("da")).alias("bx"), (F.col("by") + F.col("db")).alias("by")
-        )
-
-    buckets = at_level(kept, levels).groupBy("level", "bx", "by").agg(F.count(F.lit(1)).alias("m"))
-    around = spread(buckets).groupBy("level", "bx", "by").agg(F.sum("m").alias("m"))
-    enough = (
-        at_level(places, levels)
-        .join(around.where((F.col("m") >= k + 1) | (F.col("level") == 0)), ["level", "bx", "by"], "left_semi")
-        .groupBy("x", "y")
-        .agg(F.max("level").alias("found"))
+    located = points.select("grid_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(
+        F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
     )
-    search = spread(at_level(enough, F.greatest(F.col("found") - 2, F.lit(0)))).withColumnsRenamed({"x": "qx", "y": "qy"})
-    candidates = at_level(kept, levels)
-    d2 = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
-    reach = F.lit(2.0 * math.sqrt(2.0) * extent) / F.pow(F.lit(2.0), F.col("found")) * F.lit(1.0000001)
-    best = Window.partitionBy("qx", "qy").orderBy("d2", "grid_id")
-    lists = (
-        search.join(candidates, ["level", "bx", "by"])
-        .withColumn("d2", d2)
-        .where((F.col("found") < 2) | (F.col("d2") <= reach * reach))
-        .select("qx", "qy", "d2", "grid_id")
-        .withColumn("_r", F.row_number().over(best))
+    per_place = Window.partitionBy("x", "y").orderBy("grid_id")
+    places = (
+        located.withColumn("_r", F.row_number().over(per_place))
         .where(F.col("_r") <= k + 1)
-        .groupBy("qx", "qy")
-        .agg(F.sort_array(F.collect_list(F.struct("d2", F.col("grid_id").alias("dst")))).alias("_near"))
+        .groupBy("x", "y")
+        .agg(F.sort_array(F.collect_list("grid_id")).alias("ids"))
     )
-    mine = F.slice(F.filter("_near", lambda s: s["dst"] != F.col("grid_id")), 1, k)
+    lists = spatial.nearest_lists(cut_lineage(places), k + 1, leaf_places)
+    mine = F.slice(F.filter("near", lambda s: s["dst"] != F.col("grid_id")), 1, k)
     return (
-        points.select("grid_id", F.col("x").alias("qx"), F.col("y").alias("qy"))
+        located.withColumnsRenamed({"x": "qx", "y": "qy"})
         .join(lists, ["qx", "qy"])
         .select(F.col("grid_id").alias("src"), F.posexplode(mine).alias("rank", "_s"))
         .select("src", F.col("_s.dst").alias("dst"), F.sqrt("_s.d2").alias("dist"), F.col("rank"))

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from gridloom.operators import graph, solver
+from gridloom.operators import graph, solver, spatial
 
 
 def brute_knn(pts: pd.DataFrame, k: int) -> set:
@@ -24,17 +24,37 @@ def shapes():
     # a third of all points on one spot, a dense cluster, and far single points
     heap = [(500.0, 500.0)] * 60 + [tuple(p) for p in rng.normal(0, 1, (60, 2))] + [tuple(p) for p in rng.uniform(-9e4, 9e4, (60, 2))]
     line = [(float(2**i), 0.0) for i in range(20)]
-    return {"grid": grid, "heap": heap, "line": line, "few": [(0.0, 0.0), (1.0, 0.0), (5.0, 5.0)]}
-
-
-@pytest.mark.parametrize("shape", ["grid", "heap", "line", "few"])
-def test_knn(spark, shape):
-    pts = pd.DataFrame(shapes()[shape], columns=["x", "y"])
+    # a lone point beside a dense grid, many points on one line, a ring whose centre has ties all around
+    lone = [(float(i % 20), float(i // 20)) for i in range(400)] + [(1e6, 3.0)]
+    wall = [(7.0, float(i)) for i in range(150)] + [(float(-(3**i)), 1.0) for i in range(12)]
+    ring = [(0.0, 0.0)] + [(5.0 * s, 12.0 * t) for s in (-1, 1) for t in (-1, 1)] + [(13.0 * s, 0.0) for s in (-1, 1)] + [(100.0 + i, 0.0) for i in range(90)]
+    few = [(0.0, 0.0), (1.0, 0.0), (5.0, 5.0)]
+    return {"grid": grid, "heap": heap, "line": line, "lone": lone, "wall": wall, "ring": ring, "few": few, "none": []}
+
+
+@pytest.mark.parametrize("leaf", [8, 64])
+@pytest.mark.parametrize("shape", ["grid", "heap", "line", "lone", "wall", "ring", "few", "none"])
+def test_knn(spark, shape, leaf):
+    pts = pd.DataFrame(shapes()[shape], columns=["x", "y"], dtype=float)
     pts["grid_id"] = np.arange(len(pts))
-    got = graph.knn_edges(spark.createDataFrame(pts), 4).toPandas()
+    rows = [(int(r.grid_id), r.x, r.y) for r in pts.itertuples()] + [(10_000, None, 1.0), (10_001, 2.0, float("nan"))]
+    got = graph.knn_edges(spark.createDataFrame(rows, "grid_id LONG, x DOUBLE, y DOUBLE"), 4, leaf).toPandas()
     assert {(int(r.src), int(r.dst), int(r["rank"])) for _, r in got.iterrows()} == brute_knn(pts, 4)
 
 
+def test_boxes_are_bounded_whatever_the_extent(spark):
+    """Every leaf fits; an outlier a thousand times away adds a box or two and no depth."""
+    grid = [(float(i % 40), float(i // 40)) for i in range(1600)]
+    found = {}
+    for name, pts in (("grid", grid), ("outlier", grid + [(1e6, 1e6)])):
+        places = spark.createDataFrame([(x, y, [i]) for i, (x, y) in enumerate(pts)], "x DOUBLE, y DOUBLE, ids ARRAY<LONG>")
+        tree = spatial.box_tree(places, 32)
+        sizes = [len(r.places) for r in tree.leaves.collect()]
+        assert max(sizes) <= 32 and sum(sizes) == len(pts)
+        found[name] = (len(sizes), tree.depth)
+    assert found["outlier"][1] <= found["grid"][1] + 1 and found["outlier"][0] <= 1.5 * found["grid"][0]
+
+
 def lattice(spark, n=6):
     cells = pd.DataFrame({"grid_id": range(n * n), "grid_row": [i // n for i in range(n * n)], "grid_col": [i % n for i in range(n * n)]})
     cells["x"], cells["y"] = cells.grid_col * 1000.0, cells.grid_row * 1000.0
