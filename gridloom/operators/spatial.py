@@ -153,7 +153,7 @@ def _closest_ids(count: int) -> Column:
         "places",
         lambda p: F.transform(p["ids"], lambda i: F.struct((_square(p["x"] - F.col("qx")) + _square(p["y"] - F.col("qy"))).alias("d2"), i.alias("dst"))),
     )
-    return F.slice(F.array_sort(F.filter(F.flatten(per_place), lambda s: s["d2"] <= F.col("r2"))), 1, count)
+    return F.slice(F.sort_array(F.filter(F.flatten(per_place), lambda s: s["d2"] <= F.col("r2"))), 1, count)
 
 
 def nearest_lists(places: DataFrame, count: int, leaf_places: int = 64) -> DataFrame:
