@@ -129,6 +129,16 @@ def scaler_rows(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
     return df.groupBy(*by).agg(F.array(*stats).alias("_a")).select(*by, F.inline("_a"))
 
 
+def sequence_scaler_rows(df: DataFrame, sequence: str, length: str, fields: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Scalers of the fields of padded sequences over all real steps; padding takes no part.
+
+    Steps are streamed out of the arrays into partial moments, never shuffled.
+    A sequence of length zero or null adds nothing.
+    """
+    real = F.slice(sequence, 1, F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(0)))
+    return scaler_rows(df.select(*by, F.inline(real)), fields, by)
+
+
 def robust_spread(q25: Column, q75: Column, std: Column, n: Column) -> Column:
     return F.when(n <= 1, F.lit(0.0)).when(q75 > q25, (q75 - q25) / F.lit(1.349)).otherwise(std)
 

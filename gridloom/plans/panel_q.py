@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -215,6 +217,46 @@ def d10(t: Tables) -> DataFrame:
     return whole.unionByName(per_h).unionByName(per_layer)
 
 
+TRAIN_AHEAD = (
+    "ahead",
+    """SELECT p.grid_id, p.start_idx, p.h, sum(g.infiltration) AS sum_infiltration, sum(g.pumping) AS sum_pumping, ln(1 + greatest(sum(g.pumping), 0)) AS log1p_sum_pumping
+    FROM pairs p JOIN forcing g ON g.grid_id = p.grid_id AND g.month_idx > p.start_idx AND g.month_idx <= p.start_idx + p.h WHERE p.split = 'train' GROUP BY ALL""",
+)
+
+
+@query(
+    "d10_feature_scalers",
+    "scope:s feature:s mean:f std:f",
+    with_blocks(
+        "pairs forcing cells",
+        """SELECT scope, f AS feature, avg(v) AS mean, stddev_pop(v) + 1e-6 AS std FROM (
+        SELECT 'forcing' AS scope, unnest(['sum_infiltration', 'sum_pumping', 'log1p_sum_pumping']) AS f, unnest([sum_infiltration, sum_pumping, log1p_sum_pumping]) AS v FROM ahead
+        UNION ALL SELECT 'sequence', unnest(['infiltration', 'pumping']), unnest([g.infiltration, g.pumping])
+        FROM pairs p JOIN forcing g ON g.grid_id = p.grid_id AND g.month_idx > p.start_idx AND g.month_idx <= p.start_idx + p.h WHERE p.split = 'train'
+        UNION ALL SELECT 'root', 'wtd_t', wtd_t FROM pairs WHERE split = 'train'
+        UNION ALL SELECT 'topography', unnest(['x', 'y']), unnest([x, y]) FROM cells WHERE grid_id IN (SELECT grid_id FROM pairs WHERE split = 'train')
+        ) GROUP BY scope, f""",
+        TRAIN_AHEAD,
+    ),
+)
+def d10_features(t: Tables) -> DataFrame:
+    from gridloom.functions.scalars import log1p_nonneg
+
+    keys, columns = ["grid_id", "start_idx", "h"], ["infiltration", "pumping"]
+    train = t.pairs.where("split = 'train'")
+    sums = train.select(*keys).join(joins.forward_sums(t.forcing, columns, [1, 3, 6]), keys)
+    sums = sums.withColumn("log1p_sum_pumping", log1p_nonneg(F.col("sum_pumping")))
+    steps = train.select(*keys).join(joins.forward_sequences(t.forcing, columns, [1, 3, 6]), keys)
+    seen = t.cells.join(train.select("grid_id").distinct(), "grid_id", "left_semi")
+    scopes = {
+        "forcing": ag.scaler_rows(sums, ["sum_infiltration", "sum_pumping", "log1p_sum_pumping"]),
+        "sequence": ag.sequence_scaler_rows(steps, "sequence", "sequence_length", columns),
+        "root": ag.scaler_rows(train, ["wtd_t"]),
+        "topography": ag.scaler_rows(seen, ["x", "y"]),
+    }
+    return reduce(DataFrame.unionByName, [df.withColumn("scope", F.lit(name)) for name, df in scopes.items()])
+
+
 @query(
     "d11_weighted_mean",
     "month_idx:i lwe:f",

@@ -93,10 +93,7 @@ def a04(t: Tables) -> DataFrame:
     name = F.when(F.col("month_idx") % 10 == 9, F.concat(F.lit("notes_"), stamp)).otherwise(
         F.concat(F.lit("pump"), (1 + F.col("month_idx") % 2).cast("string"), F.lit("_1km_m3_"), stamp)
     )
-    (
-        t.panel.select("grid_id", F.col("wtd").alias("volume"), name.alias("file"))
-        .repartition("file").write.partitionBy("file").parquet(path)
-    )
+    sinks.write_named_files(t.panel.select("grid_id", F.col("wtd").alias("volume"), name.alias("file")), path, "file", ["grid_id"])
     return scans.scan_named_files(
         t.spark, path, "grid_id LONG, volume DOUBLE", r"pump([12])_1km_m3_(\d{4})_([A-Za-z]{3})"
     )

@@ -20,6 +20,25 @@ def write_partitioned_samples(samples: DataFrame, path: str, tests: Sequence[str
     return splits
 
 
+def write_named_files(df: DataFrame, path: str, file: str, spread_by: Sequence[str], rows_per_file: int = 5_000_000) -> None:
+    """One folder per name in ``file``; a name with many rows is written by many tasks.
+
+    Names are counted first (map-side combined).  Rows of a name are dealt by a
+    hash of ``spread_by`` over as many parts as its count asks for, so neither a
+    task nor a file grows with a hot name.
+    """
+    parts = df.groupBy(file).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).alias("_parts"))
+    named = df.withColumnRenamed(file, "_file").join(parts, F.col("_file").eqNullSafe(parts[file]))
+    (
+        named.withColumn("_part", F.pmod(F.xxhash64(*spread_by), F.col("_parts")))
+        .repartition(file, "_part")
+        .drop("_file", "_parts", "_part")
+        .write.option("maxRecordsPerFile", rows_per_file)
+        .partitionBy(file)
+        .parquet(path)
+    )
+
+
 def month_index(calendar: DataFrame, anchors: DataFrame, obs: DataFrame) -> DataFrame:
     """Month table with anchor flag, interval id and observation count.
 

@@ -266,3 +266,25 @@ def test_points_far_off_the_axis(spark):
     axis = spark.createDataFrame([(float(c), i) for i, c in enumerate((0, 10, 30))], "c DOUBLE, i INT")
     pts = spark.createDataFrame([(v,) for v in (-1e12, 0.0, 5.0, 5.1, 20.0, 20.1, 30.0, 1e12)], "v DOUBLE")
     assert {r["v"]: r["i"] for r in joins.nearest_on_axis(pts, "v", axis, "c", "i").collect()} == {-1e12: 0, 0.0: 0, 5.0: 0, 5.1: 1, 20.0: 1, 20.1: 2, 30.0: 2, 1e12: 2}
+
+
+def test_hot_file_names_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(6000).select(
+        F.col("id").alias("grid_id"), F.when(F.col("id") < 5000, "pump1_1km_m3_1996_Jan").when(F.col("id") < 5999, "pump2_1km_m3_1996_Feb").alias("file")
+    )
+    sinks.write_named_files(rows, str(tmp_path / "named"), "file", ["grid_id"], rows_per_file=500)
+    files = lambda name: [p for p in (tmp_path / "named" / f"file={name}").iterdir() if p.suffix == ".parquet"]
+    assert len(files("pump1_1km_m3_1996_Jan")) > 4 and len(files("__HIVE_DEFAULT_PARTITION__")) == 1
+    stored = spark.read.parquet(str(tmp_path / "named"))
+    assert stored.count() == 6000 and stored.where("file IS NULL").count() == 1
+    biggest = stored.groupBy(F.col("_metadata.file_path")).count().agg(F.max("count")).first()[0]
+    assert biggest <= 500
+
+
+def test_padding_takes_no_part_in_scalers(spark):
+    rows = spark.createDataFrame(
+        [([(1.0, 2.0), (3.0, 4.0), (0.0, 0.0)], 2), ([(5.0, 9.0), (0.0, 0.0), (0.0, 0.0)], 1), ([(7.0, 7.0)], 0), ([(8.0, 8.0)], None), (None, 2)],
+        "sequence ARRAY<STRUCT<a: DOUBLE, b: DOUBLE>>, n INT",
+    )
+    got = {r.feature: (r.mean, r.std) for r in ag.sequence_scaler_rows(rows, "sequence", "n", ["a", "b"]).collect()}
+    assert got["a"] == pytest.approx((3.0, (8 / 3) ** 0.5 + 1e-6)) and got["b"][0] == pytest.approx(5.0)
