@@ -314,6 +314,21 @@ def a13(t: Tables) -> DataFrame:
     return sinks.summary_sidecar(t.pairs.where("split IS NOT NULL"), "split")
 
 
+@query(
+    "a13_sample_sidecar",
+    "split:s n:i omitted:i document:s",
+    with_blocks(
+        "pairs",
+        """SELECT split, n, omitted, '{"split":"' || split || '","n":' || n || ',"omitted":' || omitted || ',"features":["wtd_t","n_days_t","h"]}' AS document
+        FROM (SELECT split, count(*) AS n, (SELECT count(*) FROM pairs WHERE split IS NULL) AS omitted FROM pairs WHERE split IS NOT NULL GROUP BY split)""",
+    ),
+)
+def a13_samples(t: Tables) -> DataFrame:
+    return sinks.write_samples_with_sidecar(
+        t.pairs, scratch_path(t.spark, "samples"), ["train", "validation", "test"], ["wtd_t", "n_days_t", "h"]
+    )
+
+
 # --- B: projections and scalar functions ---------------------------------------
 
 @query(

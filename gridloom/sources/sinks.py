@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -196,3 +196,30 @@ def summary_sidecar(samples: DataFrame, by: str) -> DataFrame:
         F.max("target_idx").alias("last_target"),
     )
     return agg.select(by, "n", F.to_json(F.struct(by, "n", "first_start", "last_target")).alias("document"))
+
+
+def write_samples_with_sidecar(samples: DataFrame, path: str, splits: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """Write the rows that have a split; one document per split, counted by the write itself.
+
+    Rows without a split are omitted and counted as such.  The counts are
+    metrics observed while the rows pass to the files, so nothing is read twice.
+    A split that is not listed, or a feature that is not there, is an error.
+    """
+    missing = [c for c in features if c not in samples.columns]
+    if missing:
+        raise KeyError(f"samples lack {missing}")
+    seen = Observation()
+    named = [F.count_if(F.col("split") == s).alias(s) for s in splits]
+    stray = F.count_if(F.col("split").isNotNull() & ~F.col("split").isin(*splits))
+    (
+        samples.observe(seen, *named, F.count_if(F.col("split").isNull()).alias("_omitted"), stray.alias("_stray"))
+        .where(F.col("split").isNotNull())
+        .write.partitionBy("split")
+        .parquet(path)
+    )
+    counts = seen.get
+    if counts["_stray"]:
+        raise ValueError(f"{counts['_stray']} rows have a split that is not one of {list(splits)}")
+    rows = [(s, counts[s], counts["_omitted"], list(features)) for s in splits]
+    table = samples.sparkSession.createDataFrame(rows, "split string, n long, omitted long, features array<string>")
+    return table.withColumn("document", F.to_json(F.struct("split", "n", "omitted", "features")))

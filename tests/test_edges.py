@@ -288,3 +288,14 @@ def test_padding_takes_no_part_in_scalers(spark):
     )
     got = {r.feature: (r.mean, r.std) for r in ag.sequence_scaler_rows(rows, "sequence", "n", ["a", "b"]).collect()}
     assert got["a"] == pytest.approx((3.0, (8 / 3) ** 0.5 + 1e-6)) and got["b"][0] == pytest.approx(5.0)
+
+
+def test_sidecar_counts_what_it_writes_and_omits(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "train"), (2, "train"), (3, None), (4, "test")], "grid_id LONG, split STRING")
+    got = sinks.write_samples_with_sidecar(rows, str(tmp_path / "s"), ["train", "test", "none"], ["grid_id"])
+    assert {r.split: (r.n, r.omitted) for r in got.collect()} == {"train": (2, 1), "test": (1, 1), "none": (0, 1)}
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 3
+    with pytest.raises(ValueError):
+        sinks.write_samples_with_sidecar(rows, str(tmp_path / "t"), ["train"], ["grid_id"])
+    with pytest.raises(KeyError):
+        sinks.write_samples_with_sidecar(rows, str(tmp_path / "u"), ["train"], ["depth"])
