@@ -632,15 +632,15 @@ def d24(t: Tables) -> DataFrame:
     return ag.correlations(t.obs.withColumn("n_days", F.col("n_days").cast("double")), ["grid_id", "month_idx"], "wtd", "n_days")
 
 
+PUMPING = """SELECT grid_id, avg(pumping) AS mean_monthly, max(pumping) AS peak_month, sum(pumping) / count(DISTINCT year) AS mean_annual,
+        coalesce(sum(pumping) FILTER (month BETWEEN 4 AND 10) / nullif(count(DISTINCT year) FILTER (month BETWEEN 4 AND 10), 0), 0) AS mean_growing,
+        coalesce(sum(pumping) FILTER (year = 1996 AND month BETWEEN 5 AND 10), 0) AS event_sum FROM forcing_sparse JOIN calendar USING (month_idx) GROUP BY 1"""
+
+
 @query(
     "d25_pumping_features",
     "grid_id:i mean_monthly:f peak_month:f mean_annual:f mean_growing:f event_sum:f log1p_mean_annual:f log1p_event_sum:f",
-    with_blocks(
-        "forcing_sparse calendar",
-        """SELECT *, ln(1 + mean_annual) AS log1p_mean_annual, ln(1 + event_sum) AS log1p_event_sum FROM (SELECT grid_id, avg(pumping) AS mean_monthly, max(pumping) AS peak_month, sum(pumping) / count(DISTINCT year) AS mean_annual,
-        coalesce(sum(pumping) FILTER (month BETWEEN 4 AND 10) / nullif(count(DISTINCT year) FILTER (month BETWEEN 4 AND 10), 0), 0) AS mean_growing,
-        coalesce(sum(pumping) FILTER (year = 1996 AND month BETWEEN 5 AND 10), 0) AS event_sum FROM forcing_sparse JOIN calendar USING (month_idx) GROUP BY 1)""",
-    ),
+    with_blocks("forcing_sparse calendar", f"SELECT *, ln(1 + mean_annual) AS log1p_mean_annual, ln(1 + event_sum) AS log1p_event_sum FROM ({PUMPING})"),
 )
 def d25(t: Tables) -> DataFrame:
     return profiles.pumping_features(t.forcing_sparse, FIRST_ORD, 1996)

@@ -117,12 +117,20 @@ def with_blocks(names: str, body: str, *extra: tuple[str, str]) -> str:
     """``WITH`` the named blocks (and dependencies), then extra CTEs, then body.
 
     A CTE that several groups of extras hold stands once; two under one name are an error.
-    A query that begins with ``RECURSIVE`` refers to itself and keeps the last row of each (grid_id, month_idx).
+    A query that begins with ``RECURSIVE`` refers to itself and keeps the last row of each (grid_id, month_idx), one that begins with ``RECURSIVE ALL`` every row.
     """
     ctes = {n: BLOCKS[n][1] for n in _ordered(names.split(), [])}
     for n, q in extra:
         if ctes.setdefault(n, q) != q:
             raise ValueError(f"two queries are called {n}")
-    parts = [f"{n} AS MATERIALIZED ({q})" if not q.startswith("RECURSIVE") else f"{n} USING KEY (grid_id, month_idx) AS ({q.removeprefix('RECURSIVE')})" for n, q in ctes.items()]
+
+    def cte(n: str, q: str) -> str:
+        if q.startswith("RECURSIVE ALL"):
+            return f"{n} AS ({q.removeprefix('RECURSIVE ALL')})"
+        if q.startswith("RECURSIVE"):
+            return f"{n} USING KEY (grid_id, month_idx) AS ({q.removeprefix('RECURSIVE')})"
+        return f"{n} AS MATERIALIZED ({q})"
+
+    parts = [cte(n, q) for n, q in ctes.items()]
     head = "WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else ""
     return head + body

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import anchors, regression
+from gridloom.operators import anchors, regression, trees
 from gridloom.session import scratch_path
 from gridloom.sources import sinks
 
@@ -93,3 +93,19 @@ def test_publish_is_all_or_nothing(spark):
     assert set(stored) == {"panel", "cells", "months"} and stored["panel"].count() == 4
     go(full.withColumn("wtd", F.lit(2.0)))
     assert {r["wtd"] for r in sinks.published(spark, path)["panel"].collect()} == {2.0}
+
+
+def test_extra_trees_of_hard_cases(spark):
+    """Missing values, a feature without values, a constant one, repeated values and a node that cannot be split."""
+    rows = spark.createDataFrame(
+        [(i, i % 2, float(i >= 40), float(i) if i % 7 else None, None, 5.0, float(i % 3)) for i in range(80)], "grid_id LONG, fold INT, y DOUBLE, a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE"
+    )
+    settings = trees.TreeSettings(trees=8, min_leaf=5)
+    found = {r["grid_id"]: r for r in trees.block_validated_trees(rows, ["a", "b", "c", "d"], "y", 2, settings).collect()}
+    assert len(found) == 80 and all(0 <= r["p_oof"] <= 1 and 0 <= r["p_final"] <= 1 for r in found.values())
+    assert found[3]["p_final"] < 0.2 and found[78]["p_final"] > 0.8
+    shares = {r["feature"]: r["importance"] for r in trees.feature_importances(rows, ["a", "b", "c", "d"], "y", settings).collect()}
+    assert set(shares) <= {"a", "d"} and shares["a"] > 0.7 and abs(sum(shares.values()) - 1) < 1e-9
+    one_class = rows.withColumn("y", F.lit(1.0))
+    assert {r["p_oof"] for r in trees.block_validated_trees(one_class, ["a", "d"], "y", 2, settings).collect()} == {1.0}
+    assert trees.block_validated_trees(rows.limit(0), ["a", "d"], "y", 2, settings).count() == 0
