@@ -7,13 +7,14 @@ Learned transition weights connect neighbouring words, which lets a text switch
 between languages.  Forward-backward gives the posterior of every word's
 language; a text gets the language with the largest mean posterior.
 
-The field is fitted on a bounded sample: ``per_label`` texts of every language,
-of at most ``train_bytes`` bytes each, in the order of a hash of the id.  The
+The field is fitted on a bounded sample: of every language ``per_label`` texts
+among those of at most ``train_bytes`` bytes, in the order of a hash of the id.  The
 training sequences are stretches of one text and stretches put together from
 texts of different languages.  Prediction reads whole texts and nothing else.
 
 Defined results: a null text and one without letters is ``und`` with score 0;
-without any labelled text everything is ``und``; a null id is kept and counts
+without any labelled text everything is ``und``; a very long text is read whole,
+in one batch of its own; a language without a usable text is not learned; a null id is kept and counts
 as held out; repeated rows give repeated results; further columns are ignored;
 an empty table gives an empty table.
 """
@@ -26,14 +27,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import U64, Words, byte_set, map_batches, mix, table, without
 
 LETTER_BYTES = byte_set((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 SAME = np.arange(256, dtype=np.uint8)
-GRAM_BITS, LEXICON_BITS, CHAIN = 16, 16, 64
+GRAM_BITS, LEXICON_BITS, CHAIN, OVERLAP = 16, 16, 64, 16
 UNKNOWN = "und"
 
 
@@ -178,45 +179,51 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, rate: float = 0.2,
 
 
 def word_posteriors(scan: Scan, field: Field) -> np.ndarray:
-    """Posterior of every word's language; texts are cut into chains of ``CHAIN`` words."""
+    """Posterior of every word's language.
+
+    A text is read in chains of ``CHAIN`` words.  Every chain also reads
+    ``OVERLAP`` words of the text on either side, so messages pass the cuts; what
+    they carry from farther away fades with every step.
+    """
     w, k = scan.words, len(field.labels)
     if not len(w.start):
         return np.zeros((0, k))
+    most = CHAIN + 2 * OVERLAP
     place = np.arange(len(w.start)) - w.row_start[w.row]
     fresh = place % CHAIN == 0
-    chain = np.cumsum(fresh) - 1
-    lengths = np.bincount(chain)
-    score = np.zeros((len(lengths), CHAIN, k))
-    score[chain, place % CHAIN] = emissions(scan, field)
-    out = np.zeros((len(w.start), k))
+    first = np.flatnonzero(fresh)
+    begin = np.maximum(first - OVERLAP, w.row_start[w.row[first]])
+    lengths = np.minimum(first + CHAIN + OVERLAP, w.row_start[w.row[first]] + w.per_row[w.row[first]]) - begin
+    live = np.arange(most)[None, :] < lengths[:, None]
+    score = np.zeros((len(first), most, k))
+    score[live] = emissions(scan, field)[(begin[:, None] + np.arange(most))[live]]
     # posteriors only: the pair sums are for training
     e = np.exp(score - score.max(axis=2, keepdims=True))
     step, start = np.exp(field.step - field.step.max()), np.exp(field.start - field.start.max())
     ahead = np.zeros_like(e)
-    a = start * e[:, 0]
+    a = np.where((begin == w.row_start[w.row[first]])[:, None], start, 1.0) * e[:, 0]
     ahead[:, 0] = a / a.sum(axis=1, keepdims=True)
-    for t in range(1, CHAIN):
+    for t in range(1, most):
         a = (ahead[:, t - 1] @ step) * e[:, t]
         ahead[:, t] = a / a.sum(axis=1, keepdims=True)
     back = np.ones((len(lengths), k))
-    for t in range(CHAIN - 1, -1, -1):
+    for t in range(most - 1, -1, -1):
         here = ahead[:, t] * back
         ahead[:, t] = here / here.sum(axis=1, keepdims=True)
         b = (back * e[:, t]) @ step.T
         b /= b.sum(axis=1, keepdims=True)
         back = np.where((t < lengths)[:, None], b, 1.0)
-    out[:] = ahead[chain, place % CHAIN]
-    return out
-
-
-def sample(docs: DataFrame, per_label: int = 250, train_bytes: int = 16384, max_labels: int = 200) -> tuple[list[str], list[str]]:
-    """Bounded training sample of ``id, text, lang`` rows."""
-    usable = docs.filter("lang IS NOT NULL AND id IS NOT NULL")
-    labels = [r[0] for r in usable.select("lang").distinct().orderBy("lang").limit(max_labels).collect()]
-    ids: list = []
-    for label in labels:  # only ids and labels are read here
-        ids += [r[0] for r in usable.filter(F.col("lang") == label).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(per_label).collect()]
-    rows = usable.filter(F.col("id").isin(ids) & F.col("text").isNotNull() & (F.octet_length("text") <= train_bytes)).dropDuplicates(["id"]).orderBy("id").collect() if ids else []
+    chain = np.cumsum(fresh) - 1
+    return ahead[chain, place % CHAIN + (first - begin)[chain]]
+
+
+def sample(docs: DataFrame, per_label: int = 250, train_bytes: int = 16384) -> tuple[list[str], list[str]]:
+    """Bounded training sample of ``id, text, lang`` rows: ``per_label`` usable texts of every language."""
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= train_bytes))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    # a limit below the window keeps per_label ids of a task; texts of these are read afterwards
+    chosen = usable.select("lang", "id").distinct().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_label)
+    rows = usable.join(F.broadcast(chosen.drop("_n")), ["lang", "id"]).groupBy("lang", "id").agg(F.min("text").alias("text")).orderBy("id", "lang").collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
@@ -248,7 +255,7 @@ def identify(docs: DataFrame, field: Field | None, with_words: bool = False) ->
         columns = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
         yield pa.RecordBatch.from_arrays(columns + ([pa.array(words, struct)] if with_words else []), ["id", "lang", "score"] + (["words"] if with_words else []))
 
-    return map_batches(docs, one, schema, max_bytes=1 << 20)  # a byte of text takes about a hundred of working memory
+    return map_batches(docs, one, schema, max_bytes=1 << 19)  # a byte of text takes about a hundred of working memory
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -501,6 +501,36 @@ def test_license_gate_drops_no_match(spark):
 # ---- 8: language
 
 
+def test_messages_pass_the_cuts_of_long_texts():
+    """Overlapping chains against forward-backward over the whole text."""
+    rng = np.random.default_rng(5)
+    k, n = 3, 500
+    field = langid.Field(["a", "b", "c"], np.zeros((4 << langid.GRAM_BITS, k)), np.zeros((1 << langid.LEXICON_BITS, k)), np.zeros(1 << langid.LEXICON_BITS, np.uint32), np.eye(k), rng.normal(size=k))
+    field.grams[:] = rng.normal(size=field.grams.shape) * 0.3
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), 4)) for _ in range(m)) for m in (n, 1, 64, 65, 130)] + [None, ""]
+    scan = langid.Scan(pa.array(texts, pa.string()))
+    got, score = langid.word_posteriors(scan, field), langid.emissions(scan, field)
+    step, start = np.exp(field.step), np.exp(field.start)
+    for begin, size in zip(scan.words.row_start, scan.words.per_row):
+        e = np.exp(score[begin : begin + size])
+        ahead, back = e.copy(), np.ones_like(e)
+        for t in range(size):
+            ahead[t] *= ahead[t - 1] @ step if t else start
+            ahead[t] /= ahead[t].sum()
+        for t in range(size - 2, -1, -1):
+            back[t] = step @ (e[t + 1] * back[t + 1])
+            back[t] /= back[t].sum()
+        want = ahead * back
+        if size:
+            assert np.abs(got[begin : begin + size] - want / want.sum(axis=1, keepdims=True)).max() < 1e-3
+
+
+def test_language_sample_spends_its_places_on_usable_texts(spark):
+    rows = [(i, None if i < 400 else "y" * 20000 if i < 800 else f"word{i}", "zz") for i in range(810)] + [(i, f"mot{i % 3}", f"l{i:03d}") for i in range(1000, 1230)]
+    texts, langs = langid.sample(docs_of(spark, rows, "id long, text string, lang string"))
+    assert sum(x == "zz" for x in langs) == 10 and len(set(langs)) == 231
+
+
 def test_posteriors_against_all_paths():
     rng = np.random.default_rng(2)
     score, step, start = rng.normal(size=(1, langid.CHAIN, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
