@@ -49,7 +49,9 @@ def drought_metrics(panel: DataFrame, windows: DroughtWindows, first_ord: int) -
 
     One conditional aggregation finds peaks and troughs.  The first passage
     after the peak needs the series once more: the months travel as one array
-    per cell (calendar bounded), so there is no second shuffle.
+    per cell (calendar bounded), so there is no second shuffle.  Yearly means
+    are summed along that array in month order: equal cells get equal bits, so
+    ranks made from them keep their ties.
     """
     o, v, i = F.col("month_ord"), F.col("wtd"), F.col("month_idx")
     p = panel.where(v.isNotNull()).withColumn("month_ord", i + first_ord)
@@ -61,6 +63,10 @@ def drought_metrics(panel: DataFrame, windows: DroughtWindows, first_ord: int) -
     def in_year(y):
         return F.when(year == y, v)
 
+    def mean_of_year(y):
+        picked = F.filter("_series", lambda s: F.floor((s["i"] + (first_ord - 1)) / 12) == y)
+        return F.aggregate(picked, F.lit(0.0), lambda a, s: a + s["v"]) / F.nullif(F.size(picked), F.lit(0))
+
     w = windows
     agg = p.groupBy("grid_id").agg(
         F.min(during(w.pre)).alias("pre_wtd"),
@@ -69,11 +75,9 @@ def drought_metrics(panel: DataFrame, windows: DroughtWindows, first_ord: int) -
         first_at_max(during(w.drought), i).alias("peak_idx"),
         F.min(during(w.recovery)).alias("early_recovery_wtd"),
         first_at_min(during(w.recovery), i).alias("early_recovery_idx"),
-        F.avg(in_year(w.base_year)).alias("baseline_wtd"),
         F.max(in_year(w.deficit_year)).alias("annual_peak_wtd"),
-        F.avg(in_year(w.recovery_year)).alias("_late"),
-        F.collect_list(F.struct(i.alias("i"), v.alias("v"))).alias("_series"),
-    )
+        F.sort_array(F.collect_list(F.struct(i.alias("i"), v.cast("double").alias("v")))).alias("_series"),
+    ).withColumns({"baseline_wtd": mean_of_year(w.base_year), "_late": mean_of_year(w.recovery_year)})
     decline = F.col("peak_wtd") - F.col("pre_wtd")
     agg = agg.withColumns(
         {

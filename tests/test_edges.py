@@ -8,7 +8,7 @@ from gridloom.functions import scalars as sc
 from gridloom.operators import aggregates as ag
 from gridloom.operators import anchors as an
 from gridloom.operators import conformal as cf
-from gridloom.operators import events, joins, profiles, reconstruct, samples, windows
+from gridloom.operators import classify, events, joins, profiles, reconstruct, samples, windows
 from gridloom.sources import sinks
 
 
@@ -299,3 +299,16 @@ def test_sidecar_counts_what_it_writes_and_omits(spark, tmp_path):
         sinks.write_samples_with_sidecar(rows, str(tmp_path / "t"), ["train"], ["grid_id"])
     with pytest.raises(KeyError):
         sinks.write_samples_with_sidecar(rows, str(tmp_path / "u"), ["train"], ["depth"])
+
+
+def test_equal_cells_keep_equal_ranks(spark):
+    """Copies of a cell whose rows come in another order have the same means to the last bit, so they share every rank."""
+    windows = events.DroughtWindows.of_year(1996, base_year=1995, recovery_year=2000)
+    value = lambda m, g: 0.1 * ((7 * m + g) % 13) + (3.0 if 16 <= m <= 18 else 0.0)
+    rows = [(g, m, value(m, g)) for g in range(10) for m in range(84)] + [(100 + g, m, value(m, g)) for g in range(10) for m in reversed(range(84))]
+    panel = spark.createDataFrame(rows, "grid_id long, month_idx int, wtd double").coalesce(1)
+    ranks = classify.response_ranks(events.drought_metrics(panel, windows, 12 * 1995 + 1)).collect()
+    by_cell = {}
+    for r in ranks:
+        by_cell.setdefault(r["grid_id"] % 100, set()).add(tuple(r)[1:])
+    assert len(ranks) == 20 and all(len(found) == 1 for found in by_cell.values())
