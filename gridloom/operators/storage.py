@@ -20,8 +20,9 @@ def valid_solutions(monthly: DataFrame, value: str, flag: Column) -> DataFrame:
 def storage_proxy(panel: DataFrame, yields: DataFrame, valid_months: DataFrame) -> DataFrame:
     """-100 * mean over cells of Sy * (level - cell reference), in cm per month.
 
-    The reference is the cell mean over valid months, computed in the same
-    shuffle as the panel join.
+    The reference is the cell mean over valid months.  The hint keeps the cells
+    on the hashed side of the join: a panel exploded from a small table is
+    estimated at that table's size and would be broadcast through the driver.
     """
     months = valid_months.agg(F.collect_set("month_idx")).scalar()
     panel = panel.select("grid_id", "month_idx", "wtd")
@@ -32,7 +33,7 @@ def storage_proxy(panel: DataFrame, yields: DataFrame, valid_months: DataFrame)
         .join(yields.select("grid_id", "sy"), "grid_id")
     )
     return (
-        panel.join(ref, "grid_id")
+        panel.join(ref.hint("shuffle_hash"), "grid_id")
         .groupBy("month_idx")
         .agg((F.lit(-100.0) * F.avg((F.col("wtd") - F.col("_ref")) * F.col("sy"))).alias("storage_cm"))
     )
@@ -69,13 +70,16 @@ def mass_correction(
     """Shift unobserved cells so that the storage proxy meets its target.
 
     ``cells`` carries ``sy`` and ``base_weight``.  Returns the corrected panel (a
-    new table, the input stays as it is) and the monthly shift table.
+    new table, the input stays as it is) and the monthly shift table.  Observed
+    months travel as one calendar-bounded array per cell, so the panel is
+    shuffled once, by cell, and never broadcast.
     """
-    seen = obs.select("grid_id", "month_idx").distinct().withColumn("_seen", F.lit(True))
+    seen = obs.groupBy("grid_id").agg(F.collect_set("month_idx").alias("_seen"))
+    known = cells.select("grid_id", "sy", "base_weight").join(seen, "grid_id", "left")
+    observed = F.coalesce(F.array_contains("_seen", F.col("month_idx")), F.lit(False))
     weighted = (
-        panel.join(cells.select("grid_id", "sy", "base_weight"), "grid_id")
-        .join(seen, ["grid_id", "month_idx"], "left")
-        .withColumn("weight", F.when(F.col("_seen"), F.lit(0.0)).otherwise(F.col("base_weight")))
+        panel.join(known.hint("shuffle_hash"), "grid_id")
+        .withColumn("weight", F.when(observed, F.lit(0.0)).otherwise(F.col("base_weight")))
         .drop("_seen")
     )
     shift = (
