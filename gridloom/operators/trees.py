@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.ranks import group_quantiles
-from gridloom.session import scratch_path
+from gridloom.session import written
 
 FINAL = -1
 PRIME = 2147483647
@@ -46,13 +46,6 @@ class TreeSettings:
         return max(1, int(self.feature_share * features))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """A table in the shared folder: survives lost executors and is computed once."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _scrambled(x: Column) -> Column:
     x = (x * x + 1013904223) % PRIME
     x = (x * 48271 + 11) % PRIME
@@ -148,7 +141,7 @@ def _moved(members: DataFrame, splits: DataFrame, min_leaf: int) -> DataFrame:
 
 def grow(inputs: DataFrame, width: int, settings: TreeSettings) -> tuple[DataFrame, DataFrame]:
     """``forest, tree, id, p`` of every row in every tree, and the splits of all trees."""
-    inputs = _written(inputs, "tree-inputs")
+    inputs = written(inputs, "tree-inputs")
     roots = inputs.where("train").groupBy("forest").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
     trees = F.explode(F.sequence(F.lit(0), F.lit(settings.trees - 1))).alias("tree")
     rows = inputs.select("forest", "id", trees).join(roots, "forest")
@@ -157,12 +150,12 @@ def grow(inputs: DataFrame, width: int, settings: TreeSettings) -> tuple[DataFra
     while True:
         ended.append(level.where("done").select("forest", "tree", "id", (F.col("pos") / F.col("n")).alias("p")))
         members = level.where("NOT done").drop("done").join(inputs, ["forest", "id"])
-        splits = _written(_best_splits(members, width, settings), "tree-splits")
+        splits = written(_best_splits(members, width, settings), "tree-splits")
         made.append(splits)
         if splits.isEmpty():  # nothing moves any more: what is left are leaves
             ended.append(level.where("NOT done").select("forest", "tree", "id", (F.col("pos") / F.col("n")).alias("p")))
             return reduce(DataFrame.unionAll, ended), reduce(DataFrame.unionAll, made)
-        level = _written(_moved(members, splits, settings.min_leaf), "tree-level")
+        level = written(_moved(members, splits, settings.min_leaf), "tree-level")
 
 
 def probabilities(rows: DataFrame, features: Sequence[str], label: str, forests: Sequence[int], settings: TreeSettings, key: str = "grid_id") -> DataFrame:

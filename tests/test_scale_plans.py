@@ -21,3 +21,18 @@ def exploded_broadcasts(df) -> list[str]:
 @pytest.mark.parametrize("name", ["d16_storage_proxy", "d18_mass_correction", "d18_mass_correction_monthly"])
 def test_panels_are_not_broadcast(spark, name):
     assert exploded_broadcasts(entry.queries()[name](spark, SF)) == []
+
+
+def test_steps_are_packed_per_cell(spark):
+    """No row per step: the propagation joins and shuffles by cell only, whatever the length of the interval."""
+    text = entry.queries()["j03_propagate_long_gaps"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in text.splitlines() if "hashpartitioning(" in line]
+    assert dealt and not [line for line in dealt if line.split("hashpartitioning(")[1].count("#") > 1 and "grid_id" in line]
+
+
+def test_stage_tables_are_columnar(spark):
+    """Stages are compressed tables in the shared folder, not uncompressed checkpoints of rows."""
+    from gridloom.plans.tables import Tables
+
+    t = Tables(spark, SF)
+    assert "FileScan parquet" in t.stage("cells", lambda: t.cells)._jdf.queryExecution().executedPlan().toString()
