@@ -109,3 +109,27 @@ def test_extra_trees_of_hard_cases(spark):
     one_class = rows.withColumn("y", F.lit(1.0))
     assert {r["p_oof"] for r in trees.block_validated_trees(one_class, ["a", "d"], "y", 2, settings).collect()} == {1.0}
     assert trees.block_validated_trees(rows.limit(0), ["a", "d"], "y", 2, settings).count() == 0
+
+
+def test_trees_of_small_groups_equal_those_of_levels(spark):
+    """A bound of 1 row leaves all nodes to grouped aggregations, one of 40 rows mixes both: same leaves and splits."""
+    rows = spark.range(150).selectExpr("id AS grid_id", "CAST(id % 3 AS INT) AS fold", "CAST(id % 7 < 3 OR id > 120 AS DOUBLE) AS y", "CAST(id * 37 % 101 AS DOUBLE) AS a", "IF(id % 9 = 0, NULL, CAST(id AS DOUBLE)) AS b", "CAST(id % 4 AS DOUBLE) AS c")
+    inputs = trees.forest_inputs(rows, ["a", "b", "c"], "y", [0, trees.FINAL], "grid_id").localCheckpoint()
+    found = []
+    for bound in (1, 40, 150):
+        leaves, splits = trees.grow(inputs, 3, trees.TreeSettings(trees=3, min_leaf=4, local_values=3 * bound))
+        found.append((sorted(map(tuple, leaves.select("forest", "tree", "id", "p").collect())), sorted(map(tuple, splits.select("forest", "tree", "node", "feature", "decrease").collect()))))
+    assert len(found[0][0]) == 2 * 3 * 150 and len(found[0][1]) > 20
+    assert found[0] == found[1] == found[2]
+
+
+def test_small_forests_grow_in_a_few_jobs(spark):
+    """500 trees of a small table took jobs for every level of the deepest tree, and broadcasts in each."""
+    rows = spark.range(400).selectExpr("id AS grid_id", "CAST(id % 2 AS INT) AS fold", "CAST(id * 13 % 5 < 2 AS DOUBLE) AS y", "CAST(id * 37 % 101 AS DOUBLE) AS a", "CAST(id * 61 % 211 AS DOUBLE) AS b")
+    inputs = trees.forest_inputs(rows, ["a", "b"], "y", [0, 1, trees.FINAL], "grid_id").localCheckpoint()
+    spark.sparkContext.setJobGroup("small-forests", "")
+    leaves, _ = trees.grow(inputs, 2, trees.TreeSettings())
+    n = leaves.count()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert n == 3 * 500 * 400
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("small-forests")) < 15
