@@ -221,3 +221,19 @@ def test_unsplit_panel_is_made_where_its_cells_are(spark):
     for r in mine:
         assert r.keys() == by[r["segment_id"]].keys()
         assert all(v == pytest.approx(by[r["segment_id"]][k], abs=1e-12) for k, v in r.items())
+
+
+def test_harmonic_months_meet_their_observations_without_broadcasts(spark, tmp_path):
+    """Months and observations of the fitted cells both come dealt by cell; their union has to bring them together."""
+    from gridloom.operators import anchors as an
+
+    rows = [(i % 500, (i // 500) * 5, math.cos(math.pi / 6 * ((i // 500) * 5)), 1.0) for i in range(500 * 16)]
+    spark.createDataFrame(rows, "grid_id long, month_idx int, value double, quality double").write.parquet(str(tmp_path / "obs"))
+    obs = spark.read.parquet(str(tmp_path / "obs"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counts = {r["is_pseudo"]: r["count"] for r in an.harmonic_pseudo_obs(obs, 84).groupBy("is_pseudo").count().collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert counts == {False: 500 * 16, True: 500 * (84 - 16)}
